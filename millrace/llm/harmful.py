@@ -94,6 +94,7 @@ _MIXED = re.compile(r"(?<![\p{L}\d])(?=[^\s]*[\p{L}])[\p{L}\d@$!|€£ı*_.·-]*
 _APART = re.compile(r"(?<![\p{L}*])\p{L}(?:[\s.\-_*·,/]{1,2}[\p{L}*]){2,}(?![\p{L}*])")
 _INNER = re.compile(r"(?<=\p{L})[*#_·.\-~^+=](?=\p{L})")
 _RUNS = re.compile(r"(\p{L})\1+")
+_SAYS = re.compile(r"\p{L}.*?\p{L}.*?\p{L}")
 _CUT = re.compile(r"(?<=[.!?…])\s+|\n+|\t+|\s*\|\s*")
 
 
@@ -103,7 +104,8 @@ def passages(text: str | None) -> list[str]:
     for part in _CUT.split(text or ""):
         part = part.strip()
         if len(part) <= LONG:
-            if part:
+            # numbers and signs alone say nothing
+            if _SAYS.search(part):
                 out.append(part)
             continue
         start = 0
