@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,29 +22,26 @@ LETTERS = {"vi": "[ăđơưạảấầẩẫậắằẳẵặẹẻẽếề
 
 def language_scores(text: Column) -> dict[str, Column]:
     """How strongly a text speaks for each language; all 0 for null, empty and wordless texts."""
-    lower, plain = F.coalesce(F.lower(text), F.lit("")), F.coalesce(fold(text), F.lit(""))
+    lower, words = F.coalesce(F.lower(text), F.lit("")), F.split(F.coalesce(fold(text), F.lit("")), r"[^\p{L}]+")
     scores = {}
+    among = lambda listed: lambda w: w.isin(*listed)
     for name, listed in WORDS.items():
-        score = F.regexp_count(plain, F.lit(r"\b(?:" + "|".join(listed) + r")\b"))
+        score = F.size(F.filter(words, among(listed)))
         if name in LETTERS:
             score = score + F.regexp_count(lower, F.lit(LETTERS[name]))
         scores[name] = score
     return scores
 
 
-def language(text: Column, least: int = 1, lead: int = 1) -> Column:
-    """``vi``, ``en``, ``fr``, or null where fewer than ``least`` marks, or no lead of ``lead``, speak for one."""
-    s = language_scores(text)
-    best = F.greatest(*s.values())
-    second = best - F.lit(lead)
-    return F.when(best < least, None).otherwise(
-        F.coalesce(*[F.when((s[k] == best) & _all(s, k, second), F.lit(k)) for k in s])
-    )
+_SETS = {k: frozenset(v) for k, v in WORDS.items()}
+_MARKS = {k: re.compile(v) for k, v in LETTERS.items()}
 
 
-def _all(scores: dict[str, Column], name: str, most: Column) -> Column:
-    test = F.lit(True)
-    for other, score in scores.items():
-        if other != name:
-            test = test & (score <= most)
-    return test
+def language_of(text: str) -> str:
+    """``vi``, ``en`` or ``fr``, or ``?`` where none leads; the same lists as in ``language_scores``, for Python workers."""
+    lower = text.lower()
+    plain = "".join(c for c in unicodedata.normalize("NFD", lower.replace("đ", "d")) if not unicodedata.combining(c))
+    words = re.findall(r"[^\W\d_]+", plain)
+    scores = {k: sum(w in listed for w in words) + (len(_MARKS[k].findall(lower)) if k in _MARKS else 0) for k, listed in _SETS.items()}
+    first, second = sorted(scores.values(), reverse=True)[:2]
+    return max(scores, key=scores.get) if first > second else "?"

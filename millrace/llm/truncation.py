@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.language import language
+from millrace.llm.language import language_of
 from millrace.plans.session import materialize
 
 ORDERS = (2, 4, 6, 9, 13, 18, 25)
@@ -182,7 +182,7 @@ def _end_contexts(frequent: dict[str, set[str]]):
                         out[rows, place] = _mix(h[last], place, salt)
                 out[rows, WHOLE] = [zlib.crc32(t[-SAME:].encode("utf-8", "replace")) + (zlib.adler32(t[-SAME:].encode("utf-8", "replace")) << 32) for t in texts]
                 out[rows, WHOLE] = _mix(out[rows, WHOLE], WHOLE, salt)
-            yield batch.drop(columns="end").assign(contexts=list(out.view(np.int64)))
+            yield batch.drop(columns="end").assign(lang=[language_of(t) for t in batch["end"]], contexts=list(out.view(np.int64)))
 
     return run
 
@@ -306,7 +306,7 @@ def end_scores(values: DataFrame, word_wise: list[str]) -> DataFrame:
         spoken.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n")).select("field", "text", F.xxhash64("text").alias("th"), F.hash("text").alias("th2")), "texts"
     )
     frequent = _frequent(distinct, word_wise)
-    ends = distinct.select("field", "th", "th2", F.coalesce(language(F.right("text", F.lit(400))), F.lit("?")).alias("lang"), F.right("text", F.lit(SEEN)).alias("end"))
+    ends = distinct.select("field", "th", "th2", F.right("text", F.lit(SEEN)).alias("end"))
     contexts = materialize(ends.mapInPandas(_end_contexts(frequent), "field string, th bigint, th2 int, lang string, contexts array<bigint>"), "ends")
     counts = (
         distinct.select("field", "text")
@@ -339,7 +339,7 @@ def _bars(scored: DataFrame, word_wise: list[str]) -> Column:
         low, high = int(LOW * 2), int(HIGH * 2)
         if sum(bins.values()) < 200:
             continue
-        depth = lambda b, bins=bins: sum(bins.get(b + d, 0) * w for d, w in ((-2, 1), (-1, 2), (0, 2), (1, 1)))
+        depth = lambda b, bins=bins: sum(bins.get(b + d, 0) * w for d, w in ((-1, 1), (0, 1)))
         usual = DEFAULT_SHORT if field in word_wise else DEFAULT
         best = min(range(low, high + 1), key=lambda b, usual=usual: (depth(b), abs(b / 2 - usual)))
         bar = F.when((F.col("field") == field) & (F.col("lang") == lang), F.lit(best / 2)).otherwise(bar)
