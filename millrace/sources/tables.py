@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Read one table of ``folder``; columns and filters are pruned by the scan."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
