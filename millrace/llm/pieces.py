@@ -41,23 +41,34 @@ _PIECE, _UNEVEN = 8.0, 10.0
 
 
 def _boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Positions, penalties and kinds, ascending; characters count only where nothing better is in reach."""
+    """Positions, penalties and kinds, ascending.
+
+    Words count only where better boundaries are more than an eighth of the reach apart, characters only
+    where words are more than a quarter apart.
+    """
     best: dict[int, tuple[float, str]] = {}
-    for name, cost, pattern in reversed(_KINDS):
+    for name, cost, pattern in reversed(_KINDS[:-1]):
         for m in pattern.finditer(text):
             best[m.end()] = (cost, name)
+    name, cost, pattern = _KINDS[-1]
+    for a, b in _gaps(best, len(text), reach // 8):
+        for m in pattern.finditer(text, a, b):
+            best.setdefault(m.end(), (cost, name))
+    for a, b in _gaps(best, len(text), reach // 4):
+        for p in range(a + 1, b):
+            best.setdefault(p, (_MARK if unicodedata.combining(text[p]) else _INSIDE, "character"))
     best.pop(0, None)
     best.pop(len(text), None)
-    at, last = sorted(best), 0
-    for position in [*at, len(text)]:
-        if position - last > reach // 4:
-            for p in range(last + 1, position):
-                best[p] = (_MARK if unicodedata.combining(text[p]) else _INSIDE, "character")
-        last = position
     at = sorted(best)
     return np.array(at, dtype=np.int64), np.array([best[p][0] for p in at]), [best[p][1] for p in at]
 
 
+def _gaps(places: dict, size: int, wide: int) -> list[tuple[int, int]]:
+    """Stretches between neighbouring places that are longer than ``wide``."""
+    edges = [0, *sorted(places), size]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b - a > wide]
+
+
 def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """``(start, end, kind of the cut at the end)`` of each piece of ``text``."""
     if not 0 <= overlap < limit:
@@ -98,6 +109,8 @@ def split_items(items: DataFrame, field: str, id_col: str, text_col: str, limit:
         items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
         .filter(F.length("text") > limit)
         .withColumn("h", F.xxhash64("text"))
+        # few rows but long ones to work on: a fixed number of partitions isn't merged at run time
+        .repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id")
         .dropDuplicates(["item_id", "h", "text"])
     )
     once = long.withColumn("version", F.row_number().over(W.partitionBy("item_id").orderBy("h", "text"))).drop("h")
