@@ -57,44 +57,49 @@ def sparse_search(queries: DataFrame, postings: DataFrame, keys: list[str], n: i
 _BLOCK = 1024
 
 
-def _packed(vectors: DataFrame, id_col: str, vector_col: str, prefix: str) -> DataFrame:
-    """Vectors packed into blocks of about ``_BLOCK`` rows, by hash of the id."""
+def _packed(vectors: DataFrame, id_col: str, vector_col: str, prefix: str, group_col: str | None = None) -> DataFrame:
+    """Vectors packed into blocks of at most ``_BLOCK`` rows of one group; rows without id or vector are left out."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), _BLOCK):
-                part = batch.iloc[i : i + _BLOCK]
-                matrix = np.stack([np.asarray(v, dtype=np.float64) for v in part[vector_col]]) if len(part) else np.zeros((0, 0))
-                yield pd.DataFrame({f"{prefix}_ids": [part[id_col].tolist()], f"{prefix}_matrix": [matrix.tobytes()]})
+            for group, rows in batch.groupby("g", dropna=False):
+                for i in range(0, len(rows), _BLOCK):
+                    part = rows.iloc[i : i + _BLOCK]
+                    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in part["v"]])
+                    yield pd.DataFrame({f"{prefix}_group": [group], f"{prefix}_ids": [part["i"].tolist()], f"{prefix}_matrix": [matrix.tobytes()]})
 
-    return vectors.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, vector_col).mapInPandas(pack, f"{prefix}_ids array<bigint>, {prefix}_matrix binary")
+    group = F.col(group_col).cast("string") if group_col else F.lit("")
+    rows = vectors.select(F.col(id_col).cast("string").alias("i"), F.col(vector_col).alias("v"), group.alias("g")).filter("v is not null and i is not null")
+    return rows.mapInPandas(pack, f"{prefix}_group string, {prefix}_ids array<string>, {prefix}_matrix binary")
 
 
-def dense_search(queries: DataFrame, corpus: DataFrame, id_col: str, vector_col: str, n: int = 20) -> DataFrame:
-    """``query_id, id, score, rank``: exact cosine neighbours of each query among all rows, itself left out.
+def dense_search(queries: DataFrame, corpus: DataFrame, id_col: str, vector_col: str, n: int = 20, query_col: str | None = None, group_col: str | None = None) -> DataFrame:
+    """``query_id, group, id, score, rank``: exact cosine neighbours of each query among all rows (of each group), itself left out.
 
     Both sides are packed into blocks; a pair of blocks is one matrix product that keeps only the best
-    ``n`` of each query, so what is shuffled is ``n`` rows for each query and corpus block.
+    ``n`` of each query, so what is shuffled is ``n`` rows for each query and corpus block. Ids are strings.
     """
-    q = _packed(queries, id_col, vector_col, "q")
-    c = _packed(corpus, id_col, vector_col, "c")
+    q = _packed(queries, query_col or id_col, vector_col, "q")
+    c = _packed(corpus, id_col, vector_col, "c", group_col)
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, r in batch.iterrows():
-                qi, ci = np.asarray(r["q_ids"]), np.asarray(r["c_ids"])
+                qi, ci = np.asarray(r["q_ids"], dtype=object), np.asarray(r["c_ids"], dtype=object)
                 qm = np.frombuffer(r["q_matrix"]).reshape(len(qi), -1)
                 cm = np.frombuffer(r["c_matrix"]).reshape(len(ci), -1)
                 unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
                 s = np.round(unit(qm) @ unit(cm).T, 6)
                 s[qi[:, None] == ci[None, :]] = -2
                 # ties at the edge are kept, so the order by id is exact
-                least = -np.partition(-s, min(n, s.shape[1]) - 1, axis=1)[:, min(n, s.shape[1]) - 1]
+                edge = min(n, s.shape[1]) - 1
+                least = -np.partition(-s, edge, axis=1)[:, edge]
                 a, b = np.nonzero((s >= least[:, None]) & (s > -2))
-                yield pd.DataFrame({"query_id": qi[a], "id": ci[b], "score": s[a, b]})
+                yield pd.DataFrame({"query_id": qi[a], "group": r["c_group"], "id": ci[b], "score": s[a, b]})
 
-    pairs = c.join(q, how="cross").mapInPandas(multiply, "query_id bigint, id bigint, score double")
-    return top(pairs, ["query_id"], n, ["id"])
+    # a stated set of queries against all rows, in blocks
+    pairs = c.join(q, how="cross").mapInPandas(multiply, "query_id string, group string, id string, score double")
+    return top(pairs, ["query_id", "group"], n, ["id"])
 
 
 def fuse(ranked: DataFrame, by: list[str], keys: list[str], n: int = 20, k: int = 60) -> DataFrame:
@@ -114,7 +119,8 @@ def retrieve(questions: DataFrame, passages: DataFrame, variations: int = 3, pre
 
     ``questions``: ``query_id, question, response`` (a model's variations or null). ``passages``: ``collection,
     passage_id, text``. Each variation gives a dense list and all texts together one sparse list for each
-    collection; the lists are fused for each collection, the fused passages of all collections re-ranked.
+    collection; the lists are fused for each collection, the fused passages of all collections re-ranked. Ids of
+    passages are strings.
     """
     asked = questions.select("query_id", "question", models.expansions(F.col("question"), F.col("response"), variations).alias("texts"))
     keys = ["collection", "passage_id"]
@@ -123,13 +129,13 @@ def retrieve(questions: DataFrame, passages: DataFrame, variations: int = 3, pre
     terms = term_weights(asked.select("query_id", F.explode(F.concat(F.array("question"), F.col("texts"))).alias("text")), ["query_id"], "text")
     sparse = sparse_search(terms, postings, keys, prefetch, ["collection"])
     embedder = models.HashEmbedder()
-    q = asked.select("query_id", F.posexplode("texts").alias("variation", "text")).select("query_id", "variation", models.embed(F.col("text"), embedder).alias("v"))
-    p = passages.select(*keys, models.embed(F.col("text"), embedder).alias("pv"))
-    # a batch of questions against all passages; the questions' side is the one that is repeated
-    dot = F.aggregate(F.zip_with("v", "pv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    near = p.join(q, how="cross").select("query_id", "variation", *keys, F.round(dot, 6).alias("score"))
-    dense = top(near, ["query_id", "variation", "collection"], prefetch, ["passage_id"])
-    lists = sparse.select("query_id", *keys, "rank").unionByName(dense.select("query_id", *keys, "rank"))
+    q = asked.select("query_id", F.posexplode("texts").alias("variation", "text")).select(
+        F.concat_ws("\u0001", "query_id", "variation").alias("qv"), models.embed(F.col("text"), embedder).alias("v")
+    )
+    p = passages.select(*keys, models.embed(F.col("text"), embedder).alias("v"))
+    near = dense_search(q, p, "passage_id", "v", prefetch, "qv", "collection")
+    dense = near.select(F.substring_index("query_id", "\u0001", 1).cast(questions.schema["query_id"].dataType).alias("query_id"), F.col("group").alias("collection"), F.col("id").alias("passage_id"), "rank")
+    lists = sparse.select("query_id", *keys, "rank").unionByName(dense)
     best = fuse(lists, ["query_id", "collection"], ["passage_id"], fused).select("query_id", *keys)
     full = best.join(passages, keys).join(questions.select("query_id", "question"), "query_id")
     return rerank(full, "question", "text", keys, kept)
