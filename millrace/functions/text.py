@@ -42,8 +42,8 @@ def words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased Unicode word tokens."""
-    return F.regexp_extract_all(F.lower(strip_space(text)), F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    """Lower-cased runs of letters, marks, digits of any kind and underscores."""
+    return F.regexp_extract_all(F.lower(strip_space(text)), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
 
 
 def sentences(text: Column) -> Column:

@@ -64,6 +64,6 @@ def stale_lookups(rows: DataFrame, key: str, ts: str, order: str, seconds: int =
     return both.withColumn("fresh", F.coalesce(F.col("_at") - before <= seconds, F.lit(False))).drop("_day", "_at", "_before", "_last")
 
 
-def any_positive(series: DataFrame, value: str = "n") -> Column:
+def any_positive(value: str = "n") -> Column:
     """Whether a series shows anything."""
     return F.coalesce(F.bool_or(F.col(value) > 0), F.lit(False))

@@ -1,22 +1,667 @@
-"""The registry of the engine's own queries."""
+"""The registry of the engine's own queries, each with the SQL that says the same."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.functions import text as X
+from millrace.operators import analytics, chunking, context, models, routing, search, semistructured, store
+from millrace.sources.tables import table
 
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """The flagship query."""
-    return spark.read.parquet(f"{folder}/documents.parquet")
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+#: "Today" of the series: the last day of the events.
+AS_OF = dt.date(2024, 1, 30)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+# -- building blocks of the SQL ------------------------------------------------------------------
+
+_STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}\x1c-\x1f\x85]+|[\s\p{{Z}}\x1c-\x1f\x85]+$', '', 'g')"
+
+
+def _tokens(x: str) -> str:
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{M}}\p{{N}}_]+')"
+
+
+# -- text and documents --------------------------------------------------------------------------
+
+
+@_query("X12_parent_ids", "SELECT DISTINCT parent_id, left(sha256(content || '0'), 16) AS content_id FROM parents WHERE content IS NOT NULL")
+def _parent_ids(spark, d):
+    return table(spark, d, "parents").filter("content is not null").select("parent_id", X.parent_id(F.col("content"), F.lit(0)).alias("content_id")).distinct()
+
+
+@_query(
+    "X13_short_summaries",
+    "SELECT DISTINCT parent_id, CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END AS summary FROM parents",
+)
+def _short(spark, d):
+    return table(spark, d, "parents").select("parent_id", X.shortened(F.col("content"), 200).alias("summary")).distinct()
+
+
+@_query("P01_displayed_parents", "SELECT DISTINCT parent_id, source, left(summary, 200) AS summary, left(content, 1000) AS content FROM parents")
+def _displayed(spark, d):
+    return context.displayed(table(spark, d, "parents").select("parent_id", "source", "summary", "content")).distinct()
+
+
+@_query(
+    "P02_session_titles",
+    rf"SELECT DISTINCT id, coalesce(nullif(left({_STRIP.format('content')}, 80), ''), 'New chat') AS title FROM chat_messages WHERE role = 'user'",
+)
+def _titles(spark, d):
+    return table(spark, d, "chat_messages").filter("role = 'user'").select("id", store.session_title(F.col("content")).alias("title")).distinct()
+
+
+@_query("P03_list_titles", "SELECT DISTINCT id, CASE WHEN length(content) > 80 THEN left(content, 77) || '...' ELSE content END AS title FROM chat_messages WHERE role = 'user'")
+def _list_titles(spark, d):
+    return table(spark, d, "chat_messages").filter("role = 'user'").select("id", store.list_title(F.col("content")).alias("title")).distinct()
+
+
+@_query(
+    "P17_without_citations",
+    r"""SELECT DISTINCT feedback_id, replace(regexp_replace(replace(replace(replace(regexp_replace(answer, '\s*\[Source\s*\d+\]', '', 'gi'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+    '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g'), chr(10), '<br/>') AS html FROM feedback""",
+)
+def _citations(spark, d):
+    return table(spark, d, "feedback").select("feedback_id", X.without_citations(F.col("answer")).alias("html")).distinct()
+
+
+@_query(
+    "P18_file_kinds",
+    r"SELECT CASE WHEN regexp_matches(file_path, '\.pdf$', 'i') THEN 'pdf' WHEN regexp_matches(file_path, '\.docx?$', 'i') THEN 'docx' END AS kind, count(*) AS n FROM documents GROUP BY 1",
+)
+def _kinds(spark, d):
+    return table(spark, d, "documents").groupBy(X.file_kind(F.col("file_path")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(
+    "X05_collection_names",
+    r"""WITH s AS (SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL UNION SELECT DISTINCT title FROM chat_sessions WHERE title IS NOT NULL),
+    a AS (SELECT name, regexp_replace(regexp_replace(regexp_replace(trim(name), '[^a-zA-Z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS c FROM s),
+    b AS (SELECT name, c, CASE WHEN length(c) < 3 THEN rpad(c, 3, 'x') ELSE c END AS e FROM a),
+    f AS (SELECT name, c, CASE WHEN regexp_matches(e, '^[^a-zA-Z0-9]') THEN 'c' || e ELSE e END AS e FROM b)
+    SELECT name, CASE WHEN c = '' THEN 'rag_chatbot' ELSE left(CASE WHEN regexp_matches(e, '[^a-zA-Z0-9]$') THEN e || '1' ELSE e END, 63) END AS collection FROM f""",
+)
+def _names(spark, d):
+    names = table(spark, d, "documents").select(F.col("source").alias("name")).union(table(spark, d, "chat_sessions").select("title")).filter("name is not null").distinct()
+    return names.select("name", X.collection_name(F.col("name")).alias("collection"))
+
+
+@_query(
+    "X06_X07_near_names",
+    """WITH q AS (SELECT DISTINCT lower(p_name) AS query FROM part), p AS (SELECT DISTINCT p_name AS name, lower(p_name) AS low FROM part),
+    t AS (SELECT query, name, string_split(query, ' ') AS q, string_split(low, ' ') AS n FROM q, p),
+    m AS (SELECT query, name, q, n, len(list_filter(q, lambda x: len(list_filter(n, lambda y: contains(y, x) OR contains(x, y))) > 0)) AS k FROM t)
+    SELECT query, name FROM m WHERE CASE WHEN len(q) >= 2 THEN k >= 2
+      ELSE k > 0 OR (length(q[1]) >= 5 AND len(list_filter(n, lambda y: contains(y, left(q[1], 4)))) > 0) END""",
+)
+def _near(spark, d):
+    names = table(spark, d, "part").select("p_name").distinct()
+    # the few distinct names of a catalogue against each other is the statement of the problem
+    return names.select(F.lower("p_name").alias("query")).distinct().join(names.select(F.col("p_name").alias("name")), X.is_near_name(F.col("query"), F.col("name")))
+
+
+@_query(
+    "X08_name_case",
+    """SELECT DISTINCT p_brand, array_to_string(list_transform(list_filter(string_split(upper(p_type) || ' ' || p_name || ' 5MG', ' '), lambda w: w <> ''),
+    lambda w: CASE WHEN regexp_matches(w, '^[0-9]') THEN lower(w) WHEN upper(w) = w AND lower(w) <> w AND length(w) > 1 THEN upper(left(w, 1)) || lower(substr(w, 2)) ELSE w END), ' ') AS name FROM part""",
+)
+def _case(spark, d):
+    raw = F.concat_ws(" ", F.upper("p_type"), "p_name", F.lit("5MG"))
+    return table(spark, d, "part").select("p_brand", X.name_case(raw).alias("name")).distinct()
+
+
+_STATS = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ s AS (SELECT doc_id, t, regexp_replace(regexp_replace(t, '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g'), '^ | $', '', 'g') AS flat FROM t),
+ c AS (SELECT doc_id,
+   len(list_filter(string_split(flat, ' '), lambda w: w <> '')) AS n_words,
+   len(list_filter(string_split(regexp_replace(flat, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS n_sentences FROM s)
+"""
+
+
+@_query("A16_statistics", _STATS + "SELECT doc_id, n_words, n_sentences, round(n_words / greatest(1, n_sentences), 6) AS words_per_sentence FROM c")
+def _stats(spark, d):
+    s = chunking.statistics(table(spark, d, "documents").select("doc_id", "text"))
+    return s.select("doc_id", F.col("n_words").cast("bigint"), F.col("n_sentences").cast("bigint"), F.round("words_per_sentence", 6).alias("words_per_sentence"))
+
+
+@_query("C01_strategies")
+def _strategies(spark, d):
+    return chunking.strategy(chunking.statistics(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "n_paragraphs", "n_sentences", "n_words", "strategy")
+
+
+def _windows_sql(kind: str, size: int, overlap: int) -> str:
+    units = {
+        "word": "list_filter(string_split(flat, ' '), lambda w: w <> '')",
+        "sentence": r"list_filter(string_split(regexp_replace(flat, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')",
+    }[kind]
+    return rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+      s AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\s\p{{Z}}\x1c-\x1f\x85]+', ' ', 'g'), '^ | $', '', 'g') AS flat FROM t),
+      u AS (SELECT doc_id, {units} AS u FROM s),
+      j AS (SELECT doc_id, u, unnest(range(0, greatest(len(u), 1), {size - overlap})) AS s FROM u WHERE len(u) > 0)
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS idx, array_to_string(u[s + 1 : s + {size}], ' ') AS text
+      FROM j WHERE s = 0 OR s + {overlap} < len(u)"""
+
+
+def _chunks(name: str, kind: str, parent: bool) -> None:
+    sizes = {"word": chunking.Sizes().words, "sentence": chunking.Sizes().sentences}[kind]
+    size, overlap = (sizes[0], 0) if parent else sizes[1:]
+    make = chunking.parent_texts if parent else chunking.child_texts
+    _QUERIES[name] = lambda spark, d: table(spark, d, "documents").select("doc_id", F.posexplode(make(F.col("text"), kind)).alias("idx", "text"))
+    _SQL[name] = _windows_sql(kind, size, overlap)
+
+
+_chunks("C03_sentence_parents", "sentence", True)
+_chunks("C04_word_parents", "word", True)
+_chunks("C08_sentence_children", "sentence", False)
+_chunks("C09_word_children", "word", False)
+
+
+@_query("C02_C07_paragraphs")
+def _paragraph_chunks(spark, d):
+    docs = table(spark, d, "documents")
+    parents = docs.select("doc_id", F.lit("parent").alias("level"), F.posexplode(chunking.parent_texts(F.col("text"), "paragraph")).alias("idx", "text"))
+    return parents.unionByName(docs.select("doc_id", F.lit("child").alias("level"), F.posexplode(chunking.child_texts(F.col("text"), "paragraph")).alias("idx", "text")))
+
+
+@_query("C05_sections")
+def _sections(spark, d):
+    return chunking.semantic_parents(table(spark, d, "documents"), "doc_id").select("key", "parent_idx", "content")
+
+
+@_query("C06_C11_C14_chunks")
+def _all_chunks(spark, d):
+    return chunking.build_children(chunking.build_parents(table(spark, d, "documents"), "doc_id"))
+
+
+@_query("C14_ingest_counts")
+def _ingest_counts(spark, d):
+    children = _all_chunks(spark, d)
+    return children.groupBy("strategy").agg(F.countDistinct("key", "parent_idx").alias("num_parents"), F.count(F.lit(1)).alias("num_children"))
+
+
+# -- index and search ----------------------------------------------------------------------------
+
+
+@_query("E01_tokens", f"SELECT DISTINCT feedback_id, {_tokens('question')} AS tokens FROM feedback WHERE question IS NOT NULL")
+def _token_lists(spark, d):
+    return table(spark, d, "feedback").filter("question is not null").select("feedback_id", X.tokens(F.col("question")).alias("tokens")).distinct()
+
+
+@_query("A10_vocabulary", f"SELECT token, count(*) AS n FROM (SELECT unnest({_tokens('text')}) AS token FROM documents) GROUP BY 1 ORDER BY n DESC, token LIMIT 500")
+def _vocabulary(spark, d):
+    return search.vocabulary(table(spark, d, "documents"), "text", 500)
+
+
+_WEIGHTS = (
+    "SELECT {key}, token, round(1 + ln(count(*)), 6) AS w FROM (SELECT {key}, unnest({tokens}) AS token FROM (SELECT DISTINCT {key}, {text} FROM {table})) GROUP BY 1, 2"
+)
+
+
+def _passages(spark, d):
+    return table(spark, d, "parents").select("parent_id", "content").distinct()
+
+
+@_query("A11_postings", _WEIGHTS.format(key="parent_id", text="content", tokens=_tokens("content"), table="parents"))
+def _postings(spark, d):
+    return search.term_weights(_passages(spark, d), ["parent_id"], "content")
+
+
+@_query(
+    "U05_vocabulary_merge",
+    rf"""WITH old AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT unnest({_tokens('title')}) AS token FROM chat_sessions)),
+    fresh AS (SELECT token FROM (SELECT DISTINCT unnest({_tokens('question')}) AS token FROM feedback) WHERE token NOT IN (SELECT token FROM old))
+    SELECT count(*) AS n_tokens, count(DISTINCT idx) AS n_numbers, min(idx) AS low, max(idx) AS high FROM
+    (SELECT * FROM old UNION ALL SELECT token, CAST((SELECT max(idx) FROM old) + row_number() OVER (ORDER BY token) AS INTEGER) FROM fresh)""",
+)
+def _merged_vocabulary(spark, d):
+    none = spark.createDataFrame([], "token string, idx int")
+    terms = lambda name, col: table(spark, d, name).select(F.explode(X.tokens(F.col(col))).alias("token"))
+    old = search.merge_vocabulary(none, terms("chat_sessions", "title"))
+    both = search.merge_vocabulary(old, terms("feedback", "question"))
+    return both.agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("idx").alias("n_numbers"), F.min("idx").alias("low"), F.max("idx").alias("high"))
+
+
+def _query_terms(spark, d):
+    asked = table(spark, d, "feedback").filter("feedback_id % 20 = 0").select("feedback_id", "question").distinct()
+    return search.term_weights(asked, ["feedback_id"], "question").withColumnRenamed("feedback_id", "query_id")
+
+
+_SPARSE = (
+    "WITH p AS (" + _WEIGHTS.format(key="parent_id", text="content", tokens=_tokens("content"), table="parents") + "), "
+    "q AS (" + _WEIGHTS.format(key="feedback_id", text="question", tokens=_tokens("question"), table="(SELECT * FROM feedback WHERE feedback_id % 20 = 0)") + "), "
+    "s AS (SELECT feedback_id AS query_id, parent_id, round(sum(round(q.w * p.w, 9)), 6) AS score FROM q JOIN p USING (token) GROUP BY 1, 2), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS rank FROM s) "
+)
+
+
+@_query("J05_sparse_search", _SPARSE + "SELECT query_id, parent_id, score, rank FROM r WHERE rank <= 20")
+def _sparse(spark, d):
+    postings = search.term_weights(_passages(spark, d), ["parent_id"], "content")
+    return search.sparse_search(_query_terms(spark, d), postings, ["parent_id"])
+
+
+_DENSE = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(id AS VARCHAR)) AS rank FROM s) """
+
+
+@_query("J06_E05_dense_search", _DENSE + "SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(id AS VARCHAR) AS id, score, rank FROM r WHERE rank <= 20")
+def _dense(spark, d):
+    v = table(spark, d, "embeddings")
+    return search.dense_search(v.filter("vec_id % 20 = 0"), v, "vec_id", "embedding").select("query_id", "id", "score", "rank")
+
+
+@_query(
+    "A12_fusion",
+    _SPARSE
+    + ", p2 AS ("
+    + _WEIGHTS.format(key="parent_id", text="summary", tokens=_tokens("summary"), table="(SELECT * FROM parents WHERE summary IS NOT NULL)")
+    + """), s2 AS (SELECT feedback_id AS query_id, parent_id, round(sum(round(q.w * p2.w, 9)), 6) AS score FROM q JOIN p2 USING (token) GROUP BY 1, 2),
+    r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS rank FROM s2),
+    f AS (SELECT query_id, parent_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, parent_id, rank FROM r WHERE rank <= 20 UNION ALL SELECT query_id, parent_id, rank FROM r2 WHERE rank <= 20) GROUP BY 1, 2)
+    SELECT * FROM (SELECT query_id, parent_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS rank FROM f) WHERE rank <= 20""",
+)
+def _fusion(spark, d):
+    terms = _query_terms(spark, d)
+    by_content = search.sparse_search(terms, search.term_weights(_passages(spark, d), ["parent_id"], "content"), ["parent_id"])
+    summaries = table(spark, d, "parents").filter("summary is not null").select("parent_id", "summary").distinct()
+    by_summary = search.sparse_search(terms, search.term_weights(summaries, ["parent_id"], "summary"), ["parent_id"])
+    lists = by_content.select("query_id", "parent_id", "rank").unionByName(by_summary.select("query_id", "parent_id", "rank"))
+    return search.fuse(lists, ["query_id"], ["parent_id"])
+
+
+def _asked(spark, d):
+    return table(spark, d, "feedback").filter("feedback_id % 20 = 0 and question is not null").groupBy(F.col("feedback_id").alias("query_id")).agg(F.min("question").alias("question")).withColumn("response", F.lit(None).cast("string"))
+
+
+@_query("E10_federated_retrieval")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid retrieval of every twentieth question over the passages of all collections."""
+    passages = store.latest(table(spark, d, "parents").filter("content is not null").select("collection", F.col("parent_id").alias("passage_id"), F.col("content").alias("text")), ["collection", "passage_id"], ["text"])
+    return search.retrieve(_asked(spark, d), passages).select("query_id", "collection", "passage_id", "score", "rank")
+
+
+@_query("E12_J01_parent_context", """WITH c AS (SELECT DISTINCT m.id, s.rank, s.source, s.content FROM (SELECT id, unnest(sources) AS s FROM chat_messages)  m),
+  p AS (SELECT source, content AS full_text, parent_id FROM parents GROUP BY ALL),
+  h AS (SELECT left(sha256(source || left(full_text, 60)), 16) AS k, min(full_text) AS parent_content FROM p WHERE source IS NOT NULL AND full_text IS NOT NULL GROUP BY 1)
+  SELECT id, rank, length(coalesce(parent_content, c.content)) AS n FROM c LEFT JOIN h ON left(sha256(c.source || left(c.content, 60)), 16) = h.k""")
+def _parent_context(spark, d):
+    shown = table(spark, d, "chat_messages").select("id", F.explode("sources").alias("s")).select("id", "s.rank", "s.source", F.col("s.content").alias("text")).distinct()
+    key = lambda t: F.left(F.sha2(F.concat("source", F.left(t, F.lit(60))), 256), F.lit(16))
+    parents = table(spark, d, "parents").filter("source is not null and content is not null").select(key(F.col("content")).alias("k"), "content").groupBy("k").agg(F.min("content").alias("content"))
+    return search.with_parents(shown.withColumn("k", key(F.col("text"))), parents, ["k"]).select("id", "rank", F.length("content").alias("n"))
+
+
+@_query("E09_K07_rerank", _SPARSE + rf""", c AS (SELECT r.query_id, r.parent_id, list_distinct({_tokens('f.question')}) AS q, list_distinct({_tokens('p2.content')}) AS t
+    FROM r JOIN (SELECT DISTINCT feedback_id, question FROM feedback) f ON f.feedback_id = r.query_id JOIN (SELECT parent_id, min(content) AS content FROM parents GROUP BY 1) p2 ON p2.parent_id = r.parent_id WHERE r.rank <= 20),
+    z AS (SELECT query_id, parent_id, round(len(list_intersect(q, t)) / len(q), 6) AS score FROM c)
+    SELECT * FROM (SELECT query_id, parent_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS rank FROM z) WHERE rank <= 5""")
+def _rerank(spark, d):
+    found = _sparse(spark, d).select("query_id", "parent_id")
+    asked = table(spark, d, "feedback").select(F.col("feedback_id").alias("query_id"), "question").distinct()
+    texts = table(spark, d, "parents").groupBy("parent_id").agg(F.min("content").alias("content"))
+    return search.rerank(found.join(asked, "query_id").join(texts, "parent_id"), "question", "content", ["parent_id"]).select("query_id", "parent_id", "score", "rank")
+
+
+@_query("E02_embeddings")
+def _embeddings(spark, d):
+    return _passages(spark, d).filter("content is not null").select("parent_id", models.embed(F.col("content"), models.HashEmbedder()).alias("dense"))
+
+
+@_query("E04_expansions", r"""SELECT DISTINCT feedback_id, [question] || list_slice(list_filter([regexp_replace(question, '^[\d.)\-*]+\s*', '')], lambda x: x <> ''), 1, 3) AS texts
+    FROM feedback WHERE question IS NOT NULL AND NOT contains(question, chr(10)) AND trim(question) = question AND question <> ''""")
+def _expansions(spark, d):
+    q = table(spark, d, "feedback").filter("question is not null and not contains(question, '\n') and trim(question) = question and question != ''")
+    return q.select("feedback_id", models.expansions(F.col("question"), F.col("question")).alias("texts")).distinct()
+
+
+# -- routing and semi-structured data ------------------------------------------------------------
+
+
+_LEGAL_SQL = routing.LEGAL.replace("\\s*", r"[\s\p{Z}]*").replace("'", "''")
+
+
+@_query("X16_X18_routing", rf"SELECT DISTINCT feedback_id, coalesce(regexp_matches(question, '{_LEGAL_SQL}', 'i'), false) AS legal FROM feedback")
+def _legal(spark, d):
+    return table(spark, d, "feedback").select("feedback_id", routing.matches(F.col("question"), routing.LEGAL).alias("legal")).distinct()
+
+
+@_query("X17_asked_names")
+def _asked_names(spark, d):
+    return table(spark, d, "feedback").select("feedback_id", routing.by_keywords(F.col("question")).alias("r")).select("feedback_id", "r.*").distinct()
+
+
+@_query("X15_R01_model_routing")
+def _model_routing(spark, d):
+    rows = table(spark, d, "chat_messages").filter("role = 'user'").select("id", "content").distinct()
+    response = F.concat(F.lit('ok {"collections_to_search": ["legal", "x"], "price": "'), F.when(F.length("content") % 2 == 0, "false").otherwise(""), F.lit('", "price_name": null} end'))
+    return rows.select("id", routing.route(F.col("content"), response).alias("r")).select("id", "r.*")
+
+
+@_query("J12_physical_names", "SELECT DISTINCT source, [CASE WHEN collection = 'legal' THEN 'laws_v1' ELSE 'drugs_v1' END] AS names FROM source_catalog WHERE collection IN ('legal', 'drug_info')")
+def _physical(spark, d):
+    rows = table(spark, d, "source_catalog").filter(F.col("collection").isin("legal", "drug_info"))
+    return rows.select("source", routing.physical(F.array("collection"), {"legal": "laws_v1", "drug_info": "drugs_v1"}).alias("names")).distinct()
+
+
+@_query(
+    "X24_event_properties",
+    "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1",
+)
+def _props(spark, d):
+    rows = table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return rows
+
+
+@_query(
+    "R05_offers",
+    """WITH m AS (SELECT DISTINCT id, price_data FROM chat_messages WHERE price_data IS NOT NULL AND json_valid(price_data)),
+    e AS (SELECT id, json_extract_string(price_data, '$.drug_name') AS name, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS entry_no, unnest(l) AS p FROM (SELECT *, CAST(json_extract(price_data, '$.prices') AS JSON[]) AS l FROM m))
+    SELECT id, name, entry_no, CAST(json_extract(p, '$.price_raw') AS BIGINT) AS price, json_extract_string(p, '$.unit') AS unit FROM e WHERE CAST(json_extract(p, '$.price_raw') AS BIGINT) > 0""",
+)
+def _offers(spark, d):
+    data = F.try_parse_json("price_data")
+    rows = table(spark, d, "chat_messages").filter("price_data is not null").select("id", "price_data").distinct().withColumn("v", data)
+    spread = rows.select("id", F.try_variant_get("v", "$.drug_name", "string").alias("name"), F.posexplode(F.try_variant_get("v", "$.prices", "array<variant>")).alias("entry_no", "p"))
+    return spread.select("id", "name", "entry_no", F.try_variant_get("p", "$.price_raw", "bigint").alias("price"), F.try_variant_get("p", "$.unit", "string").alias("unit")).filter("price > 0")
+
+
+@_query("S14_page_offers")
+def _page_offers(spark, d):
+    rows = table(spark, d, "chat_messages").filter("price_data is not null").select("id", "price_data").distinct()
+    page = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"products":[{"name":"'), F.col("id"), F.lit('","prices":[{"price":'), (F.length("price_data")).cast("string"), F.lit(',"unit":"box"}]}]}}}</script></html>'))
+    return semistructured.offers(rows.select("id", page.alias("html")), "html").select("id", "product_no", "name", "entry_no", "price", "unit")
+
+
+@_query(
+    "A13_grouped_offers",
+    """SELECT p_name, count(*) AS n_offers, min(l_extendedprice) AS low, max(l_extendedprice) AS high, min({'p': l_extendedprice, 's': l_suppkey}).s AS cheapest_supplier
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""",
+)
+def _grouped(spark, d):
+    joined = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice").join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    offer = F.struct(F.col("l_extendedprice").alias("p"), F.col("l_suppkey").alias("s"))
+    # a name may have any number of offers, so they are summarised and not listed
+    return joined.groupBy("p_name").agg(F.count(F.lit(1)).alias("n_offers"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.min(offer).alias("c")).select("p_name", "n_offers", "low", "high", F.col("c.s").alias("cheapest_supplier"))
+
+
+@_query(
+    "K08_session_offers",
+    """WITH m AS (SELECT DISTINCT id, price_data FROM chat_messages WHERE price_data IS NOT NULL AND json_valid(price_data)),
+    e AS (SELECT id, CAST(json_extract(unnest(CAST(json_extract(price_data, '$.prices') AS JSON[])), '$.price_raw') AS BIGINT) AS price FROM m)
+    SELECT id, list_sort(list(price)) AS prices, min(price) AS low, max(price) AS high, count(*) AS n_offers FROM e WHERE price > 0 GROUP BY 1""",
+)
+def _message_offers(spark, d):
+    g = semistructured.grouped_offers(_offers(spark, d), "id", "price", ["entry_no"], ["unit"])
+    return g.select("id", F.transform("offers", lambda o: o["price"]).alias("prices"), "low", "high", "n_offers")
+
+
+# -- contexts ------------------------------------------------------------------------------------
+
+_M = "(SELECT DISTINCT id, session_id, seq, role, content, created_at FROM chat_messages WHERE session_id IS NOT NULL AND seq IS NOT NULL)"
+
+
+def _messages(spark, d):
+    return table(spark, d, "chat_messages").filter("session_id is not null and seq is not null").select("id", "session_id", "seq", "role", "content", "created_at").distinct()
+
+
+@_query(
+    "W03_last_turns",
+    f"""SELECT session_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, id DESC) AS place FROM {_M})
+    WHERE place <= 8 AND coalesce(content, '') <> '' AND role IN ('user', 'assistant')""",
+)
+def _last(spark, d):
+    return context.last_turns(_messages(spark, d), "session_id", ["seq", "id"], 8).select("session_id", "id", "place")
+
+
+@_query(
+    "W02_histories",
+    f"""SELECT session_id, string_agg(CASE WHEN role = 'user' THEN 'Người dùng' ELSE 'Trợ lý' END || ': ' || left(content, 400), chr(10) ORDER BY place DESC) AS history
+    FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, id DESC) AS place FROM {_M})
+    WHERE place <= 6 AND coalesce(content, '') <> '' AND role IN ('user', 'assistant') GROUP BY 1""",
+)
+def _histories(spark, d):
+    return context.rendered_history(_messages(spark, d), "session_id", ["seq", "id"])
+
+
+@_query(
+    "J11_preceding_questions",
+    f"""SELECT id, session_id, question FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question
+    FROM {_M}) WHERE role = 'assistant'""",
+)
+def _preceding(spark, d):
+    return context.preceding_question(_messages(spark, d), "session_id", ["seq", "id"]).filter("role = 'assistant'").select("id", "session_id", "question")
+
+
+_CTX = "(SELECT DISTINCT id, s.rank AS rank, s.source AS source, s.summary AS summary, s.content AS content, s.collection_name AS collection_name, s.page AS page FROM (SELECT id, unnest(sources) AS s FROM chat_messages))"
+
+
+def _contexts(spark, d):
+    return table(spark, d, "chat_messages").select("id", F.explode("sources").alias("s")).select("id", "s.*").distinct()
+
+
+@_query(
+    "X20_context_blocks",
+    f"""SELECT id, string_agg('[Source ' || rank || ']' || chr(10) || {_STRIP.format("coalesce(content, '')")} || chr(10) || '(Nguồn: ' || coalesce(source, 'Unknown') || ')', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS block
+    FROM {_CTX} GROUP BY 1""",
+)
+def _blocks(spark, d):
+    return context.context_blocks(_contexts(spark, d), ["id"])
+
+
+@_query(
+    "A17_merged_sources",
+    f"""SELECT id, source, collection_name, list(content ORDER BY rank) AS contents, min_by(summary, rank) FILTER (WHERE coalesce(summary, '') <> '') AS summary, count(*) AS n
+    FROM {_CTX} WHERE content IS NOT NULL GROUP BY 1, 2, 3""",
+)
+def _merged(spark, d):
+    return context.merged_sources(_contexts(spark, d).filter("content is not null"), ["id"]).select("id", "source", "collection_name", "contents", "summary", F.size("contents").cast("bigint").alias("n"))
+
+
+@_query(
+    "X23_prompt_kinds",
+    "SELECT DISTINCT id, CASE WHEN coalesce(len(sources), 0) > 0 AND price_data IS NOT NULL THEN 'combined' WHEN price_data IS NOT NULL THEN 'price' WHEN coalesce(len(sources), 0) > 0 THEN 'rag' ELSE 'none' END AS kind FROM chat_messages",
+)
+def _prompt_kinds(spark, d):
+    has = F.coalesce(F.size("sources") > 0, F.lit(False))
+    return table(spark, d, "chat_messages").select("id", context.prompt_kind(has, F.col("price_data").isNotNull()).alias("kind")).distinct()
+
+
+# -- operational tables --------------------------------------------------------------------------
+
+
+@_query("K01_latest_sessions", "SELECT id, user_id, max(updated_at) AS updated_at FROM chat_sessions GROUP BY 1, 2")
+def _sessions(spark, d):
+    return store.latest(table(spark, d, "chat_sessions").select("id", "user_id", "updated_at"), ["id", "user_id"], ["updated_at"])
+
+
+@_query("K02_ordered_messages", f"SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY created_at NULLS FIRST, seq, id) AS place FROM {_M}")
+def _ordered(spark, d):
+    from pyspark.sql.window import Window as W
+
+    return _messages(spark, d).select("session_id", "id", F.row_number().over(W.partitionBy("session_id").orderBy(F.asc_nulls_first("created_at"), "seq", "id")).alias("place"))
+
+
+@_query("K03_newest_users", "SELECT DISTINCT id, created_at FROM users ORDER BY created_at DESC NULLS LAST, id LIMIT 50")
+def _users(spark, d):
+    return table(spark, d, "users").select("id", "created_at").distinct().orderBy(F.desc_nulls_last("created_at"), "id").limit(50)
+
+
+@_query("K04_newest_feedback", "SELECT DISTINCT feedback_id, timestamp FROM feedback WHERE rating = 'down' ORDER BY timestamp DESC NULLS LAST, feedback_id DESC LIMIT 100")
+def _newest(spark, d):
+    return table(spark, d, "feedback").filter("rating = 'down'").select("feedback_id", "timestamp").distinct().orderBy(F.desc_nulls_last("timestamp"), F.desc("feedback_id")).limit(100)
+
+
+@_query("P04_stored_feedback", "SELECT DISTINCT feedback_id, left(question, 500) AS question, left(coalesce(comment, ''), 500) AS comment, coalesce(session_id, '') AS session_id FROM feedback WHERE rating IN ('up', 'down')")
+def _stored(spark, d):
+    return store.stored_feedback(table(spark, d, "feedback")).select("feedback_id", "question", "comment", "session_id").distinct()
+
+
+@_query("P05_P07_spoken", "SELECT role, count(DISTINCT id) AS n FROM chat_messages WHERE role IN ('user', 'assistant') AND coalesce(content, '') <> '' GROUP BY 1")
+def _spoken(spark, d):
+    return table(spark, d, "chat_messages").filter("role in ('user', 'assistant') and coalesce(content, '') != ''").groupBy("role").agg(F.countDistinct("id").alias("n"))
+
+
+@_query("P06_user_sessions", "SELECT user_id, count(DISTINCT id) AS n FROM chat_sessions GROUP BY 1")
+def _user_sessions(spark, d):
+    return table(spark, d, "chat_sessions").groupBy("user_id").agg(F.countDistinct("id").alias("n"))
+
+
+@_query("P15_user_names", f"SELECT DISTINCT id, lower({_STRIP.format('email')}) AS email, coalesce(length({_STRIP.format('email')}) >= 3 AND length(password_hash) >= 6, false) AS ok FROM users")
+def _user_names(spark, d):
+    return table(spark, d, "users").select("id", store.user_name(F.col("email")).alias("email"), store.may_register(F.col("email"), F.col("password_hash")).alias("ok")).distinct()
+
+
+@_query("J08_unknown_users", "SELECT DISTINCT s.id FROM chat_sessions s WHERE s.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = s.user_id)")
+def _unknown(spark, d):
+    return table(spark, d, "chat_sessions").filter("user_id is not null").join(table(spark, d, "users").select(F.col("id").alias("user_id")), "user_id", "left_anti").select("id").distinct()
+
+
+@_query("J09_cascade", "WITH gone AS (SELECT DISTINCT id FROM users WHERE last_login_at IS NULL) SELECT DISTINCT id FROM chat_messages WHERE user_id IS NULL OR user_id NOT IN (SELECT id FROM gone WHERE id IS NOT NULL)")
+def _cascade(spark, d):
+    return store.without(table(spark, d, "chat_messages").select("id", "user_id"), table(spark, d, "users").filter("last_login_at is null and id is not null"), "user_id").select("id").distinct()
+
+
+@_query("J10_without_source", "SELECT DISTINCT doc_id FROM documents WHERE source IS DISTINCT FROM 'bang-gia-quy.xlsx'")
+def _without_source(spark, d):
+    return store.without_source(table(spark, d, "documents"), "bang-gia-quy.xlsx").select("doc_id").distinct()
+
+
+@_query(
+    "U06_upserted_sessions",
+    """WITH o AS (SELECT id, max({'updated_at': updated_at, 'user_id': user_id, 'title': title, 'created_at': created_at}) AS r FROM chat_sessions GROUP BY 1),
+    n AS (SELECT session_id AS id, min(user_id) AS user_id, max(created_at) AS updated_at, min(created_at) AS created_at FROM chat_messages WHERE session_id IS NOT NULL GROUP BY 1)
+    SELECT coalesce(o.id, n.id) AS id, coalesce(o.r.user_id, n.user_id) AS user_id, coalesce(o.r.created_at, n.created_at) AS created_at,
+      CASE WHEN (o.id IS NULL OR n.user_id IS NOT DISTINCT FROM o.r.user_id) AND n.updated_at IS NOT NULL THEN n.updated_at ELSE o.r.updated_at END AS updated_at
+    FROM o FULL JOIN n ON o.id = n.id""",
+)
+def _upserted(spark, d):
+    old = store.latest(table(spark, d, "chat_sessions").select("id", "user_id", "title", "created_at", "updated_at"), ["id"], ["updated_at"])
+    new = table(spark, d, "chat_messages").filter("session_id is not null").groupBy(F.col("session_id").alias("id")).agg(
+        F.min("user_id").alias("user_id"), F.lit("New chat").alias("title"), F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at")
+    )
+    return store.upsert_sessions(old, new).drop("title")
+
+
+@_query("U08_roles", "SELECT DISTINCT id, CASE WHEN id LIKE '2%' THEN true ELSE is_admin END AS is_admin FROM users")
+def _roles(spark, d):
+    return store.set_where(table(spark, d, "users"), "is_admin", F.lit(True), F.col("id").like("2%")).select("id", "is_admin").distinct()
+
+
+@_query(
+    "U05_S07_merged_parents",
+    """WITH p AS (SELECT DISTINCT parent_id, source FROM parents), n AS (SELECT DISTINCT parent_id, 'new' AS source FROM parents WHERE collection = 'legal')
+    SELECT parent_id, source FROM p WHERE parent_id NOT IN (SELECT parent_id FROM n) UNION ALL SELECT * FROM n""",
+)
+def _merged_parents(spark, d):
+    old = table(spark, d, "parents").select("parent_id", "source").distinct()
+    new = table(spark, d, "parents").filter("collection = 'legal'").select("parent_id", F.lit("new").alias("source")).distinct()
+    return store.merged(old, new, ["parent_id"])
+
+
+@_query("S16_collections", "SELECT collection, count(DISTINCT source) AS sources, count(*) AS rows FROM documents GROUP BY 1")
+def _collections(spark, d):
+    return table(spark, d, "documents").groupBy("collection").agg(F.countDistinct("source").alias("sources"), F.count(F.lit(1)).alias("rows"))
+
+
+@_query("S15_source_scroll", "SELECT doc_id, page FROM documents WHERE source = 'quy-che-kho.docx'")
+def _scroll(spark, d):
+    return table(spark, d, "documents").filter(F.col("source") == "quy-che-kho.docx").select("doc_id", "page")
+
+
+# -- analytics -----------------------------------------------------------------------------------
+
+_SPINE = "(SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day)"
+
+
+def _daily(name: str, table_: str, ts: str, where: str = "true") -> None:
+    _QUERIES[name] = lambda spark, d: analytics.daily(table(spark, d, table_).filter(where), ts, AS_OF)
+    _SQL[name] = f"SELECT s.day, coalesce(n, 0) AS n FROM {_SPINE} s LEFT JOIN (SELECT CAST({ts} AS DATE) AS day, count(*) AS n FROM {table_} WHERE {where} GROUP BY 1) c USING (day)"
+
+
+_daily("A02_users_per_day", "users", "created_at")
+_daily("A03_sessions_per_day", "chat_sessions", "created_at")
+_daily("A04_answers_per_day", "chat_messages", "created_at", "role = 'assistant'")
+_daily("A05_feedback_per_day", "feedback", "timestamp")
+_daily("X25_J07_events_per_day", "events", "ts")
+
+
+@_query("A01_totals", "SELECT 'users' AS name, count(DISTINCT id) AS n FROM users UNION ALL SELECT 'sessions', count(DISTINCT id) FROM chat_sessions UNION ALL SELECT 'messages', count(DISTINCT id) FROM chat_messages")
+def _totals(spark, d):
+    one = lambda t, n: table(spark, d, t).agg(F.lit(n).alias("name"), F.countDistinct("id").alias("n"))
+    return one("users", "users").unionByName(one("chat_sessions", "sessions")).unionByName(one("chat_messages", "messages"))
+
+
+@_query(
+    "A06_A18_ratings",
+    "SELECT count(*) FILTER (WHERE rating = 'up') AS up, count(*) FILTER (WHERE rating = 'down') AS down, count(*) AS total, CAST(round(100.0 * count(*) FILTER (WHERE rating = 'up') / count(*)) AS BIGINT) AS positive_rate FROM feedback",
+)
+def _ratings(spark, d):
+    return analytics.rating_counts(table(spark, d, "feedback"))
+
+
+_USAGE = "SELECT CAST(ts AS DATE) AS day, sum(CAST(value AS BIGINT)) AS prompt_tokens, sum(CAST(user_id % 50 AS BIGINT)) AS completion_tokens, count(*) AS requests FROM events WHERE CAST(floor(value) AS BIGINT) <> 0 OR user_id % 50 <> 0"
+_USAGE = _USAGE.replace("sum(CAST(value AS BIGINT))", "sum(CAST(floor(value) AS BIGINT))")
+
+
+def _used(spark, d):
+    return table(spark, d, "events").select("ts", F.floor("value").alias("prompt"), (F.col("user_id") % 50).alias("completion"))
+
+
+@_query("A07_usage", _USAGE + " GROUP BY ROLLUP (1)")
+def _usage(spark, d):
+    return analytics.usage(_used(spark, d), "ts", "prompt", "completion")
+
+
+@_query("A08_K11_recent_usage", f"SELECT day, prompt_tokens + completion_tokens AS n FROM ({_USAGE} GROUP BY 1) ORDER BY day DESC LIMIT 7")
+def _recent(spark, d):
+    return analytics.recorded_days(_usage(spark, d), 7).select("day", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("n"))
+
+
+@_query("A09_parents_per_source", "SELECT coalesce(source, 'Unknown') AS source, count(*) AS n FROM parents GROUP BY 1")
+def _per_source(spark, d):
+    return table(spark, d, "parents").groupBy(F.coalesce("source", F.lit("Unknown")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("A21_any_positive", f"SELECT bool_or(coalesce(n, 0) > 0) AS shown FROM {_SPINE} s LEFT JOIN (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) c USING (day)")
+def _any(spark, d):
+    return analytics.daily(table(spark, d, "events"), "ts", AS_OF).agg(analytics.any_positive("n").alias("shown"))
+
+
+@_query("X30_busy_minutes", "SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 2")
+def _busy(spark, d):
+    return analytics.busy_minutes(table(spark, d, "events"), "event_type", "ts", 2)
+
+
+@_query(
+    "S08_cache_lookups",
+    "SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id)) <= 300000000, false) AS fresh FROM events",
+)
+def _stale(spark, d):
+    return analytics.stale_lookups(table(spark, d, "events"), "event_type", "ts", "event_id").select("event_id", "fresh")
+
+
+def queries() -> dict[str, Query]:
     """Query name to callable."""
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    """Query name to SQL."""
-    return {}
+    """Query name to SQL; queries without an entry are tested against brute force."""
+    return dict(_SQL)
