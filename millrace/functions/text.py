@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +27,11 @@ def _fold_map() -> tuple[str, str]:
 _FROM, _TO = _fold_map()
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, also where ``use`` refers to it within a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip_space(text: Column) -> Column:
     """Remove leading and trailing whitespace of any kind, not spaces only."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -69,9 +75,15 @@ def windows(units: Column, size: int, overlap: int, joint: str) -> Column:
     """Overlapping groups of ``size`` units, joined. The step is ``size - overlap``; a group that would hold only overlap is left out."""
     if size <= overlap:
         raise ValueError("a window must be larger than its overlap")
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(units) - 1, F.lit(0)), F.lit(size - overlap)), lambda s: (s == 0) | (s + overlap < F.size(units)))
-    joined = F.transform(starts, lambda s: F.array_join(F.slice(units, s + 1, F.lit(size)), joint))
-    return F.when(F.size(units) > 0, joined).otherwise(F.array().cast("array<string>"))
+
+    def groups(u: Column) -> Column:
+        n = F.size(u)
+        # the first group always, a later one at s only if s + overlap < n
+        last = F.greatest(F.lit(0), F.floor((n - overlap - 1) / (size - overlap))).cast("int") * (size - overlap)
+        joined = F.transform(F.sequence(F.lit(0), last, F.lit(size - overlap)), lambda s: F.array_join(F.slice(u, s + 1, F.lit(size)), joint))
+        return F.when(n > 0, joined).otherwise(F.array().cast("array<string>"))
+
+    return once(units, groups)
 
 
 def plain_words(text: Column) -> Column:
@@ -102,12 +114,13 @@ def name_case(name: Column) -> Column:
 
 def is_near_name(query: Column, name: Column) -> Column:
     """Whether a name is near a query: two query words (or the only one) and name words contain one another, or a long single word shares its first four letters."""
-    q, n = words(plain_words(query)), words(plain_words(name))
-    matched = F.filter(q, lambda x: F.exists(n, lambda y: y.contains(x) | x.contains(y)))
-    stem = (F.length(q[0]) >= 5) & F.exists(n, lambda y: y.contains(F.left(q[0], F.lit(4))))
-    return (
-        F.when((F.size(q) == 0) | (F.size(n) == 0), True).when(F.size(q) >= 2, F.size(matched) >= 2).otherwise((F.size(matched) > 0) | stem)
-    )
+
+    def near(q: Column, n: Column) -> Column:
+        matched = F.size(F.filter(q, lambda x: F.exists(n, lambda y: y.contains(x) | x.contains(y))))
+        stem = (F.length(F.get(q, F.lit(0))) >= 5) & F.exists(n, lambda y: y.contains(F.left(F.get(q, F.lit(0)), F.lit(4))))
+        return F.when((F.size(q) == 0) | (F.size(n) == 0), True).when(F.size(q) >= 2, matched >= 2).otherwise((matched > 0) | stem)
+
+    return once(words(plain_words(query)), lambda q: once(words(plain_words(name)), lambda n: near(q, n)))
 
 
 def parent_id(content: Column, position: Column) -> Column:
