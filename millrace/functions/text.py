@@ -136,7 +136,7 @@ def shortened(text: Column, limit: int, mark: str = "...") -> Column:
 def labelled_line(text: Column, label: str) -> Column:
     """What follows a label at the beginning of a line, any case; of several lines the last; null if there is none."""
     found = F.regexp_extract_all(text, F.lit(rf"(?im)^{label}:(.*)$"), F.lit(1))
-    return F.nullif(strip_space(F.element_at(found, -1)), F.lit(""))
+    return F.nullif(strip_space(F.try_element_at(found, F.lit(-1))), F.lit(""))
 
 
 def without_citations(text: Column) -> Column:
