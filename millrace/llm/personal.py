@@ -352,7 +352,7 @@ def instances(texts: DataFrame) -> DataFrame:
     if not words:
         return accepted.filter("kind != 'NAME' or seed = 1").select("vid", "kind", "start_at", "end_at", "score")
     # one word alone has to be known from names
-    accepted = accepted.filter((F.col("kind") != "NAME") | (F.size("name_words") > 1) | (F.coalesce("seed", F.lit(0)) == 1) | F.col("name_words")[0].isin(*sorted(words)))
+    accepted = accepted.filter((F.col("kind") != "NAME") | (F.size("name_words") > 1) | (F.coalesce("seed", F.lit(0)) == 1) | F.get("name_words", F.lit(0)).isin(*sorted(words)))
     lower = materialize(values.mapInPandas(_lower_names(firsts, words), _CANDIDATE), "lower")
     more, _ = _scored(lower, materialize(patterns, "patterns"))
     found = accepted.unionByName(more.filter(F.coalesce("score", F.lit(0.0)) >= ACCEPT))

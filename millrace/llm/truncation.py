@@ -277,7 +277,7 @@ def _log_odds(pairs: Column, word_wise: Column) -> Column:
 
     The own end, and those of values that end alike, are the count of the whole end.
     """
-    alike = F.coalesce(F.element_at(F.filter(pairs, lambda p: p["place"] == WHOLE), 1)["e"], F.lit(0))
+    alike = F.coalesce(F.get(F.filter(pairs, lambda p: p["place"] == WHOLE), F.lit(0))["e"], F.lit(0))
     chain = F.array_sort(F.filter(pairs, lambda p: p["place"] < WHOLE))
 
     def rate(top: str, of: str, start: float, places: tuple[int, ...] | None) -> Column:
