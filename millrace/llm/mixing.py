@@ -30,6 +30,8 @@ from millrace.llm.tokens import count_column
 from millrace.plans.session import materialize
 
 BINS = 4096
+#: Parts into which a source's documents are spread where they meet the targets.
+SALTS = 32
 #: Steps per doubling of a document's tokens in the summary from which the scale is worked out.
 STEPS = 16
 
@@ -88,11 +90,12 @@ def _wanted(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(sizes: DataFrame, targets: DataFrame, seed: int = 17, power: float = 0.5) -> DataFrame:
     """``mix_name, source, doc_id, tokens, uses``: the documents of each mix with their number of uses.
 
-    ``sizes`` has one row per document (``token_sizes``). ``targets`` is the table of mixes; its size is
-    that of a configuration, and it is only broadcast if Spark finds it below its own limit.
+    ``sizes`` has one row per document (``token_sizes``). A source may hold any part of the documents, so the join with
+    the targets is salted; it becomes a broadcast only if Spark measures the targets below its own limit.
     """
     scaled = _scales(sizes, _wanted(sizes, targets), power)
-    docs = scaled.join(sizes, "source")
+    spread = scaled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    docs = spread.join(sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), ["source", "salt"]).drop("salt")
     expected = F.least(F.coalesce(F.col("scale") * F.pow("tokens", F.lit(power)), F.col("most").cast("double")), F.col("most").cast("double"))
     unit = (F.pmod(F.xxhash64(F.lit(seed), "mix_name", "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     drawn = docs.withColumn("expected", expected).withColumns({"whole": F.floor("expected"), "part": F.col("expected") - F.floor("expected")})

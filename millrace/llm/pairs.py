@@ -45,7 +45,11 @@ _REFUSE = (
     r"khong (?:duoc phep|co quyen|du tham quyen|co kha nang|the nao) ?(?:tu van|tra loi|cung cap|dua ra|ho tro)?",
     r"vuot qua (?:kha nang|pham vi|tham quyen)|ngoai (?:kha nang|pham vi|tham quyen)",
     r"(?:chua|khong) (?:co|tim thay|tim duoc|nam duoc|thay)(?: duoc)? (?:du lieu|thong tin|noi dung|tai lieu|ket qua|cau tra loi)",
-    r"(?:nguon|tai lieu|tai lieu tham khao|nguon tham khao|ngu canh|he thong)[^.]{0,30} khong (?:de cap|noi|tim thay|co|nhac|cho biet|du)",
+    r"\b(?:khong|chua) (?:co|du|co du) (?:ngu canh|can cu|co so|thong tin|du lieu|tai lieu|dieu kien)\b",
+    r"\bno (?:[a-z]+ )?(?:context|information|data|answer|source|document|result|match|basis)s? (?:was |were |is |are |could be |has been |have been )?(?:found|available|given|provided|for|about)\b|\b(?:not enough|insufficient|too little) (?:context|information|data)\b",
+    r"\b(?:won t|will not|wouldn t|would not) (?:be able to )?(?:provide|give|share|answer|discuss|comment|say|advise)\b|\bno basis\b",
+    r"\bpas assez d |\b(?:contexte|informations?|donnees) (?:insuffisante?s?|manquante?s?)\b|\baucune? [a-z]+ (?:n a ete|n est|ne)\b",
+    r"(?:nguon|tai lieu|tai lieu tham khao|nguon tham khao|ngu canh|he thong)[^.]{0,30} khong (?:de cap|noi|tim thay|co|nhac|cho biet|du)\b",
     r"\b(?:toi|minh|em) (?:khong ro|khong biet|chiu|khong chac|chua ro|chua biet)\b|^khong (?:ro|biet)\b",
     r"\b(?:can ?not|can ?t|could not|couldn t|unable to|not able to|am not allowed to|not permitted to) (?:[a-z]+ ){0,2}(?:answer|advise|help|assist|provide|tell|say|conclude|comment|comply|discuss|determine|respond|support|do that|be of)\b",
     r"\bnot (?:permitted|allowed|authori[sz]ed|able|qualified|in a position) to\b",
@@ -55,15 +59,16 @@ _REFUSE = (
     r"\b(?:do not|don t|does not|did not|didn t) (?:mention|have|know|contain|cover|say|find|state|provide)\b|\bnothing can be concluded\b|\bi am not sure\b|\bno idea\b|\bnot mentioned\b|\bnot covered\b",
     r"\b(?:ne|n) (?:peux|puis|pouvons|peut|sais|savons|suis|sommes|dispose|disposons|ai|avons|est|figure|mentionnent?|trouve)[^.]{0,40}\b(?:pas|aucune?|rien|point)\b|\bje ne (?:sais|peux)\b|\bn (?:ai|avons|a|y a) (?:aucune?|pas|rien)\b",
     r"\b(?:ne|n) (?:mentionnent?|contient|contiennent|trouve|a|ont|permet|permettent|est|sont|donne|donnent|parlent?|evoquent?)\b[^.]{0,30}\b(?:pas|rien|aucune?)\b|\brien (?:trouve|de pertinent|ne peut|ne permet)\b|\baucune? (?:donnee|information|element|reponse|resultat)\b",
-    r"\b(?:depasse|hors de|en dehors de|au dela de)[^.]{0,30}\b(?:capacites?|competences?|portee|perimetre|moi|champ|possibilites)\b|\bme depasse\b|\bje (?:prefere|prefererais) ne pas\b|\bje (?:refuse|decline)\b|\b(?:pas|non) (?:autorisee?|habilitee?)\b",
+    r"\b(?:depasse|hors de|en dehors de|au dela de)[^.]{0,30}\b(?:domaine|cadre|ressort|capacites?|competences?|portee|perimetre|moi|champ|possibilites)\b|\bme depasse\b|\bje (?:prefere|prefererais) ne pas\b|\bje (?:refuse|decline)\b|\b(?:pas|non) (?:autorisee?|habilitee?)\b",
 )
 _REFUSAL = "|".join(f"(?:{p})" for p in _REFUSE)
 #: What may stand beside a refusal without being an answer: regrets, closings and pointers elsewhere.
 _POLITE = (
-    r"(?:(?:thanh that |rat |that |chan thanh )*(?:xin loi|tiec|rat tiec)(?: ban| anh chi| quy khach)*|ve (?:cau hoi|van de|dieu) nay|vi ly do an toan|(?:mong|xin) (?:ban|anh chi|quy khach)? ?(?:thong cam|luong thu)|vui long [a-z ]*+|"
-    r"(?:ban|anh chi)? ?(?:nen|hay|co the|vui long) (?:hoi|gap|lien he|tham khao|thu)[a-z ]*+|(?:ban )?hoi (?:bac si|duoc si)[a-z ]*+|(?:nen )?xin phep dung[a-z ]*+|cam on[a-z ]*+|xin cam on|hen gap lai|"
-    r"(?:i am |i m |we are |very |so )*(?:sorry|afraid)[a-z ]*+|unfortunately|i apologi[sz]e|apologies|my apologies|on this point|please [a-z ]*+|(?:you should |better )*(?:ask|see|consult|contact|talk to|speak to|try)[a-z ]*+|(?:and )?have to stop here|for safety reasons?|thank you[a-z ]*+|thanks|"
-    r"(?:je suis |nous sommes )*(?:vraiment )?desolee?s?|malheureusement|sur ce point|pardon|veuillez[a-z ]*+|merci[a-z ]*+|(?:demandez|voyez|consultez|contactez|adressez|essayez|reessayez|interrogez)[a-z ]*+|pour des raisons de securite|et je dois m arreter[a-z ]*+)"
+    r"(?:(?:day|do) la (?:mot )?(?:van de|cau hoi|chu de|dieu) [a-z ]*+|this is (?:a|an) [a-z ]*?(?:matter|question|topic|issue)[a-z ]*+|(?:good|great) question|c est une? [a-z ]*?(?:question|sujet|point)[a-z ]*+|bonne question|"
+    r"(?:thanh that |rat |that |chan thanh )*(?:xin loi|tiec|rat tiec)(?: ban| anh chi| quy khach)*|ve (?:cau hoi|van de|dieu) nay|vi ly do an toan|(?:mong|xin) (?:ban|anh chi|quy khach)? ?(?:thong cam|luong thu)|vui long [a-z ]*+|"
+    r"(?:ban|anh chi)? ?(?:nen|hay|co the|vui long) (?:hoi|gap|lien he|tham khao|thu)[a-z ]*+|(?:ban )?hoi (?:bac si|duoc si)[a-z ]*+|(?:nen )?xin phep dung[a-z ]*+|cam on[a-z0-9 ]*+|xin cam on|hen gap lai|"
+    r"(?:i am |i m |we are |very |so )*(?:sorry|afraid)[a-z ]*+|unfortunately|i apologi[sz]e|apologies|my apologies|on this point|please [a-z ]*+|(?:you should |better )*(?:ask|see|consult|contact|talk to|speak to|try)[a-z ]*+|(?:and )?have to stop here|for safety reasons?|thank you[a-z0-9 ]*+|thanks|"
+    r"(?:je suis |nous sommes )*(?:vraiment )?desolee?s?|malheureusement|sur ce point|pardon|veuillez[a-z ]*+|merci[a-z0-9 ]*+|(?:demandez|voyez|consultez|contactez|adressez|essayez|reessayez|interrogez)[a-z ]*+|pour des raisons de securite|et je dois m arreter[a-z ]*+)"
 )
 
 #: Asking for an answer in a language, folded.
@@ -149,7 +154,8 @@ def defects(feedback: DataFrame) -> DataFrame:
     )
     scores = end_scores(values.filter("text is not null"), ["feedback.answer", "feedback.question"])
     cut = scores.filter("field = 'feedback.answer' and log_odds < bar").select("th", "th2", F.lit(True).alias("abrupt"))
-    keyed = pairs.withColumns({"th": F.xxhash64("answer"), "th2": F.hash("answer")}).join(cut, ["th", "th2"], "left")
+    # null answers, of which there may be many, don't share a key
+    keyed = pairs.withColumns({"th": F.when(F.col("answer").isNull(), F.xxhash64("feedback_id", F.lit("null"))).otherwise(F.xxhash64("answer")), "th2": F.hash("answer")}).join(cut, ["th", "th2"], "left")
     q, a = F.col("question"), F.col("answer")
     no = F.lit(False)
     tested = keyed.select(
@@ -157,7 +163,8 @@ def defects(feedback: DataFrame) -> DataFrame:
         F.coalesce(_empty(a), F.lit(True)).alias("empty"),
         F.coalesce(_copy(q, a), no).alias("copy"),
         F.coalesce(_refusal(a), no).alias("refusal"),
-        (F.coalesce(F.col("abrupt"), no) | F.coalesce(_unclosed(a), no)).alias("truncated"),
+        # a word with a full stop after it ends, however short the answer
+        ((F.coalesce(F.col("abrupt"), no) & ~a.rlike(r"\p{L}[.!?…]+[\"'”»)\]]*\s*$")) | F.coalesce(_unclosed(a), no)).alias("truncated"),
         F.coalesce(_other_language(q, a), no).alias("other_language"),
     )
     found = F.array(*[F.when(F.col(d) & ((F.lit(d) == "empty") | ~F.col("empty")), F.struct(F.lit(d).alias("defect"), F.lit(n).alias("rank"))) for n, d in enumerate(DEFECTS)])

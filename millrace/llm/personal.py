@@ -362,7 +362,8 @@ def instances(texts: DataFrame) -> DataFrame:
 def found_kinds(texts: DataFrame, found: DataFrame) -> DataFrame:
     """``feedback_id, field, kind``: the kinds of which a value has at least one instance."""
     kinds = found.select("vid", "kind").distinct()
-    return texts.withColumn("vid", F.xxhash64("text")).join(kinds, "vid").select("feedback_id", "field", "kind").distinct()
+    # empty values, of which there may be many, would share a key
+    return texts.filter(F.length("text") > 0).withColumn("vid", F.xxhash64("text")).join(kinds, "vid").select("feedback_id", "field", "kind").distinct()
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
@@ -383,10 +384,13 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 def redacted(texts: DataFrame, found: DataFrame) -> DataFrame:
     """``feedback_id, field, text, redacted``: every value with its instances replaced."""
     spans = found.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("kind", "start_at", "end_at"))).alias("spans"))
-    joined = texts.select("feedback_id", "field", "text").withColumn("vid", F.xxhash64("text")).join(spans, "vid", "left")
+    some = F.coalesce(F.length("text") > 0, F.lit(False))
+    rows = texts.select("feedback_id", "field", "text")
+    joined = rows.filter(some).withColumn("vid", F.xxhash64("text")).join(spans, "vid", "left")
 
     @F.pandas_udf("string")
     def replace(values: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([redact(t, [(s["kind"], s["start_at"], s["end_at"]) for s in p] if p is not None else []) for t, p in zip(values, places, strict=True)])
 
-    return joined.select("feedback_id", "field", "text", replace("text", "spans").alias("redacted"))
+    replaced = joined.select("feedback_id", "field", "text", replace("text", "spans").alias("redacted"))
+    return replaced.unionByName(rows.filter(~some).withColumn("redacted", F.col("text")))
