@@ -31,10 +31,31 @@ def rendered_history(messages: DataFrame, by: str, order: list[str], n: int = 6,
     return turns.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("history"))
 
 
-def preceding_question(messages: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """Adds ``question``: the last user content before a row."""
-    before = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return messages.withColumn("question", F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True).over(before))
+def preceding_question(messages: DataFrame, by: str, order: list[str], chunk: Column) -> DataFrame:
+    """Adds ``question``: the last user content before a row.
+
+    ``chunk`` cuts a group into stretches of its order (a range of numbers, an hour). Rows are sorted within
+    stretches, and one row for each stretch carries the last question on, so a large group isn't one task.
+    """
+    rows = messages.withColumn("_chunk", chunk)
+    asked = F.when(F.col("role") == "user", F.col("content"))
+    cell = W.partitionBy(by, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ends = rows.groupBy(by, "_chunk").agg(F.max_by(asked, F.when(asked.isNotNull(), F.struct(*order))).alias("_tail"))
+    earlier = W.partitionBy(by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_tail", ignorenulls=True).over(earlier)).drop("_tail")
+    near = rows.withColumn("_near", F.last(asked, ignorenulls=True).over(cell))
+    return near.join(carried, [by, "_chunk"]).withColumn("question", F.coalesce("_near", "_carried")).drop("_chunk", "_near", "_carried")
+
+
+def places(rows: DataFrame, by: str, order: list[Column], chunk: Column) -> DataFrame:
+    """Adds ``place``: the number of a row in its group from 1; rows are sorted within stretches and offset by those before."""
+    cut = rows.withColumn("_chunk", chunk)
+    counts = cut.groupBy(by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(by).orderBy(F.asc_nulls_first("_chunk")).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(F.col(by).alias("_by"), F.col("_chunk").alias("_at"), "_before")
+    within = cut.withColumn("_k", F.row_number().over(W.partitionBy(by, "_chunk").orderBy(*order)))
+    joined = within.join(offsets, F.col(by).eqNullSafe(F.col("_by")) & F.col("_chunk").eqNullSafe(F.col("_at")))
+    return joined.withColumn("place", F.col("_k") + F.col("_before")).drop("_chunk", "_by", "_at", "_before", "_k")
 
 
 def context_blocks(contexts: DataFrame, by: list[str]) -> DataFrame:

@@ -446,7 +446,7 @@ def _histories(spark, d):
     FROM {_M}) WHERE role = 'assistant'""",
 )
 def _preceding(spark, d):
-    return context.preceding_question(_messages(spark, d), "session_id", ["seq", "id"]).filter("role = 'assistant'").select("id", "session_id", "question")
+    return context.preceding_question(_messages(spark, d), "session_id", ["seq", "id"], F.floor(F.col("seq") / 1024)).filter("role = 'assistant'").select("id", "session_id", "question")
 
 
 _CTX = "(SELECT DISTINCT id, s.rank AS rank, s.source AS source, s.summary AS summary, s.content AS content, s.collection_name AS collection_name, s.page AS page FROM (SELECT id, unnest(sources) AS s FROM chat_messages))"
@@ -493,9 +493,8 @@ def _sessions(spark, d):
 
 @_query("K02_ordered_messages", f"SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY created_at NULLS FIRST, seq, id) AS place FROM {_M}")
 def _ordered(spark, d):
-    from pyspark.sql.window import Window as W
-
-    return _messages(spark, d).select("session_id", "id", F.row_number().over(W.partitionBy("session_id").orderBy(F.asc_nulls_first("created_at"), "seq", "id")).alias("place"))
+    order = [F.asc_nulls_first("created_at"), F.asc("seq"), F.asc("id")]
+    return context.places(_messages(spark, d), "session_id", order, F.date_trunc("hour", "created_at")).select("session_id", "id", "place")
 
 
 @_query("K03_newest_users", "SELECT DISTINCT id, created_at FROM users ORDER BY created_at DESC NULLS LAST, id LIMIT 50")
