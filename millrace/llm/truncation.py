@@ -47,8 +47,9 @@ PULL = 1.0
 #: A word is rare if fewer than this share of a column's distinct values have it; with it no more
 #: than (words per value / share) words are frequent.
 RARE = 0.01
-#: Threshold where a group has no clear valley (of passages and of short values), and the range in which a valley is looked for.
-DEFAULT, DEFAULT_SHORT, LOW, HIGH = -0.5, -2.0, -3.0, 1.5
+#: For passages and for short values: the threshold where a group has no clear valley, and the range in which a valley is looked for.
+DEFAULT, LOW, HIGH = -0.5, -1.0, 0.5
+DEFAULT_SHORT, LOW_SHORT, HIGH_SHORT = -2.0, -3.0, -1.0
 
 _DEBRIS = re.compile(
     r"(?:�+|(?:%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{0,2}|(?:%[0-9A-Fa-f]{2})+|&#?\w{0,6}|<[a-zA-Z/][^<>\s]{0,12}|\s*[\[(]?(?:\.\.\.+|…)[\])]?|\\u?[0-9a-fA-F]{0,4})$"
@@ -336,11 +337,12 @@ def _bars(scored: DataFrame, word_wise: list[str]) -> Column:
         found.setdefault((r["field"], r["lang"]), {})[r["half"]] = r["n"]
     bar = F.when(F.col("field").isin(*word_wise), F.lit(DEFAULT_SHORT)).otherwise(F.lit(DEFAULT)) if word_wise else F.lit(DEFAULT)
     for (field, lang), bins in found.items():
-        low, high = int(LOW * 2), int(HIGH * 2)
+        short = field in word_wise
+        low, high = (int(LOW_SHORT * 2), int(HIGH_SHORT * 2)) if short else (int(LOW * 2), int(HIGH * 2))
         if sum(bins.values()) < 200:
             continue
         depth = lambda b, bins=bins: sum(bins.get(b + d, 0) * w for d, w in ((-1, 1), (0, 1)))
-        usual = DEFAULT_SHORT if field in word_wise else DEFAULT
+        usual = DEFAULT_SHORT if short else DEFAULT
         best = min(range(low, high + 1), key=lambda b, usual=usual: (depth(b), abs(b / 2 - usual)))
         bar = F.when((F.col("field") == field) & (F.col("lang") == lang), F.lit(best / 2)).otherwise(bar)
     return bar
