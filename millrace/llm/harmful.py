@@ -17,6 +17,7 @@ repeated ``doc_id`` the highest score counts; a score is that of the worst passa
 
 from __future__ import annotations
 
+import re as plain_re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,11 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:  # then every passage is matched with the patterns
+    ahocorasick = None
+
 CATEGORIES = ("abuse", "hate", "sexual", "harmful")
 #: Reviewed documents used for training at most, hash slots of features, folds, steps, and the score from which a document is reported.
 LABELLED, SLOTS, FOLDS, STEPS, BAR = 3000, 1 << 18, 3, 80, 0.35
@@ -93,7 +99,13 @@ _INVISIBLE = re.compile(r"[\p{Cf}\p{Mn}--[\u0300-\u0323\u0327\u031B]]", re.V1)
 _MIXED = re.compile(r"(?<![\p{L}\d])(?=[^\s]*[\p{L}])[\p{L}\d@$!|€£ı*_.·-]*[\d@$!|€£ı][\p{L}\d@$!|€£ı*_.·-]*")
 _APART = re.compile(r"(?<![\p{L}*])\p{L}(?:[\s.\-_*·,/]{1,2}[\p{L}*]){2,}(?![\p{L}*])")
 _INNER = re.compile(r"(?<=\p{L})[*#_·.\-~^+=](?=\p{L})")
-_RUNS = re.compile(r"(\p{L})\1+")
+_RUNS = plain_re.compile(r"([^\W\d_])\1+")
+_CODE = plain_re.compile(r"[\d.,/-]+(?:mg|g|ml|h|kg|mcg|cm|mm|km|l|k|th|st|nd|rd)?|[a-z]{1,3}-?\d{3,}[\d-]*")
+_NOT_LETTER, _NOT_WORD = re.compile(r"[^\p{L}*]"), plain_re.compile(r"(?:[^\w*']|[\d_])+")
+#: Cheap tests that a passage may hold one of the tricks; the patterns above then decide.
+_MAY_MIX = plain_re.compile(r"[^\W\d_][*_.·-]*[\d@$!|€£ı]|[\d@$!|€£ı][*_.·-]*[^\W\d_]")
+_MAY_PART = plain_re.compile(r"(?<![^\W\d_])[^\W\d_][\s.\-_*·,/]{1,2}[^\W\d_*]?[\s.\-_*·,/]{1,2}")
+_MAY_HIDE = plain_re.compile(r"[*#_·.\-~^+=]")
 _SAYS = re.compile(r"\p{L}.*?\p{L}.*?\p{L}")
 _CUT = re.compile(r"(?<=[.!?…])\s+|\n+|\t+|\s*\|\s*")
 
@@ -123,12 +135,17 @@ def passages(text: str | None) -> list[str]:
 
 def undo(passage: str) -> tuple[str, str]:
     """A passage with its spelling tricks undone: with accents and without; repeated letters are one, hidden letters ``*``."""
-    text = unicodedata.normalize("NFC", _INVISIBLE.sub("", unicodedata.normalize("NFKC", passage))).lower()
-    text = _MIXED.sub(lambda m: m[0] if re.fullmatch(r"[\d.,/-]+(?:mg|g|ml|h|kg|mcg|cm|mm|km|l|k|th|st|nd|rd)?|[a-z]{1,3}-?\d{3,}[\d-]*", m[0]) else m[0].translate(_LOOKS), text)
-    text = _APART.sub(lambda m: re.sub(r"[^\p{L}*]", "", m[0]), text)
-    text = _INNER.sub(lambda m: "*" if m[0] in "*#^~" else "", text)
-    text = re.sub(r"[^\p{L}*']+", " ", text)
+    text = passage.lower() if passage.isascii() else unicodedata.normalize("NFC", _INVISIBLE.sub("", unicodedata.normalize("NFKC", passage))).lower()
+    if _MAY_MIX.search(text):
+        text = _MIXED.sub(lambda m: m[0] if _CODE.fullmatch(m[0]) else m[0].translate(_LOOKS), text)
+    if _MAY_PART.search(text):
+        text = _APART.sub(lambda m: _NOT_LETTER.sub("", m[0]), text)
+    if _MAY_HIDE.search(text):
+        text = _INNER.sub(lambda m: "*" if m[0] in "*#^~" else "", text)
+    text = _NOT_WORD.sub(" ", text)
     text = _RUNS.sub(r"\1", text).strip()
+    if text.isascii():
+        return text, text
     plain = unicodedata.normalize("NFD", text.replace("đ", "d"))
     return text, "".join(c for c in plain if not unicodedata.combining(c))
 
@@ -147,8 +164,26 @@ def _pattern(listed: str, fold: bool) -> re.Pattern:
 _PATTERNS = {c: (_pattern(listed, False), _pattern(listed, True)) for c, listed in LEXICON.items()}
 
 
+def _quick():
+    """Finds, without spaces and word ends, whether a passage may hold an entry at all."""
+    if ahocorasick is None:
+        return None
+    found = ahocorasick.Automaton()
+    for listed in LEXICON.values():
+        for entry in listed.split("|"):
+            for form in undo(entry):
+                found.add_word(form.replace(" ", ""), 1)
+    found.make_automaton()
+    return found
+
+
+_QUICK = _quick()
+
+
 def hits(accented: str, plain: str) -> list[int]:
     """How many entries of each category's lexicon a passage has, at most 3."""
+    if _QUICK is not None and "*" not in accented and not any(True for v in (accented, plain) for _ in _QUICK.iter(v.replace(" ", ""))):
+        return [0, 0, 0]
     return [min(3, len({m[0] for m in a.finditer(accented)} | {m[0] for m in p.finditer(plain)})) for a, p in (_PATTERNS[c] for c in CATEGORIES[:3])]
 
 
@@ -293,8 +328,9 @@ def train(documents: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.
     label[positive, 3] = 1
     # verdicts may be wrong: passages that contradict them, and all others of harmful documents, wait for the first model
     waits = reviewed & ~positive & (verdict > 0) | (reviewed & (verdict <= 0.5) & hit.any(1))
-    first = _chain_fit(x, label, weight * ~waits, fold)
-    p = _chain(x, first)
+    dense = np.log1p(x.dense)
+    first = [_fit(x, dense, label[:, k], weight * ~waits) for k in range(len(CATEGORIES))]
+    p = np.column_stack([_sigmoid(_margin(x, dense, w, v)) for w, v in first])
     for i in np.flatnonzero(waits):
         if verdict[i] > 0.5 and p[i, 3] > 0.5:
             label[i] = [*(p[i, :3] > 0.5), 1]
