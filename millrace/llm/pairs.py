@@ -75,10 +75,14 @@ _POLITE = (
 _ASKS = r"(?:tieng (?:anh|viet|phap)|\b(?:in|into|to) (?:english|vietnamese|french)\b|\ben (?:anglais|francais|vietnamien)\b|\b(?:english|vietnamese|french|anglais|francais|vietnamien) (?:please|answer|version|s il)|translate|\bdich (?:sang|giup|ra|cau)|traduire|traduis)"
 
 
-def _plain(text: Column) -> Column:
+def _bare(text: Column) -> Column:
+    """A text without marks of sources and markup."""
+    return F.regexp_replace(F.regexp_replace(text, _SOURCE, " "), _MARKUP, " ")
+
+
+def _plain(folded: Column) -> Column:
     """Folded words separated by one space, sentences by `` . ``."""
-    bare = F.regexp_replace(F.regexp_replace(text, _SOURCE, " "), _MARKUP, " ")
-    marked = F.regexp_replace(fold(bare), r"(?:[!?…]+|\.(?=\D|$)|[\n;]+)", " . ")
+    marked = F.regexp_replace(folded, r"(?:[!?…]+|\.(?=\D|$)|[\n;]+)", " . ")
     return F.trim(F.regexp_replace(F.regexp_replace(marked, r"[^\p{L}\p{N}.]+", " "), r"(?: \.)+(?= |$)", " ."))
 
 
@@ -93,36 +97,40 @@ def _grams(words: Column) -> Column:
     return F.when(n < 2, words).otherwise(F.slice(pairs, F.lit(1), F.greatest(n - 1, F.lit(1))))
 
 
-def _empty(answer: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(answer, F.lit("")), _SOURCE, " "), _MARKUP, " ")
-    left = F.trim(F.regexp_replace(fold(bare), r"[^\p{L}\p{N}]+", " "))
+def _empty(folded: Column) -> Column:
+    left = F.trim(F.regexp_replace(F.coalesce(folded, F.lit("")), r"[^\p{L}\p{N}]+", " "))
     # letters that show nothing (fillers) count as nothing
     left = F.trim(F.regexp_replace(left, r"[ᅟᅠㅤﾠ⠀]+", " "))
     return (left == "") | left.isin(*_PLACE)
 
 
-def _copy(question: Column, answer: Column) -> Column:
-    asked = _word_list(_plain(question))
-    said = F.regexp_replace(_plain(answer), _WRAP, "")
-    told = _word_list(F.regexp_replace(F.trim(said), _WRAP, ""))
-    # a question may be repeated as a whole or from its last sentence
+def _told(answer: Column) -> Column:
+    """The words of a plain answer without the wording around a repeated question."""
+    return _word_list(F.regexp_replace(F.trim(F.regexp_replace(answer, _WRAP, "")), _WRAP, ""))
+
+
+def _last(question: Column) -> Column:
+    """The words of a plain question's last sentence."""
+    return _word_list(F.regexp_extract(question, r"(?:^|\. )([^.]+)[ .]*$", 1))
+
+
+def _copy(asked: Column, told: Column, last: Column) -> Column:
     known, own = _grams(asked), F.array_distinct(_grams(told))
     new = F.array_except(own, known)
     # joints between repetitions make pairs that the question lacks
     again = F.floor(F.size(told) / F.greatest(F.size(asked), F.lit(1)))
-    last = _word_list(F.regexp_extract(_plain(question), r"(?:^|\. )([^.]+)[ .]*$", 1))
+    # a question may be repeated as a whole or from its last sentence
     covered = lambda words: F.size(F.array_except(_grams(words), own)) <= F.size(_grams(words)) * 0.2
     fresh = F.array_except(told, asked)
     return (F.size(asked) > 0) & (F.size(told) > 0) & (F.size(fresh) <= F.size(told) * 0.05) & (F.size(new) <= again + F.size(told) * 0.1) & (covered(asked) | (covered(last) & (F.size(last) >= 3)))
 
 
-def _refusal(answer: Column) -> Column:
-    plain = _plain(answer)
+def _refusal(plain: Column) -> Column:
     parts = F.filter(F.split(plain, r" \.(?: |$)"), lambda p: F.length(p) > 0)
     polite = rf"^(?:{_POLITE}|\s)*$"
     other = F.filter(parts, lambda p: ~p.rlike(_REFUSAL) & ~p.rlike(polite))
-    # a refusing sentence that goes on with numbers of a dose or price does answer
-    return F.exists(parts, lambda p: p.rlike(_REFUSAL)) & (F.size(other) == 0) & ~plain.rlike(r"\b(?:but|mais|nhung) (?:here|in general|usually|the rest|voici|en general|sau day|nhin chung|thong thuong|phan con lai)")
+    # a refusal that goes on with something else does answer
+    return plain.rlike(_REFUSAL) & F.exists(parts, lambda p: p.rlike(_REFUSAL)) & (F.size(other) == 0) & ~plain.rlike(r"\b(?:but|mais|nhung) (?:here|in general|usually|the rest|voici|en general|sau day|nhin chung|thong thuong|phan con lai)")
 
 
 def _unclosed(answer: Column) -> Column:
@@ -135,15 +143,14 @@ def _unclosed(answer: Column) -> Column:
     )
 
 
-def _other_language(question: Column, answer: Column) -> Column:
-    asked, told = language_scores(question), language_scores(F.regexp_replace(answer, _SOURCE, " "))
+def _other_language(asked: dict[str, Column], told: dict[str, Column], folded_question: Column) -> Column:
     differs = F.lit(False)
     for name, own in told.items():
         rest = F.greatest(*[s for k, s in told.items() if k != name])
         asked_rest = F.greatest(*[s for k, s in asked.items() if k != name])
         # the answer is clearly in this language, the question clearly in another
         differs = differs | ((own >= 3) & (own >= 2 * rest) & (asked_rest >= 2) & (asked_rest >= 2 * asked[name]))
-    return differs & ~F.coalesce(fold(question), F.lit("")).rlike(_ASKS)
+    return differs & ~F.coalesce(folded_question, F.lit("")).rlike(_ASKS)
 
 
 def defects(feedback: DataFrame) -> DataFrame:
@@ -156,16 +163,22 @@ def defects(feedback: DataFrame) -> DataFrame:
     cut = scores.filter("field = 'feedback.answer' and log_odds < bar").select("th", "th2", F.lit(True).alias("abrupt"))
     # null answers, of which there may be many, don't share a key
     keyed = pairs.withColumns({"th": F.when(F.col("answer").isNull(), F.xxhash64("feedback_id", F.lit("null"))).otherwise(F.xxhash64("answer")), "th2": F.hash("answer")}).join(cut, ["th", "th2"], "left")
-    q, a = F.col("question"), F.col("answer")
-    no = F.lit(False)
-    tested = keyed.select(
+    q, a, no = F.col("question"), F.col("answer"), F.lit(False)
+    # worked out once: each step is read several times by the next, so the planner keeps them apart
+    folded = keyed.select("feedback_id", "question", "answer", "abrupt", fold(_bare(q)).alias("fq"), fold(_bare(a)).alias("fa"))
+    plain = folded.select("*", _plain(F.col("fq")).alias("pq"), _plain(F.col("fa")).alias("pa"))
+    asked, told = language_scores(q, F.col("fq")), language_scores(F.regexp_replace(a, _SOURCE, " "), F.col("fa"))
+    listed = plain.select(
+        "*", _word_list(F.col("pq")).alias("asked"), _told(F.col("pa")).alias("told"), _last(F.col("pq")).alias("last"), *[c.alias(f"q_{k}") for k, c in asked.items()], *[c.alias(f"a_{k}") for k, c in told.items()]
+    )
+    tested = listed.select(
         "feedback_id",
-        F.coalesce(_empty(a), F.lit(True)).alias("empty"),
-        F.coalesce(_copy(q, a), no).alias("copy"),
-        F.coalesce(_refusal(a), no).alias("refusal"),
+        F.coalesce(_empty(F.col("fa")), F.lit(True)).alias("empty"),
+        F.coalesce(_copy(F.col("asked"), F.col("told"), F.col("last")), no).alias("copy"),
+        F.coalesce(_refusal(F.col("pa")), no).alias("refusal"),
         # a word with a full stop after it ends, however short the answer
         ((F.coalesce(F.col("abrupt"), no) & ~a.rlike(r"\p{L}[.!?…]+[\"'”»)\]]*\s*$")) | F.coalesce(_unclosed(a), no)).alias("truncated"),
-        F.coalesce(_other_language(q, a), no).alias("other_language"),
+        F.coalesce(_other_language({k: F.col(f"q_{k}") for k in asked}, {k: F.col(f"a_{k}") for k in told}, F.col("fq")), no).alias("other_language"),
     )
     found = F.array(*[F.when(F.col(d) & ((F.lit(d) == "empty") | ~F.col("empty")), F.struct(F.lit(d).alias("defect"), F.lit(n).alias("rank"))) for n, d in enumerate(DEFECTS)])
     return tested.select("feedback_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("d")).select("feedback_id", "d.defect", "d.rank").distinct()
