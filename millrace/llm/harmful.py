@@ -38,6 +38,8 @@ CATEGORIES = ("abuse", "hate", "sexual", "harmful")
 #: Reviewed documents used for training at most, hash slots of features, folds, steps, and the score from which a document is reported.
 LABELLED, SLOTS, FOLDS, STEPS, BAR = 3000, 1 << 18, 3, 80, 0.35
 LONG, OVERLAP = 240, 80
+#: Scale of the lexicon's features against the n-grams'.
+HIT = 3.0
 #: Assumed share of harmful passages.
 PREVALENCE = 0.08
 
@@ -110,6 +112,9 @@ _SAYS = re.compile(r"\p{L}.*?\p{L}.*?\p{L}")
 _CUT = re.compile(r"(?<=[.!?…])\s+|\n+|\t+|\s*\|\s*")
 
 
+_APART_ENTRIES: dict[str, str] = {}
+
+
 def passages(text: str | None) -> list[str]:
     """The passages of a text; together they cover all of it."""
     out = []
@@ -133,13 +138,27 @@ def passages(text: str | None) -> list[str]:
     return out
 
 
+def _bare(text: str) -> str:
+    """Letters alone, without accents, runs as one."""
+    plain = unicodedata.normalize("NFD", text.lower().replace("đ", "d"))
+    return _RUNS.sub(r"\1", "".join(c for c in plain if c.isalpha()))
+
+
+def _joined(letters: str) -> str:
+    """Letters that were set apart, as one word; an entry of the lexicon as it is written there, also after a word of one letter."""
+    for skip in (0, 1):
+        if (entry := _APART_ENTRIES.get(_bare(letters[skip:]))) is not None:
+            return f"{letters[:skip]} {entry}"
+    return letters
+
+
 def undo(passage: str) -> tuple[str, str]:
     """A passage with its spelling tricks undone: with accents and without; repeated letters are one, hidden letters ``*``."""
     text = passage.lower() if passage.isascii() else unicodedata.normalize("NFC", _INVISIBLE.sub("", unicodedata.normalize("NFKC", passage))).lower()
     if _MAY_MIX.search(text):
         text = _MIXED.sub(lambda m: m[0] if _CODE.fullmatch(m[0]) else m[0].translate(_LOOKS), text)
     if _MAY_PART.search(text):
-        text = _APART.sub(lambda m: _NOT_LETTER.sub("", m[0]), text)
+        text = _APART.sub(lambda m: _joined(_NOT_LETTER.sub("", m[0])), text)
     if _MAY_HIDE.search(text):
         text = _INNER.sub(lambda m: "*" if m[0] in "*#^~" else "", text)
     text = _NOT_WORD.sub(" ", text)
@@ -150,6 +169,9 @@ def undo(passage: str) -> tuple[str, str]:
     return text, "".join(c for c in plain if not unicodedata.combining(c))
 
 
+_APART_ENTRIES |= {_bare(entry): entry for listed in LEXICON.values() for entry in sorted(listed.split("|"), key=str.isascii, reverse=True) if len(_bare(entry)) >= 4}
+
+
 def _pattern(listed: str, fold: bool) -> re.Pattern:
     """Matches the entries with any spacing; letters after the first may be hidden."""
     out = set()
@@ -157,7 +179,8 @@ def _pattern(listed: str, fold: bool) -> re.Pattern:
         accented, plain = undo(entry)
         for form in {plain} if fold and accented == plain else {accented} if not fold and accented != plain else set():
             words = [form[:1] + "".join(f"[{re.escape(c)}*]" if c.isalpha() else " ?" if c == " " else re.escape(c) for c in form[1:])]
-            out.add(r"(?<![\p{L}])" + words[0] + r"(?:s|es)?(?![\p{L}])")
+            # a long phrase also counts with a word stuck to it
+            out.add(r"(?<![\p{L}])" + words[0] + (r"(?:s|es)?(?![\p{L}])" if form.count(" ") < 2 else ""))
     return re.compile("|".join(sorted(out)) or r"(?!)")
 
 
@@ -187,6 +210,12 @@ def hits(accented: str, plain: str) -> list[int]:
     return [min(3, len({m[0] for m in a.finditer(accented)} | {m[0] for m in p.finditer(plain)})) for a, p in (_PATTERNS[c] for c in CATEGORIES[:3])]
 
 
+def entries(passage: str) -> set[str]:
+    """The entries of the lexicon that a passage has, as they are written there."""
+    accented, plain = undo(passage)
+    return {m[0] for a, p in _PATTERNS.values() for m in (*a.finditer(accented), *p.finditer(plain))}
+
+
 @dataclass
 class Features:
     """Hashed n-grams of passages, flat, with where each passage begins, and the dense features."""
@@ -263,7 +292,7 @@ def _fit(x: Features, extra: np.ndarray, y: np.ndarray, weight: np.ndarray) -> t
 
 def _chain_fit(x: Features, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """The links in order; each gets the earlier links' probabilities, out of fold."""
-    models, extra = [], np.log1p(x.dense)
+    models, extra = [], HIT * np.log1p(x.dense)
     for k in range(len(CATEGORIES)):
         models.append(_fit(x, extra, y[:, k], weight))
         if k + 1 < len(CATEGORIES):
@@ -278,7 +307,7 @@ def _chain_fit(x: Features, y: np.ndarray, weight: np.ndarray, fold: np.ndarray)
 
 def _chain(x: Features, models: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Probabilities of the categories of each passage."""
-    extra, out = np.log1p(x.dense), []
+    extra, out = HIT * np.log1p(x.dense), []
     for k, (w, v) in enumerate(models):
         out.append(_sigmoid(_margin(x, extra, w, v)))
         if k + 1 < len(models):
@@ -328,13 +357,20 @@ def train(documents: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.
     label[positive, 3] = 1
     # verdicts may be wrong: passages that contradict them, and all others of harmful documents, wait for the first model
     waits = reviewed & ~positive & (verdict > 0) | (reviewed & (verdict <= 0.5) & hit.any(1))
-    dense = np.log1p(x.dense)
+    dense = HIT * np.log1p(x.dense)
     first = [_fit(x, dense, label[:, k], weight * ~waits) for k in range(len(CATEGORIES))]
     p = np.column_stack([_sigmoid(_margin(x, dense, w, v)) for w, v in first])
+    # of an entry, how many reviewed documents with it were found harmful and how many weren't
+    votes: dict[str, set[tuple[int, bool]]] = {}
+    of = {i: entries(texts[i]) for i in np.flatnonzero(reviewed & hit.any(1))}
+    for i, own in of.items():
+        for e in own:
+            votes.setdefault(e, set()).add((int(doc[i]), bool(verdict[i] > 0.5)))
+    trusted = {e for e, v in votes.items() if 2 * sum(h for _, h in v) + 1 >= len(v)}
     for i in np.flatnonzero(waits):
         if verdict[i] > 0.5 and p[i, 3] > 0.5:
             label[i] = [*(p[i, :3] > 0.5), 1]
-        elif p[i, 3] > 0.9 and verdict[i] <= 0.5:
+        elif verdict[i] <= 0.5 and (p[i, 3] > 0.9 or (p[i, 3] > 0.3 and of.get(i, set()) & trusted)):
             weight[i] = 0  # a reviewer's slip
     return _chain_fit(x, label, weight, fold)
 
