@@ -10,6 +10,26 @@ from millrace.functions import text as X
 
 #: Labels of the speakers in a rendered history. Fixed values.
 LABELS = {"user": "Người dùng", "other": "Trợ lý"}
+#: Spellings of who asks and who answers, folded. Fixed values.
+ASKS = ("user", "human", "customer", "client", "patient", "question", "nguoi dung", "khach", "khach hang", "utilisateur")
+ANSWERS = ("assistant", "ai", "bot", "chatbot", "model", "gpt", "agent", "answer", "tro ly", "assistante")
+
+
+def ordered(messages: DataFrame) -> DataFrame:
+    """Adds ``at`` and ``turn``, the order of rows without ``seq``: the time, and the question before its answer on a tie.
+
+    Both are null where ``seq`` exists. Rows without ``seq`` come after those with one, rows without a time last.
+    """
+    role = F.trim(F.regexp_replace(X.fold(F.col("role")), r"[^a-z]+", " "))
+    turn = F.when(role.isin(*ASKS), 0).when(role.isin(*ANSWERS), 2).otherwise(1)
+    none = F.col("seq").isNull()
+    micros = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit((1 << 63) - 1))
+    return messages.withColumns({"place_seq": F.coalesce("seq", F.lit((1 << 63) - 1)), "at": F.when(none, micros), "turn": F.when(none, turn)})
+
+
+def stretch() -> Column:
+    """Stretches of the order of ``ordered``: 1,024 numbers, or an hour without ``seq``."""
+    return F.when(F.col("seq").isNotNull(), F.floor(F.col("seq") / 1024)).otherwise(F.lit(1 << 53) + F.floor(F.col("at") / 3_600_000_000))
 
 
 def last_turns(messages: DataFrame, by: str, order: list[str], n: int, cut: int | None = None) -> DataFrame:

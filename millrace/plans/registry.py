@@ -418,7 +418,12 @@ _M = "(SELECT DISTINCT id, session_id, seq, role, content, created_at FROM chat_
 
 
 def _messages(spark, d):
-    return table(spark, d, "chat_messages").filter("session_id is not null and seq is not null").select("id", "session_id", "seq", "role", "content", "created_at").distinct()
+    """Messages of every session; whole sessions have no ``seq`` and are ordered by time, the question first on a tie."""
+    rows = table(spark, d, "chat_messages").filter("session_id is not null").select("id", "session_id", "seq", "role", "content", "created_at").distinct()
+    return context.ordered(rows)
+
+
+_ORDER = ["place_seq", "at", "turn", "id"]
 
 
 @_query(
@@ -427,7 +432,7 @@ def _messages(spark, d):
     WHERE place <= 8 AND coalesce(content, '') <> '' AND role IN ('user', 'assistant')""",
 )
 def _last(spark, d):
-    return context.last_turns(_messages(spark, d), "session_id", ["seq", "id"], 8).select("session_id", "id", "place")
+    return context.last_turns(_messages(spark, d), "session_id", _ORDER, 8).select("session_id", "id", "place")
 
 
 @_query(
@@ -437,7 +442,7 @@ def _last(spark, d):
     WHERE place <= 6 AND coalesce(content, '') <> '' AND role IN ('user', 'assistant') GROUP BY 1""",
 )
 def _histories(spark, d):
-    return context.rendered_history(_messages(spark, d), "session_id", ["seq", "id"])
+    return context.rendered_history(_messages(spark, d), "session_id", _ORDER)
 
 
 @_query(
@@ -446,7 +451,7 @@ def _histories(spark, d):
     FROM {_M}) WHERE role = 'assistant'""",
 )
 def _preceding(spark, d):
-    return context.preceding_question(_messages(spark, d), "session_id", ["seq", "id"], F.floor(F.col("seq") / 1024)).filter("role = 'assistant'").select("id", "session_id", "question")
+    return context.preceding_question(_messages(spark, d), "session_id", _ORDER, context.stretch()).filter("role = 'assistant'").select("id", "session_id", "question")
 
 
 _CTX = "(SELECT DISTINCT id, s.rank AS rank, s.source AS source, s.summary AS summary, s.content AS content, s.collection_name AS collection_name, s.page AS page FROM (SELECT id, unnest(sources) AS s FROM chat_messages))"
@@ -493,7 +498,7 @@ def _sessions(spark, d):
 
 @_query("K02_ordered_messages", f"SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY created_at NULLS FIRST, seq, id) AS place FROM {_M}")
 def _ordered(spark, d):
-    order = [F.asc_nulls_first("created_at"), F.asc("seq"), F.asc("id")]
+    order = [F.asc_nulls_first("created_at"), F.asc_nulls_last("seq"), F.asc("turn"), F.asc("id")]
     return context.places(_messages(spark, d), "session_id", order, F.date_trunc("hour", "created_at")).select("session_id", "id", "place")
 
 
