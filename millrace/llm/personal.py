@@ -6,7 +6,7 @@ candidate is linked to the lexical patterns in which it stands (words before and
 form). Spark scores the graph of patterns and candidates in rounds: a pattern's confidence is the mean of its
 candidates' scores, a candidate's score is the chance given by its patterns' log-odds against the usual chance of its
 kind (patterns overlap, so each counts in part). Candidates that no seed covers are found by confident patterns. From
-accepted names a lexicon of name words is learned (with a least share, so its size is bounded), and a second
+accepted names a lexicon of name words is learned (words that at least two of them have; it stays a table), and a second
 pass finds names that are not capitalised.
 
 Each found instance is replaced by ``[KIND]``; all else stays as it was, character by character. Values that are the same
@@ -34,8 +34,8 @@ KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 ROUNDS, SUPPORT, ACCEPT = 3, 3, 0.6
 #: What a candidate without a seed counts, against 1, when patterns are judged.
 DERIVED = 0.3
-#: A word is in the name lexicon if at least this share of the accepted names has it (so at most 5 / share words are).
-LEXICON_SHARE, LEXICON_LEAST = 1e-3, 2
+#: A word is in the name lexicon if at least so many accepted names have it, however many names there are.
+LEXICON_LEAST = 2
 
 #: Common surnames, folded.
 SURNAMES = set(
@@ -84,6 +84,7 @@ _SYLLABLE = re.compile(r"(?:ngh?|nh|ch|gh?|kh|ph|qu|th|tr|gi|[bcdhklmnprstvx])?[
 #: What stands before the number of a thing, and before that of a person's papers, folded.
 _GOODS = re.compile(r"\b(?:van don|ma vach|ma don|don hang|ma hang|so dang ky|van ban|kien hang|goi hang|buu kien|tracking|barcode|bar code|parcel|order|shipment|invoice|colis|commande|facture|code-barres|code|serial|batch|lot|lo)\b[^.;,]{0,12}$")
 _PAPERS = re.compile(r"\b(?:cccd|cmnd|can cuoc|chung minh|ho chieu|bhyt|bao hiem|giay to|dinh danh|passport|passeport|identity|id no|id card|insurance|identite|carte vitale|securite sociale|health card)\b\.?[^.;,]{0,24}$")
+_WORD = re.compile(r"[\p{L}']+")
 _TOKEN = re.compile(r"<[A-Z_]+>|[\p{L}\p{M}']+|\d+|[^\w\s]")
 
 
@@ -291,46 +292,58 @@ def _scored(candidates: DataFrame, given: DataFrame | None = None) -> tuple[Data
     return nodes.join(scores.select("cid", "score"), "cid", "left").drop("cid"), patterns
 
 
-def _lower_names(firsts: set[str], words: set[str]):
-    """Finds names that aren't capitalised: runs of words of the lexicon, alone only after an introduction."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for vid, raw in zip(batch["vid"], batch["text"], strict=True):
-                text, _ = _composed(raw)
-                spans = _spans(text)
-                covered = [(s, e) for _, s, e, *_ in spans]
-                tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[\p{L}']+", text)]
-                i = 0
-                while i < len(tokens):
-                    a, _, word = tokens[i]
-                    j = i
-                    while j < len(tokens) and j - i < 5 and tokens[j][2].lower() in words and (j == i or text[tokens[j - 1][1] : tokens[j][0]].isspace()):
-                        j += 1
-                    if j == i or any(s < tokens[j - 1][1] and a < e for s, e in covered):
-                        i += 1
-                        continue
-                    b = tokens[j - 1][1]
-                    intro = _INTRO.search(_fold_same(text[max(0, a - 30) : a])) is not None
-                    run_words = [t[2].lower() for t in tokens[i:j]]
-                    if text[a:b].islower() and (intro or (len(run_words) > 1 and word.lower() in firsts)):
-                        before, after = _around(text, spans, a, b)
-                        seed = 1 if intro and len(run_words) > 1 and word.lower() in firsts else None
-                        rows.append((vid, "NAME", a, b, seed, run_words, _features("NAME", before, after, "lower", run_words)))
-                    i = j
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CANDIDATE.split(", ")]).astype({"seed": "Int32"})
-
-    return run
-
-
-def _lexicon(names: DataFrame) -> tuple[set[str], set[str]]:
-    """First words and all words of accepted names that have the least share; at most 5 / share words."""
-    total = names.count()
-    least = max(LEXICON_LEAST, LEXICON_SHARE * total)
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct words of each value, in lower case."""
+    for batch in batches:
+        rows = [(vid, w) for vid, raw in zip(batch["vid"], batch["text"], strict=True) for w in {m.lower() for m in _WORD.findall(_composed(raw)[0])}]
+        yield pd.DataFrame(rows, columns=["vid", "w"])
+
+
+def _lower_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Finds names that aren't capitalised: runs of words of the lexicon, alone only after an introduction.
+
+    ``words`` and ``firsts`` are those of the lexicon's words that the value has.
+    """
+    for batch in batches:
+        rows = []
+        for vid, raw, known, leading in zip(batch["vid"], batch["text"], batch["words"], batch["firsts"], strict=True):
+            text, _ = _composed(raw)
+            words, firsts = set(known), set(leading)
+            spans = _spans(text)
+            covered = [(s, e) for _, s, e, *_ in spans]
+            tokens = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
+            i = 0
+            while i < len(tokens):
+                a, _, word = tokens[i]
+                j = i
+                while j < len(tokens) and j - i < 5 and tokens[j][2].lower() in words and (j == i or text[tokens[j - 1][1] : tokens[j][0]].isspace()):
+                    j += 1
+                if j == i or any(s < tokens[j - 1][1] and a < e for s, e in covered):
+                    i += 1
+                    continue
+                b = tokens[j - 1][1]
+                intro = _INTRO.search(_fold_same(text[max(0, a - 30) : a])) is not None
+                run_words = [t[2].lower() for t in tokens[i:j]]
+                if text[a:b].islower() and (intro or (len(run_words) > 1 and word.lower() in firsts)):
+                    before, after = _around(text, spans, a, b)
+                    seed = 1 if intro and len(run_words) > 1 and word.lower() in firsts else None
+                    rows.append((vid, "NAME", a, b, seed, run_words, _features("NAME", before, after, "lower", run_words)))
+                i = j
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CANDIDATE.split(", ")]).astype({"seed": "Int32"})
+
+
+def _lexicon(names: DataFrame) -> DataFrame:
+    """``w, is_first, is_word``: words of accepted names, whether enough names begin with it, and whether it counts as part of one."""
     both = names.select(F.explode(F.expr("transform(name_words, (w, i) -> struct(w, i = 0 as first))")).alias("w")).groupBy("w.w", "w.first").agg(F.count(F.lit(1)).alias("n"))
-    rows = both.filter(F.col("n") >= least).collect()
-    return {r["w"] for r in rows if r["first"]}, {r["w"] for r in rows if len(r["w"]) > 1}
+    return both.filter(F.col("n") >= LEXICON_LEAST).groupBy("w").agg(F.bool_or("first").alias("is_first"), (F.max(F.length("w")) > 1).alias("is_word"))
+
+
+def _with_lexicon(values: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``vid, text, words, firsts``: the values that have words of the lexicon, with these."""
+    known = values.mapInPandas(_words, "vid bigint, w string").join(lexicon, "w").groupBy("vid").agg(
+        F.collect_list(F.when(F.col("is_word"), F.col("w"))).alias("words"), F.collect_list(F.when(F.col("is_first"), F.col("w"))).alias("firsts")
+    )
+    return values.join(known, "vid").select("vid", "text", "words", "firsts")
 
 
 def texts_of(feedback: DataFrame) -> DataFrame:
@@ -348,12 +361,14 @@ def instances(texts: DataFrame) -> DataFrame:
     candidates = materialize(values.mapInPandas(_candidates, _CANDIDATE), "candidates")
     scored, patterns = _scored(candidates)
     accepted = materialize(scored.filter(F.coalesce("score", F.lit(0.0)) >= ACCEPT), "accepted")
-    firsts, words = _lexicon(accepted.filter("kind = 'NAME' and size(name_words) > 0 and (seed = 1 or size(name_words) > 1)"))
-    if not words:
-        return accepted.filter("kind != 'NAME' or seed = 1").select("vid", "kind", "start_at", "end_at", "score")
-    # one word alone has to be known from names
-    accepted = accepted.filter((F.col("kind") != "NAME") | (F.size("name_words") > 1) | (F.coalesce("seed", F.lit(0)) == 1) | F.get("name_words", F.lit(0)).isin(*sorted(words)))
-    lower = materialize(values.mapInPandas(_lower_names(firsts, words), _CANDIDATE), "lower")
+    lexicon = _lexicon(accepted.filter("kind = 'NAME' and size(name_words) > 0 and (seed = 1 or size(name_words) > 1)"))
+    lexicon = materialize(lexicon, "lexicon")
+    # the capital of a word alone that begins a sentence says nothing ("Giá" is a price): such a word has to be known from names
+    alone = (F.col("kind") == "NAME") & (F.size("name_words") == 1) & (F.coalesce("seed", F.lit(0)) != 1)
+    begins = F.exists("features", lambda f: f.rlike("^NAME ONLY .* True$"))
+    known = accepted.filter(alone).withColumn("w", F.get("name_words", F.lit(0))).join(lexicon.filter("is_word").select("w", "is_word"), "w", "left").filter(F.col("is_word") | ~begins)
+    accepted = accepted.filter(~alone).unionByName(known.select(*accepted.columns))
+    lower = materialize(_with_lexicon(values, lexicon).mapInPandas(_lower_names, _CANDIDATE), "lower")
     more, _ = _scored(lower, materialize(patterns, "patterns"))
     found = accepted.unionByName(more.filter(F.coalesce("score", F.lit(0.0)) >= ACCEPT))
     return found.select("vid", "kind", "start_at", "end_at", "score").distinct()
