@@ -205,7 +205,7 @@ def _token_lists(spark, d):
 
 @_query("A10_vocabulary", f"SELECT token, count(*) AS n FROM (SELECT unnest({_tokens('text')}) AS token FROM documents) GROUP BY 1 ORDER BY n DESC, token LIMIT 500")
 def _vocabulary(spark, d):
-    return search.vocabulary(table(spark, d, "documents"), "text", 500)
+    return search.vocabulary(table(spark, d, "documents"), "text")
 
 
 _WEIGHTS = (
