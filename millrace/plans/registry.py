@@ -504,7 +504,7 @@ def _ordered(spark, d):
 
 @_query("K03_newest_users", "SELECT DISTINCT id, created_at FROM users ORDER BY created_at DESC NULLS LAST, id LIMIT 50")
 def _users(spark, d):
-    return table(spark, d, "users").select("id", "created_at").distinct().orderBy(F.desc_nulls_last("created_at"), "id").limit(50)
+    return table(spark, d, "users").select("id", "created_at").distinct().orderBy(F.desc_nulls_last("created_at"), "id")
 
 
 @_query("K04_newest_feedback", "SELECT DISTINCT feedback_id, timestamp FROM feedback WHERE rating = 'down' ORDER BY timestamp DESC NULLS LAST, feedback_id DESC LIMIT 100")
@@ -635,7 +635,9 @@ def _usage(spark, d):
 
 @_query("A08_K11_recent_usage", f"SELECT day, prompt_tokens + completion_tokens AS n FROM ({_USAGE} GROUP BY 1) ORDER BY day DESC LIMIT 7")
 def _recent(spark, d):
-    return analytics.recorded_days(_usage(spark, d), 7).select("day", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("n"))
+    """The last 30 recorded days on the 30 calendar days; those without a record are 0."""
+    recorded = analytics.recorded_days(_usage(spark, d), 30).select("day", (F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))).alias("n"))
+    return analytics.spine(spark, AS_OF).join(recorded, "day", "left").select("day", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 @_query("A09_parents_per_source", "SELECT coalesce(source, 'Unknown') AS source, count(*) AS n FROM parents GROUP BY 1")

@@ -1,5 +1,6 @@
 """Queries give all rows of their feature; told by brute force and not by their SQL."""
 
+import datetime as dt
 from collections import Counter
 
 import pyarrow.parquet as pq
@@ -19,3 +20,21 @@ def test_vocabulary(spark):
     found = {r["token"]: r["n"] for r in registry.queries()["A10_vocabulary"](spark, LARGER).collect()}
     assert 500 < len(told) < 100_000
     assert found == told
+
+
+def test_newest_users(spark):
+    told = {(r["id"], r["created_at"]) for r in read(LARGER, "users", ["id", "created_at"])}
+    found = [(r["id"], r["created_at"]) for r in registry.queries()["K03_newest_users"](spark, LARGER).collect()]
+    assert len(told) > 50 and {i for i, _ in found} == {i for i, _ in told} and len(found) == len(told)
+    times = [t for _, t in found if t is not None]
+    assert times == sorted(times, reverse=True) and all(t is None for _, t in found[len(times) :])
+
+
+def test_recent_usage(spark, tmp_path):
+    """30 days, those without usage as 0, older usage left out."""
+    day = lambda n: dt.datetime(2024, 1, 30, 12, tzinfo=dt.UTC) - dt.timedelta(days=n)
+    rows = [(day(0), 7, 2.5), (day(0), 1, 0.0), (day(9), 60, 1.0), (day(29), 3, 4.0), (day(30), 3, 100.0)]
+    spark.createDataFrame(rows, "ts timestamp, user_id bigint, value double").write.parquet(str(tmp_path / "events.parquet"))
+    found = {r["day"]: r["n"] for r in registry.queries()["A08_K11_recent_usage"](spark, str(tmp_path)).collect()}
+    assert len(found) == 30
+    assert {d: n for d, n in found.items() if n} == {day(0).date(): 2 + 7 + 1, day(9).date(): 1 + 10, day(29).date(): 4 + 3}
