@@ -145,3 +145,25 @@ def with_parents(children: DataFrame, parents: DataFrame, keys: list[str]) -> Da
     """Adds the parent's content, or the child's own copy where the parent is gone."""
     own = parents.select(*keys, F.col("content").alias("parent_content"))
     return children.join(own, keys, "left").withColumn("content", F.coalesce("parent_content", "text"))
+
+
+#: What the display of a cut passage leaves at its end: half a tag, entity or character, or marks that something is missing.
+_DEBRIS = r"\s*(?:\[?(?:\.\.\.|…)\]?|\x{FFFD}|<[a-z/]*|&[a-z0-9#]*)?\s*$"
+
+
+def with_displayed_parents(shown: DataFrame, parents: DataFrame, keys: list[str], near: int = 60) -> DataFrame:
+    """Adds ``content``: that of the parent that a displayed ``text`` (cut, with debris of the cut) begins, or the text itself where there is none.
+
+    ``shown`` has ``keys, source, text``, ``parents`` has ``source, content``. The first ``near`` characters only find candidates;
+    a parent has to begin with the whole text. Of several, which the text can't tell apart, the smallest is taken.
+    """
+    key = lambda t: F.xxhash64("source", F.left(t, F.lit(near)))
+    of = parents.filter("source is not null and content is not null").select(key(F.col("content")).alias("_k"), F.col("source").alias("_source"), F.col("content").alias("_content")).distinct()
+    keyed = shown.withColumn("_k", F.when(F.col("source").isNotNull() & F.col("text").isNotNull(), key(F.col("text"))))
+    some = F.col("_k").isNotNull()
+    plain = F.regexp_replace("text", _DEBRIS, "")
+    begins = (F.col("source") == F.col("_source")) & (F.startswith("_content", "text") | ((plain != "") & F.startswith("_content", plain)))
+    # rows without a key, of which there may be many, bypass the join
+    found = keyed.filter(some).join(of, "_k", "left").groupBy(*keys, "source", "text").agg(F.min(F.when(begins, F.col("_content"))).alias("_parent"))
+    rest = keyed.filter(~some).select(*keys, "source", "text", F.lit(None).cast("string").alias("_parent"))
+    return found.unionByName(rest).withColumn("content", F.coalesce("_parent", "text")).drop("_parent")

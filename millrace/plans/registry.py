@@ -303,9 +303,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
   SELECT id, rank, length(coalesce(parent_content, c.content)) AS n FROM c LEFT JOIN h ON left(sha256(c.source || left(c.content, 60)), 16) = h.k""")
 def _parent_context(spark, d):
     shown = table(spark, d, "chat_messages").select("id", F.explode("sources").alias("s")).select("id", "s.rank", "s.source", F.col("s.content").alias("text")).distinct()
-    key = lambda t: F.left(F.sha2(F.concat("source", F.left(t, F.lit(60))), 256), F.lit(16))
-    parents = table(spark, d, "parents").filter("source is not null and content is not null").select(key(F.col("content")).alias("k"), "content").groupBy("k").agg(F.min("content").alias("content"))
-    return search.with_parents(shown.withColumn("k", key(F.col("text"))), parents, ["k"]).select("id", "rank", F.length("content").alias("n"))
+    return search.with_displayed_parents(shown, table(spark, d, "parents"), ["id", "rank"]).select("id", "rank", F.length("content").alias("n"))
 
 
 @_query("E09_K07_rerank", _SPARSE + rf""", c AS (SELECT r.query_id, r.parent_id, list_distinct({_tokens('f.question')}) AS q, list_distinct({_tokens('p2.content')}) AS t
