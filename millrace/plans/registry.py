@@ -325,8 +325,7 @@ def _embeddings(spark, d):
 @_query("E04_expansions", r"""SELECT DISTINCT feedback_id, [question] || list_slice(list_filter([regexp_replace(question, '^[\d.)\-*]+\s*', '')], lambda x: x <> ''), 1, 3) AS texts
     FROM feedback WHERE question IS NOT NULL AND NOT contains(question, chr(10)) AND trim(question) = question AND question <> ''""")
 def _expansions(spark, d):
-    q = table(spark, d, "feedback").filter("question is not null and not contains(question, '\n') and trim(question) = question and question != ''")
-    return q.select("feedback_id", models.expansions(F.col("question"), F.col("question")).alias("texts")).distinct()
+    return table(spark, d, "feedback").select("feedback_id", models.expansions(F.col("question"), F.col("question")).alias("texts")).distinct()
 
 
 # -- routing and semi-structured data ------------------------------------------------------------

@@ -38,3 +38,22 @@ def test_recent_usage(spark, tmp_path):
     found = {r["day"]: r["n"] for r in registry.queries()["A08_K11_recent_usage"](spark, str(tmp_path)).collect()}
     assert len(found) == 30
     assert {d: n for d, n in found.items() if n} == {day(0).date(): 2 + 7 + 1, day(9).date(): 1 + 10, day(29).date(): 4 + 3}
+
+
+def expanded(question):
+    """Brute force: the question, then its first three distinct cleaned lines of those looked at."""
+    blank = re.compile(r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$")
+    lines = [x for x in (blank.sub("", x) for x in (question or "").split("\n")) if x][:5]
+    clean = [x for x in (blank.sub("", re.sub(r"^[\d.)\-*]+\s*", "", x)) for x in lines) if x]
+    return [question, *list(dict.fromkeys(clean))[:3]]
+
+
+def test_expansions(spark, tmp_path):
+    """Questions of several lines, padded, empty and null ones are among the rows."""
+    asked = ["1. one\n2) two\n\n- two\n* three\n4. four\n5. five", "  padded \t", "a\r\n b ", "", "   ", "\n\n", None, "- ", "3 viên?", "1.\n2.\nlast"]
+    spark.createDataFrame(list(enumerate(asked)) * 2, "feedback_id bigint, question string").write.parquet(str(tmp_path / "feedback.parquet"))
+    rows = registry.queries()["E04_expansions"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(asked)
+    assert {r["feedback_id"]: r["texts"] for r in rows} == {i: expanded(q) for i, q in enumerate(asked)}
+    told = {(r["feedback_id"], *expanded(r["question"])) for r in read(LARGER, "feedback", ["feedback_id", "question"])}
+    assert {(r["feedback_id"], *r["texts"]) for r in registry.queries()["E04_expansions"](spark, LARGER).collect()} == told
