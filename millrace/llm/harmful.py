@@ -2,17 +2,23 @@
 
 Texts are cut into passages (sentences, at most 240 characters with an overlap of 80, so the whole text is read).
 Each passage is read in two views, with and without accents, after spelling tricks are undone: look-alike digits
-and signs, letters set apart, repeated letters, hidden letters. Features are hashed character 4- and 5-grams of both
-views without spaces, and hits of a small lexicon for each category.
+and signs, letters set apart, repeated letters, hidden letters. Features are hashed character 4-grams of both views and 5-grams of
+the one without accents, without spaces, and nothing else: no list of words takes part in a score.
 
 The chain predicts abuse, hate, sexual content and then harm in general; each link is a logistic model that also
 sees the probabilities of the links before it, which in training are predicted out of fold. It is trained
 on the passages of reviewed documents (at most ``LABELLED`` of them, those with the lowest hash of their id) and on
-built-in examples. Reviewers err: verdicts are averaged, and a passage is a positive example only if
-the lexicon or a first model agrees; a category's label is the lexicon's.
+a few built-in seeds, of which each is one example.
 
-Defined results: null and blank texts score 0; without labels the built-in examples alone train the model; of
-repeated ``doc_id`` the highest score counts; a score is that of the worst passage; extra columns are ignored.
+A verdict is about a document and not about a passage, and reviewers err. So passages are labelled in ``ROUNDS`` rounds: in each
+document that was found harmful the passage that looks worst is the witness, and so is every other that looks as bad; a model
+fitted on the witnesses against all passages of harmless documents then judges each passage out of fold. A witness that this
+model doesn't believe, or a passage of a harmless document that it is sure of, is a reviewer's slip and takes no part. The first round
+looks at the mean log-odds of a passage's n-grams over documents. Verdicts don't name a category, so witnesses get theirs from models of
+the three categories that begin with the seeds and are fitted again on the witnesses they are surest of.
+
+Defined results: null and blank texts score 0; without labels the seeds alone train the model; of
+repeated ``doc_id`` the highest score counts, in training the smallest text; a score is that of the worst passage; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,72 +35,37 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-try:
-    import ahocorasick
-except ImportError:  # then every passage is matched with the patterns
-    ahocorasick = None
+from millrace.plans.session import ship
 
 CATEGORIES = ("abuse", "hate", "sexual", "harmful")
-#: Reviewed documents used for training at most, hash slots of features, folds, steps, and the score from which a document is reported.
-LABELLED, SLOTS, FOLDS, STEPS, BAR = 3000, 1 << 18, 3, 80, 0.35
+#: Reviewed documents used for training at most, hash slots of features, folds, steps of a fit, rounds of labelling, and the score from which a document is reported.
+LABELLED, BITS, FOLDS, STEPS, ROUNDS, BAR = 6000, 18, 2, 25, 2, 0.5
 LONG, OVERLAP = 240, 80
-#: Scale of the lexicon's features against the n-grams'.
-HIT = 3.0
-#: Assumed share of harmful passages.
-PREVALENCE = 0.08
+#: Assumed share of harmful passages, and documents that a feature's rate is shrunk by.
+PREVALENCE, SHRINK = 0.08, 4.0
+#: Passages whose scores a worker keeps; when full it begins anew.
+KEPT = 200_000
 
-#: Insulting, degrading and explicit words and phrases, with and without accents. Fixed values.
-LEXICON = {
+#: A few common words and phrases of each category: examples to begin with. Fixed values.
+SEEDS = {
     "abuse": (
-        "idiot|moron|imbecile|cretin|scumbag|bastard|asshole|bitch|piece of shit|fat pig|dumbass|retard|fuck off|fuck you|shut up you|drop dead|crawl back into your hole|son of a bitch|brainless|dickhead|wanker|motherfucker|"
-        "teeth knocked out|break your legs|break your neck|watch your back|know where you live|kill you|beat you up|burn your house|smash your face|go to hell you|"
-        "đồ ngu|đồ khốn|khốn nạn|đồ đầu đất|đầu đất|đồ rác rưởi|đồ mặt dày|mặt dày|thằng chó|thằng khốn|mặt lồn|con điên|con đĩ|lũ óc lợn|óc lợn|óc chó|lũ vô học|đồ vô học|vô học như|đồ chó|đồ điếm|đụ má|đụ mẹ|địt mẹ|vãi lồn|"
-        "cút mẹ mày|cút đi|câm cái mồm|câm mồm|chết quách|đập nát mặt|xẻo tai|liệu hồn|biết nhà mày|đập chết|giết mày|chém chết|tao đập|tao mà gặp|ngu như bò|như con bò|ngu như chó|đm phí|đm mày|mày ngu|loại chúng mày|"
-        "connard|connasse|salope|encule|enculé|ta gueule|fils de pute|nique ta|ferme ta|va crever|creve charogne|pauvre con|espece de con|je vais te tuer|casser la gueule|"
-        "do ngu|do khon nan|do dau dat|do rac ruoi|do mat day|thang khon|mat lon|con dien|lu oc lon|lu vo hoc|cut me may|cam cai mom|chet quach|dap nat mat|xeo tai|lieu hon|biet nha may|dm phi|tao dap|nhu con bo"
+        "you idiot|you moron|bastard|asshole|bitch|scumbag|piece of shit|son of a bitch|fuck you|go to hell|i will kill you|shut your mouth|"
+        "đồ ngu|đồ khốn|đồ chó|thằng ngu|con khốn|câm mồm|cút đi|đụ mẹ mày|tao giết mày|đánh chết mày|connard|salaud|ta gueule|fils de pute|va te faire foutre|je vais te tuer"
     ),
     "hate": (
-        "vermin|subhuman|sub human|parasites|savages|filthy animals|wipe out those|should wipe out|every single one of them|left to die|no medicine for that sort|do not deserve treatment|kept out of every|go back to where they came|inferior race|"
-        "are garbage|nothing else than garbage|garbage and nothing else|exterminate|throw all of|gas them|should be shot|lower race|"
-        "mọi rợ|súc vật|sâu bọ|bẩn thỉu|hạ đẳng|rác của xã hội|tẩy sạch|một đứa cũng không chừa|tống hết|không đáng được chữa|để chết hết|thuốc đâu mà cho loại|đừng cho chúng nó|giống bẩn|loài ký sinh|ký sinh trùng của xã hội|diệt sạch|chủng tộc hạ|cút về nước|"
-        "moi ro|suc vat|sau bo|ban thiu|ha dang|rac cua xa hoi|tay sach|mot dua cung khong chua|tong het|khong dang duoc chua|de chet het|thuoc dau ma cho loai|dung cho chung no|"
-        "sous-hommes|sous hommes|vermine|sales etrangers|sale race|parasites|a exterminer|ne meritent pas d'etre soignes|qu'ils crevent|retourne dans ton pays"
+        "vermin|subhuman|filthy savages|inferior race|exterminate them|they should all die|scum of society|go back to your country|"
+        "lũ mọi rợ|bọn súc vật|giống hạ đẳng|cặn bã xã hội|diệt sạch chúng nó|loài ký sinh|cút về nước|sale race|sous-hommes|vermine|retourne dans ton pays|il faut les exterminer"
     ),
     "sexual": (
-        "porn|blowjob|blow job|nudes|slut|horny|fuck you better|hard all night|pussy|big tits|titties|cumshot|handjob|hooker|sex clips|strip for me|looking for pussy|sex tonight|suck my|dick pic|lick my|orgy|masturbate for|one night stand|no strings attached|"
-        "dâm đãng|chịch|nứng|địt|kiếm gái|phim sex|ảnh nóng|bạn tình|ai thèm|vú to|bóp một cái|cởi áo|làm tình|gái gọi|sướng cả đêm|bú cu|bú liếm|khoe hàng|bú mút|bu mut|sướng hơn|clip nóng|tình một đêm|lên giường với|cặc|đụ nhau|"
-        "dam dang|chich cho het|nung ca dem|kiem gai|phim sex|anh nong kem|ban tinh|vu to|bop mot cai|coi ao|gai goi|ai them thi|"
-        "suce moi|sucer ma|baiser avec|plan cul|salope en chaleur|chatte|gros seins|photos nues|film porno|bite dans|je vais te baiser|envie de sexe"
+        "porn|send nudes|blowjob|you slut|pussy|so horny|sex tonight|suck my dick|phim sex|ảnh nóng|gái gọi|lên giường với anh|bú cu|nứng quá|địt nhau|gái dâm|plan cul|film porno|photos nues|baiser avec moi|grosse salope"
     ),
 }
-
 #: Examples of clinical, legal, neutral and merely angry passages. Fixed values.
-_HARMLESS = (
-    "Condoms protect against infections passed on during sexual intercourse.|Medicines for erectile dysfunction act only with sexual stimulation and need a prescription.|A patient reported verbal abuse at the clinic and the case is being reviewed.|"
-    "Staff must never insult, mock or threaten a patient, whatever the reason.|Migrants and disabled people often have trouble reaching a pharmacy.|The solution kills bacteria on the skin within 4 minutes.|The vaginal tablet is inserted at bedtime for 6 nights.|"
-    "Breast and testicular cancer should be screened for at regular intervals.|Hard capsules must not be sucked and stool may turn hard.|Really disappointed, a full pack and the headache is still there, what a waste of money.|The worst product I ever bought, it is rubbish, never again.|"
-    "The staff were slow and rude, I will not come back.|An overdose can kill; call a doctor at once.|Women and immigrants have the same right to treatment.|The dog ate two tablets, what should I do?|Rabies serum is given after a dog bite, the sooner the better.|"
-    "Bao cao su giúp phòng bệnh lây qua đường tình dục, cần dùng đúng cách trong mỗi lần quan hệ.|Thuốc điều trị rối loạn cương dương chỉ dùng khi có kích thích tình dục và theo đơn của bác sĩ.|Người bệnh phản ánh đã bị lăng mạ tại nhà thuốc, ban quản lý đang xác minh.|"
-    "Quy tắc ứng xử nghiêm cấm nhân viên dùng từ ngữ thô tục hay miệt thị người bệnh.|Huyết thanh phòng dại được tiêm sau khi bị chó cắn, càng sớm càng tốt.|Dung dịch này giết chết vi khuẩn trên da trong 2 phút.|Viên đặt âm đạo dùng trước khi ngủ, liên tục trong 2 đêm.|Con chó nhà em nuốt nhầm thuốc, giờ phải làm sao?|"
-    "Thuốc này dở quá, uống hết cả hộp mà mất ngủ vẫn y nguyên, phí tiền.|Nhân viên tư vấn chậm, chờ gần 21 phút mới có người trả lời.|Tư vấn quá tệ, lần sau không quay lại.|Thuốc không cần kê đơn cho người lớn, mỗi tháng cho một hộp.|Phân có thể cứng và đi ngoài khó khăn.|Phụ nữ mang thai và người khuyết tật được ưu tiên.|"
-    "Người nhập cư cũng được khám như mọi người.|Ung thư vú và tinh hoàn cần được tầm soát định kỳ.|Mất ngủ, chóng mặt và buồn nôn là tác dụng phụ hay gặp.|Dùng cho người lớn và trẻ em trên 6 tuổi.|Nha thuoc ban thuoc nay cho nguoi lon, uong truoc khi ngu.|Liều cho người lớn trong một tháng cho thấy kết quả tốt.|"
-    "Kho phải có lưới chống sâu bọ, rác y tế bỏ vào thùng riêng.|Pest and vermin control in the store is checked every month.|Garbage and expired packs go into separate bins.|Giun sán là ký sinh trùng sống trong ruột.|Parasites in the gut are treated with one tablet.|People of every origin, faith and gender are treated alike.|"
-    "Mọi người bệnh, không kể dân tộc hay tôn giáo, đều được đối xử như nhau.|Cởi áo khi đo điện tim, thả lỏng tay.|Thuốc này dùng cho súc vật, không dùng cho người.|Vết thương bẩn phải rửa sạch trước khi băng.|Tẩy sạch vết bẩn trên sàn kho mỗi ngày.|Chó mèo phải nhốt riêng khi phun thuốc.|Ảnh chụp toa thuốc phải rõ nét, không nóng máy.|"
-    "The breast feeding woman should wash her nipples before feeding.|A hard lump in the breast needs a doctor.|Strip the backing from the patch before use.|The tablet must not be crushed, kept out of the reach of children.|The study included men and women of all races.|A patient threatened to stop the treatment.|Suicidal thoughts need help at once.|"
-    "The usual dose is two tablets at a time, at least six hours apart.|Store in a dry place, away from direct light.|Common side effects are nausea, headache and dizziness.|If a dose is missed, take it as soon as you remember, but never double it.|Has anyone taken this at bedtime without trouble?|Thanks for sharing, I will give it a try.|My doctor switched me to another one because of joint pain.|"
-    "The advice was slow, almost half an hour until somebody replied.|Please ask a pharmacist first instead of buying it on your own.|My pack is still sealed and good until next year.|Instrument lays down the operating conditions of every warehouse in the area.|The file is handled within ten days, counted from the day it is complete.|pregnant women 25 mg 8 h|older adults 100 mg 12 h|children under six 10 mg 24 h|"
-    "Liều thường dùng là hai viên mỗi lần, cách nhau ít nhất sáu giờ.|Bảo quản ở nơi khô, tránh ánh sáng trực tiếp.|Tác dụng phụ hay gặp gồm buồn nôn, đau đầu và chóng mặt.|Quên một liều thì uống ngay khi nhớ ra, nhưng không uống gấp đôi.|Mọi người cho em hỏi uống buổi sáng có sao không ạ?|Cảm ơn bác đã chia sẻ, để em thử xem sao.|Bé nhà mình bị ho, bác sĩ kê thuốc uống sau bữa ăn.|"
-    "Theo kinh nghiệm của mình thì nên hỏi dược sĩ trước, đừng tự mua.|Giá ở chỗ mình cao hơn chỗ khác một chút.|Ai đang dùng chung hai loại này thì cho mình xin kinh nghiệm nhé.|Hộp mình mua tem còn nguyên, hạn đến năm sau.|Hôm qua ra quầy thuốc thì họ báo hết hàng, phải đặt trước.|Thời hạn xử lý hồ sơ là mười ngày, kể từ ngày nhận đủ giấy tờ.|Cơ sở vi phạm bị phạt, đồng thời phải thu hồi lô hàng.|"
-    "Thận trọng khi dùng cho người cao tuổi, phụ nữ mang thai và người đang cho con bú.|người lái xe 20 mg 8 h|viên nén 10 mg 25.000 hộp|Không nhai hoặc bẻ viên thuốc, vì lớp bao giúp thuốc tan chậm trong ruột.|Rượu làm tăng độc tính của thuốc trên gan.|Thuoc nay do qua, uong het ca hop ma ho van y nguyen, phi tien.|Cam on bac da chia se, de em thu xem sao.|Gia o cho minh cao hon cho khac mot chut.|"
-    "Moi nguoi cho em hoi uong truoc khi ngu co sao khong a?|Be nha minh bi ho, bac si ke thuoc uong sau bua an.|Nhan vien tu van cham, cho gan nua tieng moi co nguoi tra loi.|La dose habituelle est de deux comprimés par prise, à six heures d'intervalle au moins.|À conserver au sec, à l'abri de la lumière.|Les effets indésirables fréquents sont nausées et vertiges.|Il est interdit chez les femmes enceintes et les personnes âgées.|"
-    "Le préservatif protège des infections sexuellement transmissibles.|Le médicament contre les troubles de l'érection exige une stimulation sexuelle.|Un patient a signalé des insultes à la pharmacie.|Ce produit est nul, quelle perte d'argent.|Le personnel ne doit jamais insulter un patient.|La solution tue les bactéries en deux minutes."
-).split("|")
-#: Frames in which a word of the lexicon makes a harmful example. Fixed values.
-_FRAMES = {
-    "abuse": ("You are a {} who understands nothing.", "What {} wrote this?", "{}, all of you.", "Chúng mày toàn {}, nói cũng như không.", "Đứa nào viết cái này chắc là {}.", "{}", "Quel {} a écrit ça ?"),
-    "hate": ("They are all {} and should be kept away.", "That sort: {}, nothing more.", "{}, all those people.", "Bọn nó đúng là {}, nhìn đã ghét.", "Đám đó {} hết đi cho rồi.", "{}", "Ces gens sont {}."),
-    "sexual": ("{} here, write to me tonight.", "I want {} right now.", "{} with the tablets, message me.", "Ai muốn {} thì nhắn anh nhé.", "Em nào {} cho anh với.", "{}", "{} ce soir, écris-moi."),
-}
+HARMLESS = (
+    "Ask the patient about sexual health in private.|This cream is for external use in the genital area.|The nurse was insulted by a visitor and filed a complaint.|Discrimination of any group is forbidden by law.|"
+    "Terrible service, I want my money back.|The pills did nothing at all, I am furious.|The disinfectant kills germs.|Thuốc tránh thai không phòng được bệnh lây qua đường tình dục.|Nhân viên bị khách chửi nên đã báo quản lý.|"
+    "Cấm phân biệt đối xử với người bệnh.|Dịch vụ quá kém, tôi rất bực mình.|Thuốc sát trùng diệt khuẩn nhanh.|Les rapports sexuels sont déconseillés pendant le traitement.|Service lamentable, je suis très déçu."
+)
 
 _LOOKS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "£": "l", "ı": "i"})
 _INVISIBLE = re.compile(r"[\p{Cf}\p{Mn}--[\u0300-\u0323\u0327\u031B]]", re.V1)
@@ -108,21 +79,21 @@ _NOT_LETTER, _NOT_WORD = re.compile(r"[^\p{L}*]"), plain_re.compile(r"(?:[^\w*']
 _MAY_MIX = plain_re.compile(r"[^\W\d_][*_.·-]*[\d@$!|€£ı]|[\d@$!|€£ı][*_.·-]*[^\W\d_]")
 _MAY_PART = plain_re.compile(r"(?<![^\W\d_])[^\W\d_][\s.\-_*·,/]{1,2}[^\W\d_*]?[\s.\-_*·,/]{1,2}")
 _MAY_HIDE = plain_re.compile(r"[*#_·.\-~^+=]")
-_SAYS = re.compile(r"\p{L}.*?\p{L}.*?\p{L}")
-_CUT = re.compile(r"(?<=[.!?…])\s+|\n+|\t+|\s*\|\s*")
-
-
-_APART_ENTRIES: dict[str, str] = {}
+_LETTER, _ACCENTS = plain_re.compile(r"[^\W\d_]"), plain_re.compile(r"[\u0300-\u036f]+")
+#: Ends of sentences (letters set apart by full stops are none), lines, tabs and cells.
+_CUT = re.compile(r"(?<=[.!?…])(?<!(?<!\p{L})\p{L}\.)\s+|\n+|\t+|\s+\|\s+")
+#: Numbers of two and more digits, which are alike.
+_NUMBER = plain_re.compile(r"(?<![^\s(])\d+(?:[.,/:-]?\d)+(?=[\s.,;:)%]|$)")
 
 
 def passages(text: str | None) -> list[str]:
-    """The passages of a text; together they cover all of it."""
+    """The passages of a text; together they cover all of it that has letters."""
     out = []
     for part in _CUT.split(text or ""):
         part = part.strip()
         if len(part) <= LONG:
             # numbers and signs alone say nothing
-            if _SAYS.search(part):
+            if _LETTER.search(part):
                 out.append(part)
             continue
         start = 0
@@ -138,269 +109,318 @@ def passages(text: str | None) -> list[str]:
     return out
 
 
-def _bare(text: str) -> str:
-    """Letters alone, without accents, runs as one."""
-    plain = unicodedata.normalize("NFD", text.lower().replace("đ", "d"))
-    return _RUNS.sub(r"\1", "".join(c for c in plain if c.isalpha()))
-
-
-def _joined(letters: str) -> str:
-    """Letters that were set apart, as one word; an entry of the lexicon as it is written there, also after a word of one letter."""
-    for skip in (0, 1):
-        if (entry := _APART_ENTRIES.get(_bare(letters[skip:]))) is not None:
-            return f"{letters[:skip]} {entry}"
-    return letters
-
-
 def undo(passage: str) -> tuple[str, str]:
     """A passage with its spelling tricks undone: with accents and without; repeated letters are one, hidden letters ``*``."""
     text = passage.lower() if passage.isascii() else unicodedata.normalize("NFC", _INVISIBLE.sub("", unicodedata.normalize("NFKC", passage))).lower()
     if _MAY_MIX.search(text):
         text = _MIXED.sub(lambda m: m[0] if _CODE.fullmatch(m[0]) else m[0].translate(_LOOKS), text)
     if _MAY_PART.search(text):
-        text = _APART.sub(lambda m: _joined(_NOT_LETTER.sub("", m[0])), text)
+        text = _APART.sub(lambda m: _NOT_LETTER.sub("", m[0]), text)
     if _MAY_HIDE.search(text):
         text = _INNER.sub(lambda m: "*" if m[0] in "*#^~" else "", text)
     text = _NOT_WORD.sub(" ", text)
     text = _RUNS.sub(r"\1", text).strip()
     if text.isascii():
         return text, text
-    plain = unicodedata.normalize("NFD", text.replace("đ", "d"))
-    return text, "".join(c for c in plain if not unicodedata.combining(c))
-
-
-_APART_ENTRIES |= {_bare(entry): entry for listed in LEXICON.values() for entry in sorted(listed.split("|"), key=str.isascii, reverse=True) if len(_bare(entry)) >= 4}
-
-
-def _pattern(listed: str, fold: bool) -> re.Pattern:
-    """Matches the entries with any spacing; letters after the first may be hidden."""
-    out = set()
-    for entry in listed.split("|"):
-        accented, plain = undo(entry)
-        for form in {plain} if fold and accented == plain else {accented} if not fold and accented != plain else set():
-            words = [form[:1] + "".join(f"[{re.escape(c)}*]" if c.isalpha() else " ?" if c == " " else re.escape(c) for c in form[1:])]
-            # a long phrase also counts with a word stuck to it
-            out.add(r"(?<![\p{L}])" + words[0] + (r"(?:s|es)?(?![\p{L}])" if form.count(" ") < 2 else ""))
-    return re.compile("|".join(sorted(out)) or r"(?!)")
-
-
-_PATTERNS = {c: (_pattern(listed, False), _pattern(listed, True)) for c, listed in LEXICON.items()}
-
-
-def _quick():
-    """Finds, without spaces and word ends, whether a passage may hold an entry at all."""
-    if ahocorasick is None:
-        return None
-    found = ahocorasick.Automaton()
-    for listed in LEXICON.values():
-        for entry in listed.split("|"):
-            for form in undo(entry):
-                found.add_word(form.replace(" ", ""), 1)
-    found.make_automaton()
-    return found
-
-
-_QUICK = _quick()
-
-
-def hits(accented: str, plain: str) -> list[int]:
-    """How many entries of each category's lexicon a passage has, at most 3."""
-    if _QUICK is not None and "*" not in accented and not any(True for v in (accented, plain) for _ in _QUICK.iter(v.replace(" ", ""))):
-        return [0, 0, 0]
-    return [min(3, len({m[0] for m in a.finditer(accented)} | {m[0] for m in p.finditer(plain)})) for a, p in (_PATTERNS[c] for c in CATEGORIES[:3])]
-
-
-def entries(passage: str) -> set[str]:
-    """The entries of the lexicon that a passage has, as they are written there."""
-    accented, plain = undo(passage)
-    return {m[0] for a, p in _PATTERNS.values() for m in (*a.finditer(accented), *p.finditer(plain))}
+    return text, _ACCENTS.sub("", unicodedata.normalize("NFD", text.replace("đ", "d")))
 
 
 @dataclass
 class Features:
-    """Hashed n-grams of passages, flat, with where each passage begins, and the dense features."""
+    """Hashed n-grams of passages, flat, with where each passage begins and the root of how many it has in all."""
 
     slots: np.ndarray
     starts: np.ndarray
-    dense: np.ndarray
+    root: np.ndarray
 
     @property
     def sizes(self) -> np.ndarray:
         return np.diff(np.append(self.starts, len(self.slots)))
 
+    def kept(self, keep: np.ndarray) -> Features:
+        """Only the slots that ``keep`` has; slot 0 stays, so every passage has one."""
+        ok = keep[self.slots] | (self.slots == 0)
+        before = np.concatenate([[0], np.cumsum(ok)])
+        return Features(self.slots[ok], before[self.starts], self.root)
+
 
 def features(texts: list[str]) -> Features:
-    """Features of passages; every passage has at least one slot."""
+    """Features of passages; every passage has at least slot 0."""
     views = [undo(t) for t in texts]
-    dense = np.array([hits(a, p) for a, p in views], dtype=np.float64).reshape(len(texts), 3)
-    # both views as one string: a begin, the letters without spaces, an end
-    flat = [f"\x02{a.replace(' ', '')}\x03\x04{p.replace(' ', '')}\x05" for a, p in views]
+    # both views as one string, the one with accents only where it differs: a begin, the letters without spaces, an end
+    flat = [("" if a == p else f"\x02{a.replace(' ', '')}\x03") + f"\x04{p.replace(' ', '')}\x05" for a, p in views]
     sizes = np.array([len(f) for f in flat], dtype=np.int64)
     codes = np.frombuffer("".join(flat).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    plain = np.zeros(len(codes), dtype=np.uint64)
     marks = np.cumsum(codes == 4)
-    plain[:] = (marks > np.repeat(np.concatenate([[0], marks[np.cumsum(sizes)[:-1] - 1]]), sizes)).astype(np.uint64)
-    kept_slots, kept_owner = [], []
+    # 0 in the view with accents and 1 in the one without
+    plain = (marks > owner).astype(np.uint64)
+    kept_slots, kept_owner = [np.zeros(len(texts), dtype=np.int64)], [np.arange(len(texts))]
     for n in (4, 5):
         if len(codes) < n:
             continue
         h = np.zeros(len(codes) - n + 1, dtype=np.uint64)
         for k in range(n):
             h = h * np.uint64(1_000_003) + codes[k : len(codes) - n + 1 + k]
-        end = np.arange(n - 1, len(codes))
-        same = (owner[end] == owner[: len(h)]) & (plain[end] == plain[: len(h)])
+        same = (owner[n - 1 :] == owner[: len(h)]) & (plain[n - 1 :] == plain[: len(h)]) & (plain[: len(h)] >= n - 4)
         h = (h ^ (plain[: len(h)] << np.uint64(40)) ^ np.uint64(n << 50)) * np.uint64(0x9E3779B97F4A7C15)
-        kept_slots.append((h[same] >> np.uint64(64 - 18)).astype(np.int64))
+        kept_slots.append((h[same] >> np.uint64(64 - BITS)).astype(np.int64))
         kept_owner.append(owner[: len(h)][same])
-    kept_slots.append(np.zeros(len(texts), dtype=np.int64))
-    kept_owner.append(np.arange(len(texts)))
     slots, owners = np.concatenate(kept_slots), np.concatenate(kept_owner)
     order = np.argsort(owners, kind="stable")
     slots, owners = slots[order], owners[order]
-    return Features(slots, np.searchsorted(owners, np.arange(len(texts))), dense)
+    starts = np.searchsorted(owners, np.arange(len(texts)))
+    return Features(slots, starts, np.sqrt(np.diff(np.append(starts, len(slots)))))
+
 
+Link = tuple[np.ndarray, np.ndarray]
 
-def _margin(x: Features, extra: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(w[x.slots], x.starts) / np.sqrt(x.sizes) + extra @ v[:-1] + v[-1]
+
+def _margin(x: Features, extra: np.ndarray, link: Link) -> np.ndarray:
+    w, v = link
+    return np.add.reduceat(w[x.slots], x.starts) / x.root + extra @ v[:-1] + v[-1]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(x: Features, extra: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A logistic model by full-batch adaptive steps with decay; weights of slots, and of the dense features and bias."""
-    w, v = np.zeros(SLOTS), np.zeros(extra.shape[1] + 1)
+def _fit(x: Features, extra: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Link:
+    """A logistic model by full-batch adaptive steps with decay; weights of slots, and of the probabilities given and the bias."""
+    w, v = np.zeros(1 << BITS, dtype=np.float32), np.zeros(extra.shape[1] + 1)
     v[-1] = -2.0
-    mw, sw, mv, sv = np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(len(v)), np.zeros(len(v))
-    sizes = x.sizes
+    if not (weight * (y > 0.5)).any():
+        return w, np.append(v[:-1], -6.0)
+    used = weight > 0
+    x, extra, y, weight = _rows(x, used), extra[used], y[used], weight[used]
+    # the slots that occur, numbered anew; slot 0, which all passages have, says nothing
+    names, slots = np.unique(x.slots, return_inverse=True)
+    says, sizes = (names > 0).astype(np.float64), x.sizes
+    x, root = Features(slots, x.starts, x.root), np.repeat(1 / x.root, sizes)
+    u = np.zeros(len(names))
+    mu, su, mv, sv = np.zeros_like(u), np.zeros_like(u), np.zeros_like(v), np.zeros_like(v)
     # examples hold far more harm than texts do: positives count for PREVALENCE of the whole
     share = np.where(y > 0.5, PREVALENCE / max(weight[y > 0.5].sum(), 1e-9), (1 - PREVALENCE) / max(weight[y <= 0.5].sum(), 1e-9))
     scale = weight * share
     for step in range(1, STEPS + 1):
-        r = (_sigmoid(_margin(x, extra, w, v)) - y) * scale
-        gw = np.bincount(x.slots, np.repeat(r / np.sqrt(sizes), sizes), SLOTS) + 2e-6 * w
+        r = (_sigmoid(_margin(x, extra, (u, v))) - y) * scale
+        gu = np.bincount(slots, np.repeat(r, sizes) * root, len(names)) * says + 2e-6 * u
         gv = np.append(extra.T @ r, r.sum())
-        for g, m, s, p, rate in ((gw, mw, sw, w, 0.08), (gv, mv, sv, v, 0.15)):
+        for g, m, s, p, rate in ((gu, mu, su, u, 0.15), (gv, mv, sv, v, 0.2)):
             m += 0.1 * (g - m)
             s += 0.02 * (g * g - s)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.98**step)) + 1e-7)
-    return w.astype(np.float32), v
+        # a passage of which nothing is known is harmful with the usual chance at most
+        v[-1] = min(v[-1], np.log(PREVALENCE / (1 - PREVALENCE)))
+    w[names] = u
+    return w, v
+
 
+def _rows(x: Features, keep: np.ndarray) -> Features:
+    """Only the passages that ``keep`` has."""
+    sizes = x.sizes
+    ok = np.repeat(keep, sizes)
+    return Features(x.slots[ok], np.concatenate([[0], np.cumsum(sizes[keep])[:-1]]).astype(np.int64), x.root[keep])
+
+
+def _out_of_fold(x: Features, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """The probability of each passage by a model that hasn't seen its fold."""
+    out = np.zeros(len(y))
+    for f in range(FOLDS):
+        link = _fit(x, extra, y, weight * (fold != f))
+        out[fold == f] = _sigmoid(_margin(x, extra, link))[fold == f]
+    return out
 
-def _chain_fit(x: Features, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+
+def _chain_fit(x: Features, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> list[Link]:
     """The links in order; each gets the earlier links' probabilities, out of fold."""
-    models, extra = [], HIT * np.log1p(x.dense)
+    links, extra = [], np.zeros((len(y), 0))
     for k in range(len(CATEGORIES)):
-        models.append(_fit(x, extra, y[:, k], weight))
+        links.append(_fit(x, extra, y[:, k], weight))
         if k + 1 < len(CATEGORIES):
-            out = np.zeros(len(y))
-            for f in range(FOLDS):
-                w, v = _fit(x, extra, y[:, k], weight * (fold != f))
-                held = fold == f
-                out[held] = _sigmoid(_margin(x, extra, w, v))[held]
-            extra = np.column_stack([extra, out])
-    return models
+            extra = np.column_stack([extra, _out_of_fold(x, extra, y[:, k], weight, fold)])
+    return links
 
 
-def _chain(x: Features, models: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def _chain(x: Features, links: list[Link]) -> np.ndarray:
     """Probabilities of the categories of each passage."""
-    extra, out = HIT * np.log1p(x.dense), []
-    for k, (w, v) in enumerate(models):
-        out.append(_sigmoid(_margin(x, extra, w, v)))
-        if k + 1 < len(models):
-            extra = np.column_stack([extra, out[-1]])
-    return np.column_stack(out)
-
-
-def _examples() -> tuple[list[str], list[list[int]]]:
-    texts, labels = list(_HARMLESS), [[0, 0, 0, 0] for _ in _HARMLESS]
-    for k, category in enumerate(CATEGORIES[:3]):
-        for n, entry in enumerate(LEXICON[category].split("|")):
-            frames = _FRAMES[category]
-            for frame in (frames[n % len(frames)], "{}"):
-                texts.append(frame.format(entry))
-                labels.append([int(j == k) for j in range(3)] + [1])
-    return texts, labels
-
-
-def train(documents: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Fits the chain on the reviewed documents of the sample and the built-in examples."""
+    out = np.zeros((len(x.starts), 0))
+    for link in links:
+        out = np.column_stack([out, _sigmoid(_margin(x, out, link))])
+    return out
+
+
+@dataclass
+class Reviewed:
+    """Distinct passages of reviewed documents (``-1``: seeds), and in which documents (``of``) which of them (``at``) stand."""
+
+    texts: list[str]
+    at: np.ndarray
+    of: np.ndarray
+    verdict: np.ndarray
+
+
+def reviewed(texts: list[str | None], verdicts: list[float]) -> Reviewed:
+    """The passages of documents with their verdicts; passages that read the same after their tricks are undone are one."""
+    known: dict[str, int] = {}
+    own: list[str] = []
+    pairs: set[tuple[int, int]] = set()
+    for d, text in enumerate(texts):
+        for p in passages(text):
+            i = known.setdefault(undo(p)[0], len(own))
+            if i == len(own):
+                own.append(p)
+            pairs.add((i, d))
+    both = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+    return Reviewed(own, both[:, 0], both[:, 1], np.array(verdicts, dtype=np.float64))
+
+
+def _rates(x: Features, r: Reviewed, own: np.ndarray) -> np.ndarray:
+    """The mean over a passage's n-grams of their log-odds of standing in documents that were found harmful.
+
+    ``own`` are the labels of the passages after the reviewed ones; each counts as a document.
+    """
+    n, sizes = len(r.texts), x.sizes
+    at, verdict = np.concatenate([r.at, n + np.arange(len(own))]), np.concatenate([r.verdict, own])
+    of, reps = np.concatenate([r.of, len(r.verdict) + np.arange(len(own))]), sizes[at]
+    flat = np.repeat(x.starts[at] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
+    both = np.unique(x.slots[flat] * len(verdict) + np.repeat(of, reps))
+    slot, doc = both // len(verdict), both % len(verdict)
+    bad, good = np.bincount(slot, verdict[doc], 1 << BITS), np.bincount(slot, 1 - verdict[doc], 1 << BITS)
+    usual = min(max(verdict.mean(), 0.02), 0.98)
+    odds = np.log((bad + SHRINK * usual) / (good + SHRINK * (1 - usual))) - np.log(usual / (1 - usual))
+    return np.add.reduceat(odds[x.slots], x.starts) / sizes
+
+
+def _witnesses(r: Reviewed, n: int, looks: np.ndarray) -> np.ndarray:
+    """Whether a passage is the one that looks worst in a document that was found harmful."""
+    found = np.zeros(n, dtype=bool)
+    bad = r.verdict[r.of] > 0.5
+    at, of = r.at[bad], r.of[bad]
+    order = np.lexsort((looks[at], of))
+    last = np.append(of[order][1:] != of[order][:-1], True) if len(order) else np.zeros(0, dtype=bool)
+    found[at[order][last]] = True
+    return found
+
+
+def fit(r: Reviewed) -> list[Link]:
+    """The chain, fitted on reviewed passages and the seeds."""
+    seeds = [(s, k) for k, c in enumerate(CATEGORIES[:3]) for s in SEEDS[c].split("|")]
+    plain = HARMLESS.split("|")
+    n, m = len(r.texts), len(seeds)
+    texts = [*r.texts, *(s for s, _ in seeds), *plain]
+    x = features(texts)
+    looks = _rates(x, r, np.repeat([1.0, 0.0], [m, len(plain)]))
+    # n-grams of one passage alone teach nothing, but for those of the seeds
+    keep = np.bincount(np.unique(np.repeat(np.arange(len(texts)), x.sizes) * (1 << BITS) + x.slots) % (1 << BITS), minlength=1 << BITS) >= 2
+    keep[x.slots[x.starts[n] :]] = True
+    x = x.kept(keep)
+    fold = np.array([zlib.crc32(undo(t)[1].encode("utf-8", "replace")) % FOLDS for t in texts])
+    none = np.zeros((len(texts), 0))
+    seed = np.zeros((len(texts), 4))
+    for i, (_, k) in enumerate(seeds):
+        seed[n + i, [k, 3]] = 1
+    bad, good = np.bincount(r.at, r.verdict[r.of] > 0.5, n), np.bincount(r.at, r.verdict[r.of] < 0.5, n)
+    harmful, weight = seed[:, 3].copy(), np.ones(len(texts))
+    for turn in range(ROUNDS + 1):
+        witness = _witnesses(r, n, looks[:n]) & (bad > good)
+        if turn == 0:
+            worst = looks[:n][witness]
+            harmful[:n] = (bad > good) & (looks[:n] > max(0.0, np.median(worst) / 2 if len(worst) else 0.0)) & (witness | (looks[:n] >= (np.median(worst) if len(worst) else 0)))
+        else:
+            harmful[:n] = (bad > good) & (looks[:n] > 0.5)
+        # what stands in several harmless documents is harmless; of one or two the reviewer may have erred
+        slip = (good <= 2) & (looks[:n] > 0.8) & (turn > 0)
+        weight[:n] = np.where(harmful[:n] > 0, np.log2(1 + bad), np.where((good > 0) & ~slip, np.log2(1 + good), 0.0))
+        if turn < ROUNDS:
+            looks = _out_of_fold(x, none, harmful, weight, fold)
+    label = np.column_stack([seed[:, :3], harmful])
+    # categories of the witnesses, among harmful passages alone: from the seeds on, in each round those that the models are surest of
+    among = np.flatnonzero((weight > 0) & (harmful > 0))
+    own, kinds, is_seed = _rows(x, (weight > 0) & (harmful > 0)), label[among], seed[among, 3] > 0
+    known = is_seed.copy()
+    for _ in range(ROUNDS if len(among) > m else 0):
+        by = np.column_stack([_sigmoid(_margin(own, none[among], _fit(own, none[among], kinds[:, k], known.astype(np.float64)))) for k in range(3)])
+        kinds[~is_seed, :3] = np.eye(3)[by.argmax(1)][~is_seed]
+        known = is_seed | (by.max(1) >= np.median(by.max(1)[~is_seed]))
+    label[among] = kinds
+    return _chain_fit(x, label, weight, fold)
+
+
+def train(documents: DataFrame, labels: DataFrame) -> list[Link]:
+    """Fits the chain on the reviewed documents of the sample and the seeds; train once and ``save`` to score many tables."""
+    ship(documents.sparkSession)
     verdicts = labels.filter("harmful is not null and doc_id is not null").select("doc_id", "reviewer", "harmful").distinct().groupBy("doc_id").agg(F.avg("harmful").alias("verdict"))
     sample = verdicts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     # at most LABELLED rows come to the driver
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter("text is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    texts, y = _examples()
-    weight, fold = [1.0] * len(texts), [i % FOLDS for i in range(len(texts))]
-    doc, verdict = [-1] * len(texts), [0.0] * len(texts)
-    known: dict[tuple[str, int], int] = {}
-    for i, (doc_id, text, v) in enumerate(zip(rows["doc_id"], rows["text"], rows["verdict"], strict=True)):
-        for p in passages(text):
-            key = (undo(p)[0], int(v > 0.5))
-            if key in known and v <= 0.5:
-                continue
-            known[key] = 1
-            texts.append(p)
-            y.append([0, 0, 0, 0])
-            weight.append(1.0)
-            fold.append(zlib.crc32(str(doc_id).encode()) % FOLDS)
-            doc.append(i)
-            verdict.append(float(v))
-    x, label = features(texts), np.array(y, dtype=np.float64)
-    weight, fold, doc, verdict = np.array(weight), np.array(fold), np.array(doc), np.array(verdict)
-    reviewed, hit = doc >= 0, x.dense > 0
-    # the lexicon says which passage of a document that was found harmful it is, and of what kind
-    positive = reviewed & (verdict > 0.5) & hit.any(1)
-    label[positive, :3] = hit[positive]
-    label[positive, 3] = 1
-    # verdicts may be wrong: passages that contradict them, and all others of harmful documents, wait for the first model
-    waits = reviewed & ~positive & (verdict > 0) | (reviewed & (verdict <= 0.5) & hit.any(1))
-    dense = HIT * np.log1p(x.dense)
-    first = [_fit(x, dense, label[:, k], weight * ~waits) for k in range(len(CATEGORIES))]
-    p = np.column_stack([_sigmoid(_margin(x, dense, w, v)) for w, v in first])
-    # of an entry, how many reviewed documents with it were found harmful and how many weren't
-    votes: dict[str, set[tuple[int, bool]]] = {}
-    of = {i: entries(texts[i]) for i in np.flatnonzero(reviewed & hit.any(1))}
-    for i, own in of.items():
-        for e in own:
-            votes.setdefault(e, set()).add((int(doc[i]), bool(verdict[i] > 0.5)))
-    trusted = {e for e, v in votes.items() if 2 * sum(h for _, h in v) + 1 >= len(v)}
-    for i in np.flatnonzero(waits):
-        if verdict[i] > 0.5 and p[i, 3] > 0.5:
-            label[i] = [*(p[i, :3] > 0.5), 1]
-        elif verdict[i] <= 0.5 and (p[i, 3] > 0.9 or (p[i, 3] > 0.3 and of.get(i, set()) & trusted)):
-            weight[i] = 0  # a reviewer's slip
-    return _chain_fit(x, label, weight, fold)
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "verdict").agg(F.min("text").alias("text")).filter("text is not null").orderBy("doc_id").toPandas()
+    return fit(reviewed(rows["text"].tolist(), rows["verdict"].tolist()))
 
 
-def score(documents: DataFrame, models: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def save(links: list[Link], path: str) -> None:
+    """Write a fitted chain to a file."""
+    with open(path, "wb") as out:
+        np.savez_compressed(out, bits=BITS, **{f"{part}{k}": a for k, link in enumerate(links) for part, a in zip("wv", link, strict=True)})
+
+
+def load(path: str) -> list[Link]:
+    """A chain that ``save`` wrote."""
+    with np.load(path) as kept:
+        if int(kept["bits"]) != BITS:
+            raise ValueError("the chain was fitted with other features")
+        return [(kept[f"w{k}"], kept[f"v{k}"]) for k in range(len(CATEGORIES))]
+
+
+class Scorer:
+    """Scores texts and keeps the scores of passages, most of which are said more than once."""
+
+    def __init__(self, links: list[Link]):
+        self._links, self._known = links, {}
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        """The worst scores of each text; numbers of two and more digits are alike."""
+        out = np.zeros((len(texts), len(CATEGORIES)), dtype=np.float32)
+        parts: dict[str, list[int]] = {}
+        size = 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            for p in passages(_NUMBER.sub("00", text)):
+                if (row := self._known.get(p)) is not None:
+                    np.maximum(out[i], row, out=out[i])
+                elif (held := parts.get(p)) is not None:
+                    held.append(i)
+                else:
+                    parts[p] = [i]
+                    size += len(p)
+            if size > 400_000:
+                self._settle(parts, out)
+                parts, size = {}, 0
+        self._settle(parts, out)
+        return out
+
+    def _settle(self, parts: dict[str, list[int]], out: np.ndarray) -> None:
+        if not parts:
+            return
+        rows = _chain(features(list(parts)), self._links).astype(np.float32)
+        np.maximum.at(out, np.concatenate(list(parts.values())), np.repeat(rows, [len(v) for v in parts.values()], axis=0))
+        if len(self._known) + len(parts) > KEPT:
+            self._known.clear()
+        self._known.update(zip(parts, rows, strict=True))
+
+
+def score(documents: DataFrame, links: list[Link]) -> DataFrame:
     """``doc_id, source, abuse, hate, sexual, score``: of each document's worst passages; ``score`` is that of harm in general."""
-    shared = documents.sparkSession.sparkContext.broadcast(models)  # 4 MB, of fixed size
+    ship(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(links)  # 4 MB, of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
         for batch in batches:
-            out = np.zeros((len(batch), len(CATEGORIES)))
-            parts, owners, size = [], [], 0
-
-            def settle(parts, owners, out=out):
-                if parts:
-                    np.maximum.at(out, np.array(owners), _chain(features(parts), shared.value))
-
-            for i, text in enumerate(batch["text"]):
-                for part in passages(text if isinstance(text, str) else None):
-                    parts.append(part)
-                    owners.append(i)
-                    size += len(part)
-                if size > 400_000:
-                    settle(parts, owners)
-                    parts, owners, size = [], [], 0
-            settle(parts, owners)
+            out = scorer([t if isinstance(t, str) else None for t in batch["text"]]).astype(np.float64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], **{c: out[:, k] for k, c in enumerate((*CATEGORIES[:3], "score"))}})
 
-    scored = documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, abuse double, hate double, sexual double, score double")
-    return scored
+    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, abuse double, hate double, sexual double, score double")
 
 
 def rates(scored: DataFrame, bar: float = BAR) -> DataFrame:
