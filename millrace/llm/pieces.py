@@ -4,13 +4,14 @@ Dynamic programming chooses the cut positions of an item: every boundary has a p
 after a paragraph, more after a line, a sentence, a clause or a word, most inside a word),
 pieces that differ from the even size cost the square of the difference, and no piece may be longer
 than the limit. Each piece after the first begins exactly ``overlap`` characters before the
-end of the piece before it, so dropping the overlap and joining gives the item back.
+end of the piece before it, so dropping the overlap and joining gives the item back. The result is the cheapest over all
+boundaries of all kinds.
 
 Lengths are Unicode code points. Defined results: a null, empty or short item is not oversized and
 yields no piece; a text without any boundary is cut between characters, never before a combining
 mark if another place is in reach; repeated rows of an item give its pieces once; if one id is
 stored with several oversized contents each has its own ``version``, from 1 in the order of the
-contents' hashes. Extra columns are ignored.
+contents' hashes; without an id every distinct content is an item of its own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.plans.session import ship
+
 LIMIT, OVERLAP = 2800, 200
 
 #: Boundaries from the best to the worst: name, penalty, what ends just before the cut.
@@ -40,47 +43,31 @@ _INSIDE, _MARK = 60.0, 400.0
 _PIECE, _UNEVEN = 8.0, 10.0
 
 
-def _boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Positions, penalties and kinds, ascending.
+#: How many kinds are tried first, and the least penalty of those left out: sentences and better, words and better, all characters.
+_LEVELS = ((3, 6.0), (5, _INSIDE), (6, np.inf))
 
-    Words count only where better boundaries are more than an eighth of the reach apart, characters only
-    where words are more than a quarter apart.
-    """
+
+def _boundaries(text: str, kinds: int = 6) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Positions, penalties and kinds, ascending, of the ``kinds`` best kinds; the sixth is every place between two characters."""
     best: dict[int, tuple[float, str]] = {}
-    for name, cost, pattern in reversed(_KINDS[:-1]):
+    if kinds > len(_KINDS):
+        best = {p: (_MARK if unicodedata.combining(text[p]) else _INSIDE, "character") for p in range(1, len(text))}
+    for name, cost, pattern in reversed(_KINDS[:kinds]):
         for m in pattern.finditer(text):
             best[m.end()] = (cost, name)
-    name, cost, pattern = _KINDS[-1]
-    for a, b in _gaps(best, len(text), reach // 8):
-        for m in pattern.finditer(text, a, b):
-            best.setdefault(m.end(), (cost, name))
-    for a, b in _gaps(best, len(text), reach // 4):
-        for p in range(a + 1, b):
-            best.setdefault(p, (_MARK if unicodedata.combining(text[p]) else _INSIDE, "character"))
     best.pop(0, None)
     best.pop(len(text), None)
     at = sorted(best)
     return np.array(at, dtype=np.int64), np.array([best[p][0] for p in at]), [best[p][1] for p in at]
 
 
-def _gaps(places: dict, size: int, wide: int) -> list[tuple[int, int]]:
-    """Stretches between neighbouring places that are longer than ``wide``."""
-    edges = [0, *sorted(places), size]
-    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b - a > wide]
-
-
-def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """``(start, end, kind of the cut at the end)`` of each piece of ``text``."""
-    if not 0 <= overlap < limit:
-        raise ValueError("overlap must be at least 0 and less than the limit")
-    size = len(text)
-    if size <= limit:
-        return [(0, size, "end")] if size else []
-    step = limit - overlap
-    at, cost, kinds = _boundaries(text, step)
+def _cheapest(text: str, kinds: int, limit: int, overlap: int) -> tuple[float, list[tuple[int, str]]]:
+    """The least cost over the boundaries of some kinds, and the ends of the pieces with the kind of each cut; infinite if there is no way."""
+    size, step = len(text), limit - overlap
+    at, cost, names = _boundaries(text, kinds)
     inside = at > overlap
-    at, cost, kinds = at[inside], cost[inside], [k for k, ok in zip(kinds, inside, strict=True) if ok]
-    at, cost, kinds = np.append(at, size), np.append(cost, 0.0), [*kinds, "end"]
+    at, cost, names = at[inside], cost[inside], [k for k, ok in zip(names, inside, strict=True) if ok]
+    at, cost, names = np.append(at, size), np.append(cost, 0.0), [*names, "end"]
     even = (size - overlap) / -(-(size - overlap) // step)
     total, back = np.full(len(at), np.inf), np.full(len(at), -1, dtype=np.int64)
     low = np.searchsorted(at, at - step)
@@ -88,16 +75,34 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
         if at[j] <= limit:
             total[j] = cost[j] + _PIECE + _UNEVEN * ((at[j] - overlap - even) / even) ** 2
         if (k := low[j]) < j:
-            way = total[k:j] + cost[j] + _PIECE + _UNEVEN * ((at[j] - at[k:j] - even) / even) ** 2
+            way = total[k:j] + _UNEVEN * ((at[j] - at[k:j] - even) / even) ** 2
             i = int(np.argmin(way))
-            if way[i] < total[j]:
-                total[j], back[j] = way[i], k + i
+            if (found := way[i] + cost[j] + _PIECE) < total[j]:
+                total[j], back[j] = found, k + i
     ends, j = [], len(at) - 1
-    while j >= 0:
-        ends.append(j)
+    while j >= 0 and total[-1] < np.inf:
+        ends.append((int(at[j]), names[j]))
         j = int(back[j])
-    ends.reverse()
-    return [(max(0, int(at[ends[n - 1]]) - overlap) if n else 0, int(at[j]), kinds[j]) for n, j in enumerate(ends)]
+    return float(total[-1]), ends[::-1]
+
+
+def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
+    """``(start, end, kind of the cut at the end)`` of each piece of ``text``: the cheapest way over all boundaries, characters included.
+
+    The better kinds are tried alone first. A way that uses another kind costs at least that kind's penalty and the least number of
+    pieces, so a way that is no dearer than this is the cheapest of all and the rest needn't be looked at.
+    """
+    if not 0 <= overlap < limit:
+        raise ValueError("overlap must be at least 0 and less than the limit")
+    size = len(text)
+    if size <= limit:
+        return [(0, size, "end")] if size else []
+    fewest = -(-(size - overlap) // (limit - overlap))
+    for kinds, next_penalty in _LEVELS:
+        total, ends = _cheapest(text, kinds, limit, overlap)
+        if total <= next_penalty + fewest * _PIECE:
+            break
+    return [(max(0, ends[n - 1][0] - overlap) if n else 0, end, kind) for n, (end, kind) in enumerate(ends)]
 
 
 _SCHEMA = "field string, item_id string, version int, piece_no int, pieces int, start_at int, end_at int, cut_at string, text string"
@@ -105,15 +110,15 @@ _SCHEMA = "field string, item_id string, version int, piece_no int, pieces int,
 
 def split_items(items: DataFrame, field: str, id_col: str, text_col: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """The pieces of the oversized texts of one column, in order."""
-    long = (
-        items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
-        .filter(F.length("text") > limit)
-        .withColumn("h", F.xxhash64("text"))
-        # few rows but long ones to work on: a fixed number of partitions isn't merged at run time
-        .repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id")
-        .dropDuplicates(["item_id", "h", "text"])
-    )
-    once = long.withColumn("version", F.row_number().over(W.partitionBy("item_id").orderBy("h", "text"))).drop("h")
+    ship(items.sparkSession)
+    long = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).filter(F.length("text") > limit).withColumn("h", F.xxhash64("text"))
+    # few rows but long ones to work on: a fixed number of partitions isn't merged at run time
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = long.filter("item_id is not null").repartition(parts, "item_id").dropDuplicates(["item_id", "h", "text"])
+    once = named.withColumn("version", F.row_number().over(W.partitionBy("item_id").orderBy("h", "text"))).drop("h")
+    # items without an id have nothing in common, so they are spread by their text
+    unnamed = long.filter("item_id is null").repartition(parts, "h").dropDuplicates(["h", "text"])
+    once = once.unionByName(unnamed.select("item_id", "text", F.lit(1).alias("version")))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -39,3 +39,46 @@ def test_table(spark):
         joined = own[0][1].text + "".join(r.text[200:] for _, r in own[1:])
         assert len(joined) == own[-1][1].end_at and all(len(r.text) <= 2800 for _, r in own)
     assert P.split_items(df.limit(0), "f", "id", "content").count() == 0
+
+
+def full_cost(text, limit, overlap):
+    """The least cost by plain dynamic programming over every place of the text."""
+    best = {p: P._MARK if P.unicodedata.combining(text[p]) else P._INSIDE for p in range(1, len(text))}
+    for _, penalty, pattern in reversed(P._KINDS):
+        best |= {m.end(): penalty for m in pattern.finditer(text) if 0 < m.end() < len(text)}
+    best[len(text)] = 0.0
+    step, size = limit - overlap, len(text)
+    even = (size - overlap) / -(-(size - overlap) // step)
+    total = {}
+    for end in sorted(p for p in best if p > overlap):
+        ways = [P._UNEVEN * ((end - overlap - even) / even) ** 2] if end <= limit else []
+        ways += [total[before] + P._UNEVEN * ((end - before - even) / even) ** 2 for before in range(max(overlap + 1, end - step), end) if before in total]
+        if ways:
+            total[end] = min(ways) + best[end] + P._PIECE
+    return total[size]
+
+
+def cost_of(text, parts, limit, overlap):
+    """The cost of a way: its penalties, its pieces and how uneven they are."""
+    penalty = {n: c for n, c, _ in P._KINDS} | {"end": 0.0}
+    even = (len(text) - overlap) / -(-(len(text) - overlap) // (limit - overlap))
+    ends = [overlap, *(b for _, b, _ in parts)]
+    uneven = sum(P._UNEVEN * ((b - a - even) / even) ** 2 for a, b in zip(ends, ends[1:], strict=False))
+    return uneven + sum((P._MARK if P.unicodedata.combining(text[b]) else P._INSIDE) if k == "character" else penalty[k] for _, b, k in parts) + P._PIECE * len(parts)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(["aa", "bcd", "longerword", "x" * 25, "éo", "end.", "so,", "\n", "\n\n", "|"]), max_size=60), st.integers(20, 60), st.integers(0, 15))
+def test_cheapest_of_all_places(words, limit, overlap):
+    text = " ".join(words)
+    if len(text) <= limit:
+        return
+    parts = P.cut(text, limit, overlap)
+    assert cost_of(text, parts, limit, overlap) == pytest.approx(full_cost(text, limit, overlap))
+
+
+def test_cheapest_of_long_texts():
+    """At the production limit, over all places of texts with few and with many good boundaries."""
+    for text in ("word " * 1300, ("A sentence of some words, with a clause here. " * 9 + "\n\n") * 14, "x" * 5700, ("tok " * 180 + "end. ") * 8):
+        parts = P.cut(text)
+        assert cost_of(text, parts, 2800, 200) == pytest.approx(full_cost(text, 2800, 200))
