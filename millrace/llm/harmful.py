@@ -145,7 +145,13 @@ class Features:
 
 
 def features(texts: list[str]) -> Features:
-    """Features of passages; every passage has at least slot 0."""
+    """Features of passages; every passage has at least slot 0. Worked out for 2,000 passages at a time."""
+    parts = [_features(texts[i : i + 2000]) for i in range(0, len(texts), 2000)] or [_features([])]
+    offsets = np.cumsum([0, *(len(p.slots) for p in parts[:-1])])
+    return Features(np.concatenate([p.slots for p in parts]), np.concatenate([p.starts + o for p, o in zip(parts, offsets, strict=True)]), np.concatenate([p.root for p in parts]))
+
+
+def _features(texts: list[str]) -> Features:
     views = [undo(t) for t in texts]
     # both views as one string, the one with accents only where it differs: a begin, the letters without spaces, an end
     flat = [("" if a == p else f"\x02{a.replace(' ', '')}\x03") + f"\x04{p.replace(' ', '')}\x05" for a, p in views]
@@ -155,7 +161,7 @@ def features(texts: list[str]) -> Features:
     marks = np.cumsum(codes == 4)
     # 0 in the view with accents and 1 in the one without
     plain = (marks > owner).astype(np.uint64)
-    kept_slots, kept_owner = [np.zeros(len(texts), dtype=np.int64)], [np.arange(len(texts))]
+    kept_slots, kept_owner = [np.zeros(len(texts), dtype=np.int32)], [np.arange(len(texts))]
     for n in (4, 5):
         if len(codes) < n:
             continue
@@ -164,7 +170,7 @@ def features(texts: list[str]) -> Features:
             h = h * np.uint64(1_000_003) + codes[k : len(codes) - n + 1 + k]
         same = (owner[n - 1 :] == owner[: len(h)]) & (plain[n - 1 :] == plain[: len(h)]) & (plain[: len(h)] >= n - 4)
         h = (h ^ (plain[: len(h)] << np.uint64(40)) ^ np.uint64(n << 50)) * np.uint64(0x9E3779B97F4A7C15)
-        kept_slots.append((h[same] >> np.uint64(64 - BITS)).astype(np.int64))
+        kept_slots.append((h[same] >> np.uint64(64 - BITS)).astype(np.int32))
         kept_owner.append(owner[: len(h)][same])
     slots, owners = np.concatenate(kept_slots), np.concatenate(kept_owner)
     order = np.argsort(owners, kind="stable")
@@ -194,9 +200,12 @@ def _fit(x: Features, extra: np.ndarray, y: np.ndarray, weight: np.ndarray) -> L
     used = weight > 0
     x, extra, y, weight = _rows(x, used), extra[used], y[used], weight[used]
     # the slots that occur, numbered anew; slot 0, which all passages have, says nothing
-    names, slots = np.unique(x.slots, return_inverse=True)
+    names = np.flatnonzero(np.bincount(x.slots, minlength=1 << BITS))
+    new = np.zeros(1 << BITS, dtype=np.int32)
+    new[names] = np.arange(len(names))
+    slots = new[x.slots]
     says, sizes = (names > 0).astype(np.float64), x.sizes
-    x, root = Features(slots, x.starts, x.root), np.repeat(1 / x.root, sizes)
+    x = Features(slots, x.starts, x.root)
     u = np.zeros(len(names))
     mu, su, mv, sv = np.zeros_like(u), np.zeros_like(u), np.zeros_like(v), np.zeros_like(v)
     # examples hold far more harm than texts do: positives count for PREVALENCE of the whole
@@ -204,7 +213,7 @@ def _fit(x: Features, extra: np.ndarray, y: np.ndarray, weight: np.ndarray) -> L
     scale = weight * share
     for step in range(1, STEPS + 1):
         r = (_sigmoid(_margin(x, extra, (u, v))) - y) * scale
-        gu = np.bincount(slots, np.repeat(r, sizes) * root, len(names)) * says + 2e-6 * u
+        gu = np.bincount(slots, np.repeat(r / x.root, sizes), len(names)) * says + 2e-6 * u
         gv = np.append(extra.T @ r, r.sum())
         for g, m, s, p, rate in ((gu, mu, su, u, 0.15), (gv, mv, sv, v, 0.2)):
             m += 0.1 * (g - m)
@@ -281,12 +290,18 @@ def _rates(x: Features, r: Reviewed, own: np.ndarray) -> np.ndarray:
     ``own`` are the labels of the passages after the reviewed ones; each counts as a document.
     """
     n, sizes = len(r.texts), x.sizes
-    at, verdict = np.concatenate([r.at, n + np.arange(len(own))]), np.concatenate([r.verdict, own])
-    of, reps = np.concatenate([r.of, len(r.verdict) + np.arange(len(own))]), sizes[at]
-    flat = np.repeat(x.starts[at] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
-    both = np.unique(x.slots[flat] * len(verdict) + np.repeat(of, reps))
-    slot, doc = both // len(verdict), both % len(verdict)
-    bad, good = np.bincount(slot, verdict[doc], 1 << BITS), np.bincount(slot, 1 - verdict[doc], 1 << BITS)
+    verdict = np.concatenate([r.verdict, own])
+    at, of = np.concatenate([r.at, n + np.arange(len(own))]), np.concatenate([r.of, len(r.verdict) + np.arange(len(own))])
+    bad, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    # 250 documents at a time, so that what is spread out stays small
+    for first in range(0, len(verdict), 250):
+        inside = (of >= first) & (of < first + 250)
+        reps = sizes[at[inside]]
+        flat = np.repeat(x.starts[at[inside]] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        both = np.unique(x.slots[flat].astype(np.int64) * 250 + np.repeat(of[inside] - first, reps))
+        slot, told = both // 250, verdict[first + both % 250]
+        bad += np.bincount(slot, told, 1 << BITS)
+        good += np.bincount(slot, 1 - told, 1 << BITS)
     usual = min(max(verdict.mean(), 0.02), 0.98)
     odds = np.log((bad + SHRINK * usual) / (good + SHRINK * (1 - usual))) - np.log(usual / (1 - usual))
     return np.add.reduceat(odds[x.slots], x.starts) / sizes
@@ -312,7 +327,11 @@ def fit(r: Reviewed) -> list[Link]:
     x = features(texts)
     looks = _rates(x, r, np.repeat([1.0, 0.0], [m, len(plain)]))
     # n-grams of one passage alone teach nothing, but for those of the seeds
-    keep = np.bincount(np.unique(np.repeat(np.arange(len(texts)), x.sizes) * (1 << BITS) + x.slots) % (1 << BITS), minlength=1 << BITS) >= 2
+    keep = np.zeros(1 << BITS, dtype=np.int64)
+    for first in range(0, len(texts), 2000):
+        own = slice(x.starts[first], x.starts[first + 2000] if first + 2000 < len(texts) else None)
+        keep += np.bincount(np.unique(np.repeat(np.arange(len(x.sizes[first : first + 2000])), x.sizes[first : first + 2000]) * (1 << BITS) + x.slots[own]) % (1 << BITS), minlength=1 << BITS)
+    keep = keep >= 2
     keep[x.slots[x.starts[n] :]] = True
     x = x.kept(keep)
     fold = np.array([zlib.crc32(undo(t)[1].encode("utf-8", "replace")) % FOLDS for t in texts])
