@@ -81,7 +81,7 @@ _MAY_PART = plain_re.compile(r"(?<![^\W\d_])[^\W\d_][\s.\-_*·,/]{1,2}[^\W\d_*]?
 _MAY_HIDE = plain_re.compile(r"[*#_·.\-~^+=]")
 _LETTER, _ACCENTS = plain_re.compile(r"[^\W\d_]"), plain_re.compile(r"[\u0300-\u036f]+")
 #: Ends of sentences (letters set apart by full stops are none), lines, tabs and cells.
-_CUT = re.compile(r"(?<=[.!?…])(?<!(?<!\p{L})\p{L}\.)\s+|\n+|\t+|\s+\|\s+")
+_CUT = re.compile(r"(?<=[.!?…])(?!(?<=(?<!\p{L})\p{L}\.)\s+\p{L}(?:[\s.]|$))\s+|\n+|\t+|\s+\|\s+")
 #: Numbers of two and more digits, which are alike.
 _NUMBER = plain_re.compile(r"(?<![^\s(])\d+(?:[.,/:-]?\d)+(?=[\s.,;:)%]|$)")
 
@@ -152,9 +152,10 @@ def features(texts: list[str]) -> Features:
 
 
 def _features(texts: list[str]) -> Features:
-    views = [undo(t) for t in texts]
+    # a letter set apart may be the same as the next one
+    views = [tuple(_RUNS.sub(r"\1", v.replace(" ", "")) for v in undo(t)) for t in texts]
     # both views as one string, the one with accents only where it differs: a begin, the letters without spaces, an end
-    flat = [("" if a == p else f"\x02{a.replace(' ', '')}\x03") + f"\x04{p.replace(' ', '')}\x05" for a, p in views]
+    flat = [("" if a == p else f"\x02{a}\x03") + f"\x04{p}\x05" for a, p in views]
     sizes = np.array([len(f) for f in flat], dtype=np.int64)
     codes = np.frombuffer("".join(flat).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(texts)), sizes)

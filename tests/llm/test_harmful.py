@@ -32,7 +32,7 @@ def test_passages_cover_the_text():
     assert "end." in " ".join(parts) and parts[-1] == "Line"
     assert H.passages(None) == H.passages(" \n 12 | 3 ") == []
     # two letters say something, letters set apart stay together, a sign within a word doesn't cut it
-    assert H.passages("đm\nf**k!") == ["đm", "f**k!"] and H.passages("you n. g. u. there") == ["you n. g. u. there"] and H.passages("ki|l them | now") == ["ki|l them", "now"]
+    assert H.passages("đm\nf**k!") == ["đm", "f**k!"] and H.passages("you n. g. u. There ạ. Next") == ["you n. g. u.", "There ạ.", "Next"] and H.passages("ki|l them | now") == ["ki|l them", "now"]
 
 
 def test_undo():
