@@ -33,15 +33,21 @@ def language_scores(text: Column, folded: Column | None = None) -> dict[str, Col
     return scores
 
 
-_SETS = {k: frozenset(v) for k, v in WORDS.items()}
-_MARKS = {k: re.compile(v) for k, v in LETTERS.items()}
+_LANGUAGES = tuple(WORDS)
+#: In which of the languages a word is listed.
+_LISTED = {w: tuple(i for i, k in enumerate(_LANGUAGES) if w in WORDS[k]) for listed in WORDS.values() for w in listed}
+_MARKS = {i: re.compile(LETTERS[k]) for i, k in enumerate(_LANGUAGES) if k in LETTERS}
+_ACCENTS, _WORD = re.compile(r"[\u0300-\u036f]+"), re.compile(r"[^\W\d_]+")
 
 
 def language_of(text: str) -> str:
     """``vi``, ``en`` or ``fr``, or ``?`` where none leads; the same lists as in ``language_scores``, for Python workers."""
     lower = text.lower()
-    plain = "".join(c for c in unicodedata.normalize("NFD", lower.replace("đ", "d")) if not unicodedata.combining(c))
-    words = re.findall(r"[^\W\d_]+", plain)
-    scores = {k: sum(w in listed for w in words) + (len(_MARKS[k].findall(lower)) if k in _MARKS else 0) for k, listed in _SETS.items()}
-    first, second = sorted(scores.values(), reverse=True)[:2]
-    return max(scores, key=scores.get) if first > second else "?"
+    scores = [len(_MARKS[i].findall(lower)) if i in _MARKS else 0 for i in range(len(_LANGUAGES))]
+    plain = lower if lower.isascii() else _ACCENTS.sub("", unicodedata.normalize("NFD", lower.replace("đ", "d")))
+    for found in map(_LISTED.get, _WORD.findall(plain)):
+        if found:
+            for i in found:
+                scores[i] += 1
+    first, second = sorted(scores, reverse=True)[:2]
+    return _LANGUAGES[scores.index(first)] if first > second else "?"

@@ -46,8 +46,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     """Share of values cut, for each displayed source and for feedback."""
-    values = _displayed(spark, d)
-    return truncation.rates(values, truncation.cut_values(values, truncation.WORD_WISE))
+    return truncation.rates(truncation.marked_values(_displayed(spark, d), truncation.WORD_WISE))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

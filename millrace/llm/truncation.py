@@ -6,13 +6,17 @@ characters are interpolated from the shortest to the longest. In columns of shor
 two: whether a word ends here, by characters, and whether a value ends after this word, by characters and by a word-wise
 view in which rare words are one class, so that a name or product seen nowhere else at an end
 doesn't speak against a complete value. The log-odds are held against a threshold for each column and
-language: the valley between the cut and the complete values.
+language: the valley between the cut and the complete values. The threshold of a group is drawn towards that of its column, and
+that of a column towards a fixed one, the more the fewer values there are (``SHRINK`` values count half), at every size alike.
+The language is that of the whole value.
 
 Debris of a cut (``…``, broken escapes and tags, replacement characters) is taken off before, and what remains decides.
 
-How it runs: texts are made distinct; the hashed contexts of their ends are combined to a bit set of fixed size
-(2 MB, the only thing sent to the workers); one pass over all distinct texts counts the contexts in that set, summed within each
-task before the shuffle; counts and ends meet in a join on the hash. Nothing grows on the driver.
+How it runs: texts are made distinct; the hashed contexts of their ends are combined to a bit set of about 16 bits a context
+(2 MB to 32 MB, the only thing sent to the workers); one pass over all distinct texts counts the contexts in that set, summed within each
+task before the shuffle; counts and ends meet in a join on the hash. Beyond some 17 million contexts the set stays at 32 MB and lets more of
+the n-grams through that no end has, which costs shuffle but changes no result. Contexts and texts that a large part of the
+values share are answered from a broadcast of the 1,000 commonest and not shuffled to one task.
 
 Defined results: null and blank values are not cut; a value that ends at the end of a sentence isn't cut,
 whatever its length or marks; repeated values are scored once and reported for each record. Extra
@@ -32,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.language import language_of
-from millrace.plans.session import materialize
+from millrace.plans.session import lookup, materialize, ship
 
 ORDERS = (2, 4, 6, 9, 13, 18, 25)
 #: Places in the chain of interpolation: short characters, word-wise contexts, long characters, the whole end.
@@ -41,13 +45,16 @@ SKELETON = {2: 4, 3: 5, 4: 6}
 WHOLE = 10
 #: Characters of an end that are looked at, and those that make two ends the same.
 SEEN, SAME = 160, 40
-BLOOM_BITS = 1 << 24
+#: Least and most bits of the set of contexts, and bits for each context.
+BITS_LEAST, BITS_MOST, BITS_EACH = 1 << 24, 1 << 28, 16
 #: Weight of the shorter context when a longer one is read.
 PULL = 1.0
 #: A word is rare if fewer than this share of a column's distinct values have it; with it no more
 #: than (words per value / share) words are frequent.
 RARE = 0.01
-#: For passages and for short values: the threshold where a group has no clear valley, and the range in which a valley is looked for.
+#: Values whose valley counts as much as the threshold of the column, or the fixed one, does.
+SHRINK = 200
+#: For passages and for short values: the fixed threshold, and the range in which a valley is looked for.
 DEFAULT, LOW, HIGH = -0.5, -1.0, 0.5
 DEFAULT_SHORT, LOW_SHORT, HIGH_SHORT = -2.0, -3.0, -1.0
 
@@ -171,7 +178,7 @@ def _end_contexts(frequent: dict[str, set[str]]):
             out = np.zeros((len(batch), WHOLE + 1), dtype=np.uint64)
             for field, rows in batch.groupby("field").indices.items():
                 salt = _salt(field)
-                texts = [settle(t) for t in batch["end"].iloc[rows]]
+                texts = [settle(t[-SEEN:]) for t in batch["text"].iloc[rows]]
                 codes = _codes(texts)
                 last = np.flatnonzero(codes == _END) - 1
                 for place, h in _char_hashes(codes):
@@ -183,16 +190,17 @@ def _end_contexts(frequent: dict[str, set[str]]):
                         out[rows, place] = _mix(h[last], place, salt)
                 out[rows, WHOLE] = [zlib.crc32(t[-SAME:].encode("utf-8", "replace")) + (zlib.adler32(t[-SAME:].encode("utf-8", "replace")) << 32) for t in texts]
                 out[rows, WHOLE] = _mix(out[rows, WHOLE], WHOLE, salt)
-            yield batch.drop(columns="end").assign(lang=[language_of(t) for t in batch["end"]], contexts=list(out.view(np.int64)))
+            yield batch.drop(columns="text").assign(lang=[language_of(t) for t in batch["text"]], contexts=list(out.view(np.int64)))
 
     return run
 
 
-def _count(frequent: dict[str, set[str]], bits: np.ndarray):
-    """Counts, over whole texts, the contexts that are in the bit set."""
+def _count(frequent: dict[str, set[str]], shared):
+    """Counts, over whole texts, the contexts that are in the bit set (a broadcast)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        views = {f: Skeleton(w) for f, w in frequent.items()}
+        views, bits = {f: Skeleton(w) for f, w in frequent.items()}, shared.value
+        n_bits = np.uint64(len(bits) * 8)
         held: list[tuple[np.ndarray, ...]] = []
 
         def pack(parts):
@@ -200,7 +208,7 @@ def _count(frequent: dict[str, set[str]], bits: np.ndarray):
             return h, *[np.bincount(inverse, np.concatenate([p[k] for p in parts])) for k in (1, 2, 3)]
 
         def wanted(h: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> None:
-            at = h % np.uint64(BLOOM_BITS)
+            at = h % n_bits
             ok = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             if ok.any():
                 own, inverse = np.unique(h[ok], return_inverse=True)
@@ -259,16 +267,18 @@ def _frequent(distinct: DataFrame, fields: list[str]) -> dict[str, set[str]]:
 
 
 def _bits(contexts: DataFrame) -> np.ndarray:
-    """The bit set of all contexts of ends: 64-bit words are combined in Spark, at most ``BLOOM_BITS / 64`` rows come here."""
-    bit = F.expr(f"pmod(h, {BLOOM_BITS})")  # 2**24 divides 2**64, so this is the remainder of the unsigned value
+    """The bit set of all contexts of ends: 64-bit words are combined in Spark, at most ``BITS_MOST / 64`` rows come here."""
+    n = contexts.count() * (WHOLE + 1) * BITS_EACH
+    size = min(BITS_MOST, max(BITS_LEAST, 1 << max(0, n - 1).bit_length()))
+    bit = F.expr(f"pmod(h, {size})")  # a power of two divides 2**64, so this is the remainder of the unsigned value
     rows = (
         contexts.select(F.explode("contexts").alias("h"))
-        .select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(h, {BLOOM_BITS}) & 63 as int))").alias("mask"))
+        .select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(h, {size}) & 63 as int))").alias("mask"))
         .groupBy("word")
         .agg(F.bit_or("mask").alias("mask"))
         .toPandas()
     )
-    words = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
+    words = np.zeros(size // 64, dtype=np.int64)
     words[rows["word"].to_numpy()] = rows["mask"].to_numpy()
     return words.view(np.uint8).copy()
 
@@ -297,63 +307,82 @@ def _log_odds(pairs: Column, word_wise: Column) -> Column:
 
 
 def end_scores(values: DataFrame, word_wise: list[str]) -> DataFrame:
-    """Scores every distinct value of ``values`` (``field, text``): ``field, th, th2, lang, log_odds, bar``.
+    """Scores every distinct value of ``values`` (``field, text``): ``field, th, th2, n, lang, log_odds, bar``.
 
-    ``th`` and ``th2`` are the hashes of the text by which a record finds its score; ``bar`` is the threshold of
+    ``th`` and ``th2`` are the hashes of the text by which a record finds its score, ``n`` is how many records have it; ``bar`` is the threshold of
     the value's column and language. ``word_wise`` names the columns of short values.
     """
+    spark = values.sparkSession
+    ship(spark)
     spoken = values.filter(F.length(F.regexp_replace("text", r"[\s\p{Z}\p{C}]", "")) > 0)
     distinct = materialize(
-        spoken.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n")).select("field", "text", F.xxhash64("text").alias("th"), F.hash("text").alias("th2")), "texts"
+        spoken.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n")).select("field", "text", F.xxhash64("text").alias("th"), F.hash("text").alias("th2"), "n"), "texts"
     )
     frequent = _frequent(distinct, word_wise)
-    ends = distinct.select("field", "th", "th2", F.right("text", F.lit(SEEN)).alias("end"))
-    contexts = materialize(ends.mapInPandas(_end_contexts(frequent), "field string, th bigint, th2 int, lang string, contexts array<bigint>"), "ends")
+    contexts = materialize(distinct.mapInPandas(_end_contexts(frequent), "field string, th bigint, th2 int, n bigint, lang string, contexts array<bigint>"), "ends")
     counts = (
         distinct.select("field", "text")
-        .mapInPandas(_count(frequent, _bits(contexts)), "h bigint, e bigint, b bigint, t bigint")
+        .mapInPandas(_count(frequent, spark.sparkContext.broadcast(_bits(contexts))), "h bigint, e bigint, b bigint, t bigint")
         .groupBy("h")
-        .agg(F.sum("e").alias("e"), F.sum("b").alias("b"), F.sum("t").alias("t"))
+        .agg(F.sum("e").alias("e"), F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("t").alias("weight"))
     )
-    asked = contexts.select("field", "th", "th2", "lang", F.posexplode("contexts").alias("place", "h"))
-    if word_wise:
-        asked = asked.filter(~F.col("place").isin(*SKELETON.values()) | F.col("field").isin(*word_wise))
-    else:
-        asked = asked.filter(~F.col("place").isin(*SKELETON.values()))
+    counts = materialize(counts, "counts")
+    asked = contexts.select("field", "th", "th2", "n", "lang", F.posexplode("contexts").alias("place", "h"))
+    short = F.col("field").isin(*word_wise) if word_wise else F.lit(False)
+    asked = asked.filter(~F.col("place").isin(*SKELETON.values()) | short)
+    # the last two characters of a value are those of many
     scored = (
-        asked.join(counts, "h")
-        .groupBy("field", "th", "th2", "lang")
-        .agg(_log_odds(F.collect_list(F.struct("place", "e", "b", "t")), F.col("field").isin(*word_wise) if word_wise else F.lit(False)).alias("log_odds"))
+        lookup(asked, counts, ["h"], "weight", ["th", "th2"])
+        .groupBy("field", "th", "th2", "n", "lang")
+        .agg(_log_odds(F.collect_list(F.struct("place", "e", "b", "t")), short).alias("log_odds"))
     )
     scored = materialize(scored, "scores")
     return scored.withColumn("bar", _bars(scored, word_wise))
 
 
+def _valley(bins: dict[int, int], short: bool) -> float:
+    """Where a histogram of half units is lowest within the range of its kind of column; of several places the one nearest the fixed threshold."""
+    low, high, usual = (LOW_SHORT, HIGH_SHORT, DEFAULT_SHORT) if short else (LOW, HIGH, DEFAULT)
+    depth = lambda b: bins.get(b - 1, 0) + bins.get(b, 0)
+    return min(range(int(low * 2), int(high * 2) + 1), key=lambda b: (depth(b), abs(b / 2 - usual))) / 2
+
+
+def _thresholds(found: dict[tuple[str, str], dict[int, int]], word_wise: list[str]) -> dict[tuple[str, str], float]:
+    """The threshold of each column and language: its valley, drawn towards the column's, which is drawn towards the fixed one."""
+    columns: dict[str, dict[int, int]] = {}
+    for (field, _), bins in found.items():
+        whole = columns.setdefault(field, {})
+        for b, n in bins.items():
+            whole[b] = whole.get(b, 0) + n
+    draw = lambda own, n, to: (n * own + SHRINK * to) / (n + SHRINK)
+    usual = {f: draw(_valley(bins, f in word_wise), sum(bins.values()), DEFAULT_SHORT if f in word_wise else DEFAULT) for f, bins in columns.items()}
+    return {(f, lang): draw(_valley(bins, f in word_wise), sum(bins.values()), usual[f]) for (f, lang), bins in found.items()}
+
+
 def _bars(scored: DataFrame, word_wise: list[str]) -> Column:
     """A threshold for each column and language from a histogram of half units (a few dozen rows a group)."""
     half = F.greatest(F.least(F.floor(F.col("log_odds") * 2), F.lit(20)), F.lit(-20)).cast("int")
     found: dict[tuple[str, str], dict[int, int]] = {}
     for r in scored.groupBy("field", "lang", half.alias("half")).agg(F.count(F.lit(1)).alias("n")).collect():
         found.setdefault((r["field"], r["lang"]), {})[r["half"]] = r["n"]
-    bar = F.when(F.col("field").isin(*word_wise), F.lit(DEFAULT_SHORT)).otherwise(F.lit(DEFAULT)) if word_wise else F.lit(DEFAULT)
-    for (field, lang), bins in found.items():
-        short = field in word_wise
-        low, high = (int(LOW_SHORT * 2), int(HIGH_SHORT * 2)) if short else (int(LOW * 2), int(HIGH * 2))
-        if sum(bins.values()) < 200:
-            continue
-        depth = lambda b, bins=bins: sum(bins.get(b + d, 0) * w for d, w in ((-1, 1), (0, 1)))
-        usual = DEFAULT_SHORT if short else DEFAULT
-        best = min(range(low, high + 1), key=lambda b, usual=usual: (depth(b), abs(b / 2 - usual)))
-        bar = F.when((F.col("field") == field) & (F.col("lang") == lang), F.lit(best / 2)).otherwise(bar)
+    bar = F.lit(DEFAULT)
+    for (field, lang), at in sorted(_thresholds(found, word_wise).items()):
+        bar = F.when((F.col("field") == field) & (F.col("lang") == lang), F.lit(at)).otherwise(bar)
     return bar
 
 
-def cut_values(values: DataFrame, word_wise: list[str]) -> DataFrame:
-    """``values`` (with at least ``field`` and ``text``) restricted to those that were cut; other columns are kept."""
+def marked_values(values: DataFrame, word_wise: list[str]) -> DataFrame:
+    """``values`` (with at least ``field, record_id, source_rank, text``) with ``was_cut``; other columns are kept."""
     scores = end_scores(values.select("field", "text"), word_wise)
-    cut = scores.filter("log_odds < bar").select("field", "th", "th2")
+    cut = scores.filter("log_odds < bar").select("field", "th", "th2", "n", F.lit(True).alias("was_cut"))
     keyed = values.withColumns({"th": F.xxhash64("text"), "th2": F.hash("text")})
-    return keyed.join(cut, ["field", "th", "th2"], "left_semi").drop("th", "th2")
+    found = lookup(keyed, cut, ["field", "th", "th2"], "n", ["record_id", "source_rank"])
+    return found.drop("th", "th2").withColumn("was_cut", F.coalesce("was_cut", F.lit(False)))
+
+
+def cut_values(values: DataFrame, word_wise: list[str]) -> DataFrame:
+    """``values`` restricted to those that were cut; other columns are kept."""
+    return marked_values(values, word_wise).filter("was_cut").drop("was_cut")
 
 
 def displayed_values(messages: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -374,12 +403,12 @@ def displayed_values(messages: DataFrame, feedback: DataFrame) -> DataFrame:
 WORD_WISE = ["feedback.question"]
 
 
-def rates(values: DataFrame, cut: DataFrame) -> DataFrame:
-    """``source, field, n_values, n_cut, share_cut``: how often each source's values are cut, a record's value counted once."""
-    keys = ["field", "record_id", "source_rank", "source"]
-    marked = values.select(*keys).distinct().join(cut.select(*keys).distinct().withColumn("was_cut", F.lit(1)), keys, "left")
-    return marked.groupBy("source", "field").agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.count("was_cut").alias("n_cut"),
-        (F.count("was_cut") / F.count(F.lit(1))).alias("share_cut"),
+def rates(marked: DataFrame) -> DataFrame:
+    """``source, field, n_values, n_cut, share_cut`` of ``marked_values``: how often each source's values are cut, a record's value counted once.
+
+    Values without a source are a group of their own.
+    """
+    once = marked.groupBy("source", "field", "record_id", "source_rank").agg(F.max("was_cut").alias("was_cut"))
+    return once.groupBy("source", "field").agg(
+        F.count(F.lit(1)).alias("n_values"), F.count_if("was_cut").alias("n_cut"), (F.count_if("was_cut") / F.count(F.lit(1))).alias("share_cut")
     )

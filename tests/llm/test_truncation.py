@@ -29,10 +29,35 @@ def test_held_out_accuracy(spark):
     values = spark.createDataFrame(rows, SCHEMA)
     got = {r.record_id for r in R.cut_values(values, R.WORD_WISE).collect()}
     assert len(got & cut) >= 0.97 * len(cut) and len(got - cut) <= 0.01 * len(rows)
-    rates = {(r.source, r.field): r for r in R.rates(values, R.cut_values(values, R.WORD_WISE)).collect()}
+    rates = {(r.source, r.field): r for r in R.rates(R.marked_values(values, R.WORD_WISE)).collect()}
     assert 0.2 < rates["s", "sources.content"].share_cut < 0.5
 
 
+def test_rates_by_brute_force(spark):
+    """Values without a source are counted like all others; a value that is repeated counts once."""
+    rows, cut = corpus()
+    rows = [(f, i, k, None if n % 3 == 0 else s, t) for n, (f, i, k, s, t) in enumerate(rows)]
+    marked = R.marked_values(spark.createDataFrame(rows + rows[:50], SCHEMA), R.WORD_WISE)
+    found = {(r.field, r.record_id, r.source_rank, r.source) for r in marked.filter("was_cut").collect()}
+    assert len([r for r in found if r[3] is None]) > 20
+    told = {}
+    for f, i, k, s, _ in set(rows):
+        n = told.setdefault((s, f), [0, 0])
+        n[0] += 1
+        n[1] += (f, i, k, s) in found
+    assert {(r.source, r.field): [r.n_values, r.n_cut] for r in R.rates(marked).collect()} == told
+
+
+def test_small_groups_are_drawn_to_their_column():
+    """The threshold of a group moves smoothly with its size; there is no size at which it jumps."""
+    valley = {-6: 50, -2: 10, 1: 0, 6: 50}
+    at = lambda n: R._thresholds({("c", "big"): {-6: 9000, -2: 3000, 1: 0, 0: 5000, 6: 9000}, ("c", "small"): {b: k * n // 110 for b, k in valley.items()}}, [])
+    bars = [at(n)["c", "small"] for n in (0, 11, 110, 199, 201, 1100, 110_000)]
+    assert bars == sorted(bars) or bars == sorted(bars, reverse=True)
+    assert abs(bars[3] - bars[4]) < 0.05 and abs(bars[0] - at(0)["c", "big"]) < 0.05
+    assert R._thresholds({("c", "one"): {-8: 1}}, [])["c", "one"] == __import__("pytest").approx(R.DEFAULT, abs=0.1)
+
+
 def test_empty_table(spark):
     assert R.cut_values(spark.createDataFrame([], SCHEMA), R.WORD_WISE).count() == 0
 
