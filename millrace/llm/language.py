@@ -19,13 +19,35 @@ WORDS = {
 #: Letters that hardly occur outside the language, with what one of them counts.
 LETTERS = {"vi": "[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịĩọỏốồổỗộớờởỡợụủũứừửữựỳỵỷỹ]", "fr": "[çœëïûÿ]|\\b[ldjnmtsc]['’]|[éèêà](?=[a-z]{2})"}
 
+#: Languages that texts aren't expected in but answers may be: frequent words, folded, that none of those above have.
+OTHER_WORDS = {
+    "es": "el los las del una por para como pero puede debe esta este usted dias tomar tome tambien muy cuando antes despues sus segun sobre hasta".split(),
+    "de": "der das und ist nicht sie eine einen auf fur von zu dem wird werden oder bei nach konnen sollte tag mal tabletten auch sich wenn".split(),
+    "pt": "os uma pela pelo deve nao tambem voce seu sua antes depois mais ate dos das pode tomar muito quando sobre".split(),
+    "it": "il gli della delle dei una puo deve sono prima dopo anche piu giorni compressa ogni quando per non nel alla questo".split(),
+}
+#: Scripts whose letters aren't Latin. Fixed values.
+SCRIPTS = {"cyrl": r"\p{IsCyrillic}", "han": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]", "hang": r"\p{IsHangul}", "arab": r"\p{IsArabic}", "thai": r"\p{IsThai}", "grek": r"\p{IsGreek}", "hebr": r"\p{IsHebrew}", "deva": r"\p{IsDevanagari}"}
+
+
+def script_of(text: Column) -> Column:
+    """The script that at least half of a text's letters have: a name of ``SCRIPTS``, ``latn``, or null for a text without letters."""
+    text = F.coalesce(text, F.lit(""))
+    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    found = F.lit("latn")
+    for name, pattern in SCRIPTS.items():
+        found = F.when(2 * F.regexp_count(text, F.lit(pattern)) >= letters, F.lit(name)).otherwise(found)
+    # most texts have no letter of another script at all, which one search tells
+    foreign = text.rlike("|".join(SCRIPTS.values()))
+    return F.when(foreign, found).when(text.rlike(r"\p{L}"), F.lit("latn"))
+
 
-def language_scores(text: Column, folded: Column | None = None) -> dict[str, Column]:
-    """How strongly a text speaks for each language; all 0 for null, empty and wordless texts. ``folded`` saves folding again."""
+def language_scores(text: Column, folded: Column | None = None, others: bool = False) -> dict[str, Column]:
+    """How strongly a text speaks for each language; all 0 for null, empty and wordless texts. ``folded`` saves folding again; ``others`` adds those of ``OTHER_WORDS``."""
     lower, words = F.coalesce(F.lower(text), F.lit("")), F.split(F.coalesce(fold(text) if folded is None else folded, F.lit("")), r"[^\p{L}]+")
     scores = {}
     among = lambda listed: lambda w: w.isin(*listed)
-    for name, listed in WORDS.items():
+    for name, listed in (WORDS | (OTHER_WORDS if others else {})).items():
         score = F.size(F.filter(words, among(listed)))
         if name in LETTERS:
             score = score + F.regexp_count(lower, F.lit(LETTERS[name]))

@@ -1,8 +1,11 @@
 """Defects of question-answer pairs by ordered rules.
 
 ``empty``, ``copy``, ``refusal``, ``truncated`` and ``other_language`` are tested in this order; every one
-that holds is emitted by ``defects``, and ``first_defect`` keeps the first. All rules are column expressions, but for
-abrupt endings, which the end model of ``truncation`` decides from how all answers and questions end.
+that holds is emitted by ``defects``, and ``first_defect`` keeps the first. All rules are column expressions over whole texts, but for
+abrupt endings, which the end model of ``truncation`` decides from how all answers and questions end. The language differs if the
+dominant Unicode scripts do, or if the answer has the marker words of another language than the question's.
+
+Pairs that are the same are worked on once; records find the defects of their pair by its hash, those of the commonest pairs from a broadcast.
 
 Defined results: a null or blank question can't be copied and has no language, so only the rules about the answer
 alone apply; a null answer is empty; repeated rows give one row; extra columns are ignored; an empty
@@ -15,21 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import fold
-from millrace.llm.language import language_scores
+from millrace.llm.language import language_scores, script_of
 from millrace.llm.truncation import end_scores
+from millrace.plans.session import lookup, materialize, ship
 
 DEFECTS = ("empty", "copy", "refusal", "truncated", "other_language")
 
-#: What stands for no value, and bare labels, folded and without punctuation.
+#: What stands for no value, and bare labels, folded and without punctuation. Fixed values.
 PLACEHOLDERS = (
-    "null none nil nan na n a undefined empty blank missing void tbd tba todo answer reply response output result text string assistant bot "
-    "ai tra loi cau tra loi dap an dap noi dung trong rong khong co noi dung chua co noi dung reponse vide neant sans reponse no answer no content"
-)
-_PLACE = (*sorted(set(PLACEHOLDERS.split()) - {"khong", "co", "noi", "chua", "dung", "no", "sans", "a", "cau", "tra", "loi"}), "n a", "tra loi", "cau tra loi", "dap an", "noi dung", "khong co noi dung", "chua co noi dung", "sans reponse", "no answer", "no content", "the answer", "la reponse", "ai answer")
+    "null", "none", "nil", "nan", "na", "n", "n a", "undefined", "empty", "blank", "missing", "void", "tbd", "tba", "todo", "string", "text", "output", "result", "trong", "rong", "vide", "neant",
+    "answer", "the answer", "no answer", "ai answer", "reply", "response", "no content", "content", "assistant", "bot", "ai",
+    "tra loi", "cau tra loi", "dap", "dap an", "noi dung", "khong co noi dung", "chua co noi dung", "reponse", "la reponse", "sans reponse",
+)
 
 #: Marks of sources, tags, entities.
-_SOURCE = r"(?i)\[[^\[\]\n]{0,20}\d\s*\]|\(\s*(?:source|nguồn|nguon)\s*\d+\s*\)"
-_MARKUP = r"<[^<>\n]{0,80}>|&#?\w{1,8};"
+_SOURCE = r"(?i)\[[^\[\]\n]*\d\s*\]|\(\s*(?:source|nguồn|nguon)\s*\d+\s*\)"
+_MARKUP = r"</?[a-zA-Z!][^<>\n]*>|&#?\w{1,8};"
 
 #: Wordings around a repeated question, folded.
 _WRAP = (
@@ -101,7 +105,7 @@ def _empty(folded: Column) -> Column:
     left = F.trim(F.regexp_replace(F.coalesce(folded, F.lit("")), r"[^\p{L}\p{N}]+", " "))
     # letters that show nothing (fillers) count as nothing
     left = F.trim(F.regexp_replace(left, r"[ᅟᅠㅤﾠ⠀]+", " "))
-    return (left == "") | left.isin(*_PLACE)
+    return (left == "") | left.isin(*PLACEHOLDERS)
 
 
 def _told(answer: Column) -> Column:
@@ -128,23 +132,31 @@ def _copy(asked: Column, told: Column, last: Column) -> Column:
 def _refusal(plain: Column) -> Column:
     parts = F.filter(F.split(plain, r" \.(?: |$)"), lambda p: F.length(p) > 0)
     polite = rf"^(?:{_POLITE}|\s)*$"
-    other = F.filter(parts, lambda p: ~p.rlike(_REFUSAL) & ~p.rlike(polite))
-    # a refusal that goes on with something else does answer
-    return plain.rlike(_REFUSAL) & F.exists(parts, lambda p: p.rlike(_REFUSAL)) & (F.size(other) == 0) & ~plain.rlike(r"\b(?:but|mais|nhung) (?:here|in general|usually|the rest|voici|en general|sau day|nhin chung|thong thuong|phan con lai)")
+    # a refusal that goes on with something else does answer; the first sentence that says something ends the search
+    answers = F.exists(parts, lambda p: ~p.rlike(polite) & ~p.rlike(_REFUSAL))
+    return ~answers & F.exists(parts, lambda p: p.rlike(_REFUSAL)) & ~plain.rlike(r"\b(?:but|mais|nhung) (?:here|in general|usually|the rest|voici|en general|sau day|nhin chung|thong thuong|phan con lai)")
+
+
+#: Opening and closing delimiters, and faces made of brackets.
+_DELIMITERS = (("(", ")"), ("[", "]"), ("{", "}"), ("«", "»"), ("“", "”"))
+_FACES = r"[:;=8xX]['’]?-?[()\[\]{}]+|[()\[\]{}]+-?[:;=](?!\w)"
 
 
 def _unclosed(answer: Column) -> Column:
-    """An opened bracket, code fence or quotation that isn't closed to the end."""
+    """A bracket, code fence or quotation that was opened and isn't closed to the end of the answer, and what a cut leaves."""
+    plain = F.regexp_replace(answer, _FACES, " ")
+    open_at_end = F.lit(False)
+    for a, b in _DELIMITERS:
+        # closing marks without an opening one ("1)") don't count against those that follow
+        last = plain.rlike(rf"\{a}[^\{a}\{b}]*$")
+        more = F.size(F.split(plain, rf"\{a}")) > F.size(F.split(plain, rf"\{b}"))
+        open_at_end = open_at_end | (plain.contains(a) & (last | more))
     fences = F.regexp_count(answer, F.lit("```"))
-    return (
-        answer.rlike(r"[\(\[{«“][^\)\]}»”]{0,200}$")
-        | answer.rlike(r"(?:�|%[0-9A-F]{2}%?|&#?\w{0,6}|<[a-zA-Z/][^<>]{0,12})$")
-        | (fences % 2 == 1)
-    )
+    return open_at_end | answer.rlike(r"(?:�|%[0-9A-F]{2}%?|&#?\w{0,6}|<[a-zA-Z/][^<>]*)$") | (fences % 2 == 1)
 
 
-def _other_language(asked: dict[str, Column], told: dict[str, Column], folded_question: Column) -> Column:
-    differs = F.lit(False)
+def _other_language(asked: dict[str, Column], told: dict[str, Column], asked_script: Column, told_script: Column, folded_question: Column) -> Column:
+    differs = F.coalesce(asked_script != told_script, F.lit(False))
     for name, own in told.items():
         rest = F.greatest(*[s for k, s in told.items() if k != name])
         asked_rest = F.greatest(*[s for k, s in asked.items() if k != name])
@@ -155,33 +167,46 @@ def _other_language(asked: dict[str, Column], told: dict[str, Column], folded_qu
 
 def defects(feedback: DataFrame) -> DataFrame:
     """``feedback_id, defect, rank``: every defect of every pair; ``rank`` is the rule's place in the order."""
-    pairs = feedback.select("feedback_id", "question", "answer").filter("feedback_id is not null")
+    ship(feedback.sparkSession)
+    rows = feedback.select("feedback_id", "question", "answer").filter("feedback_id is not null")
+    keys = {"p1": F.xxhash64("question", "answer"), "p2": F.hash(F.coalesce("answer", F.lit("")), F.coalesce("question", F.lit("")), F.col("answer").isNull())}
+    pairs = materialize(rows.groupBy("question", "answer").agg(F.count(F.lit(1)).alias("n")).withColumns(keys), "pairs")
+    tested = materialize(_tested(pairs), "tested").select("p1", "p2", "n", "found").filter(F.size("found") > 0)
+    # what one pair has is two hashes and a few words
+    met = lookup(rows.withColumns(keys).select("feedback_id", "p1", "p2"), tested, ["p1", "p2"], "n", ["feedback_id"])
+    return met.select("feedback_id", F.explode("found").alias("d")).select("feedback_id", "d.defect", "d.rank").distinct()
+
+
+def _tested(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (``question, answer, p1, p2, n``, each once) with ``found``: their defects with the rules' places."""
     values = pairs.select(F.lit("feedback.answer").alias("field"), F.col("answer").alias("text")).unionByName(
         pairs.select(F.lit("feedback.question").alias("field"), F.col("question").alias("text"))
     )
     scores = end_scores(values.filter("text is not null"), ["feedback.answer", "feedback.question"])
-    cut = scores.filter("field = 'feedback.answer' and log_odds < bar").select("th", "th2", F.lit(True).alias("abrupt"))
-    # null answers, of which there may be many, don't share a key
-    keyed = pairs.withColumns({"th": F.when(F.col("answer").isNull(), F.xxhash64("feedback_id", F.lit("null"))).otherwise(F.xxhash64("answer")), "th2": F.hash("answer")}).join(cut, ["th", "th2"], "left")
+    cut = scores.filter("field = 'feedback.answer' and log_odds < bar").select("th", "th2", "n", F.lit(True).alias("abrupt"))
+    # null answers, of which there may be many, don't share a key, nor do the commonest answers
+    keyed = lookup(pairs.withColumns({"th": F.when(F.col("answer").isNotNull(), F.xxhash64("answer")), "th2": F.when(F.col("answer").isNotNull(), F.hash("answer"))}), cut, ["th", "th2"], "n", ["p1", "p2"])
     q, a, no = F.col("question"), F.col("answer"), F.lit(False)
+    of = ["p1", "p2", "n"]
     # worked out once: each step is read several times by the next, so the planner keeps them apart
-    folded = keyed.select("feedback_id", "question", "answer", "abrupt", fold(_bare(q)).alias("fq"), fold(_bare(a)).alias("fa"))
+    folded = keyed.select(*of, "question", "answer", "abrupt", fold(_bare(q)).alias("fq"), fold(_bare(a)).alias("fa"))
     plain = folded.select("*", _plain(F.col("fq")).alias("pq"), _plain(F.col("fa")).alias("pa"))
-    asked, told = language_scores(q, F.col("fq")), language_scores(F.regexp_replace(a, _SOURCE, " "), F.col("fa"))
+    asked, told = language_scores(q, F.col("fq"), True), language_scores(F.regexp_replace(a, _SOURCE, " "), F.col("fa"), True)
     listed = plain.select(
-        "*", _word_list(F.col("pq")).alias("asked"), _told(F.col("pa")).alias("told"), _last(F.col("pq")).alias("last"), *[c.alias(f"q_{k}") for k, c in asked.items()], *[c.alias(f"a_{k}") for k, c in told.items()]
-    )
+        "*", _word_list(F.col("pq")).alias("asked"), _told(F.col("pa")).alias("told"), _last(F.col("pq")).alias("last"), script_of(q).alias("q_script"), script_of(a).alias("a_script"),
+        *[c.alias(f"q_{k}") for k, c in asked.items()], *[c.alias(f"a_{k}") for k, c in told.items()],
+    )
     tested = listed.select(
-        "feedback_id",
+        *of,
         F.coalesce(_empty(F.col("fa")), F.lit(True)).alias("empty"),
         F.coalesce(_copy(F.col("asked"), F.col("told"), F.col("last")), no).alias("copy"),
         F.coalesce(_refusal(F.col("pa")), no).alias("refusal"),
         # a word with a full stop after it ends, however short the answer
         ((F.coalesce(F.col("abrupt"), no) & ~a.rlike(r"\p{L}[.!?…]+[\"'”»)\]]*\s*$")) | F.coalesce(_unclosed(a), no)).alias("truncated"),
-        F.coalesce(_other_language({k: F.col(f"q_{k}") for k in asked}, {k: F.col(f"a_{k}") for k in told}, F.col("fq")), no).alias("other_language"),
+        F.coalesce(_other_language({k: F.col(f"q_{k}") for k in asked}, {k: F.col(f"a_{k}") for k in told}, F.col("q_script"), F.col("a_script"), F.col("fq")), no).alias("other_language"),
     )
     found = F.array(*[F.when(F.col(d) & ((F.lit(d) == "empty") | ~F.col("empty")), F.struct(F.lit(d).alias("defect"), F.lit(n).alias("rank"))) for n, d in enumerate(DEFECTS)])
-    return tested.select("feedback_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("d")).select("feedback_id", "d.defect", "d.rank").distinct()
+    return tested.select(*of, F.filter(found, lambda x: x.isNotNull()).alias("found"))
 
 
 def first_defect(found: DataFrame) -> DataFrame:

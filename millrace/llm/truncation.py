@@ -59,9 +59,9 @@ DEFAULT, LOW, HIGH = -0.5, -1.0, 0.5
 DEFAULT_SHORT, LOW_SHORT, HIGH_SHORT = -2.0, -3.0, -1.0
 
 _DEBRIS = re.compile(
-    r"(?:�+|(?:%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{0,2}|(?:%[0-9A-Fa-f]{2})+|&#?\w{0,6}|<[a-zA-Z/][^<>\s]{0,12}|\s*[\[(]?(?:\.\.\.+|…)[\])]?|\\u?[0-9a-fA-F]{0,4})$"
+    r"(?:�+|(?:%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{0,2}|(?:%[0-9A-Fa-f]{2})+|&#?\w{0,6}|</?[a-zA-Z][^<>\s]*>|<[a-zA-Z/][^<>\s]*|\s*[\[(]?(?:\.\.\.+|…)[\])]?|\\u?[0-9a-fA-F]{0,4})$"
 )
-_MARKS = re.compile(r"(?:\s*\[[^\[\]\n]{0,20}\d\])+(?=[.!?]|\s|$)")
+_MARKS = re.compile(r"(?:\s*\[[^\[\]\n]*\d\])+(?=[.!?]|\s|$)")
 _RUN = re.compile(r"([.!?…])[.!?…\s]+$")
 _WORD = re.compile(r"\d[\d.,/:\-]*\d|\d|\w+|\n|[^\w\s]")
 _NUMBER = re.compile(r"\d.*")
