@@ -7,7 +7,12 @@ form). Spark scores the graph of patterns and candidates in rounds: a pattern's
 candidates' scores, a candidate's score is the chance given by its patterns' log-odds against the usual chance of its
 kind (patterns overlap, so each counts in part). Candidates that no seed covers are found by confident patterns. From
 accepted names a lexicon of name words is learned (words that at least two of them have; it stays a table), and a second
-pass finds names that are not capitalised.
+pass finds names that are not capitalised. ``held_out_recall`` tells how many instances the patterns find without their seeds.
+
+How it runs: a candidate carries the hashes of its patterns and stays in its partition, so in a round only the sums of each pattern are
+shuffled, combined within each task before, however many candidates have it. Patterns that meet their candidates are broadcast up to
+``PATTERNS`` of them (a few dozen MB), beyond that they are joined with the commonest taken out of the shuffle. Patterns that fewer candidates
+have than count at all are left out from the beginning.
 
 Each found instance is replaced by ``[KIND]``; all else stays as it was, character by character. Values that are the same
 are worked on once.
@@ -27,7 +32,7 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.session import materialize
+from millrace.plans.session import lookup, materialize, ship
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 #: Rounds of scoring, least number of scored candidates of a pattern that counts, and the score from which one is accepted.
@@ -36,6 +41,8 @@ ROUNDS, SUPPORT, ACCEPT = 3, 3, 0.6
 DERIVED = 0.3
 #: A word is in the name lexicon if at least so many accepted names have it, however many names there are.
 LEXICON_LEAST = 2
+#: Patterns that are broadcast at most.
+PATTERNS = 500_000
 
 #: Common surnames, folded.
 SURNAMES = set(
@@ -197,7 +204,7 @@ def _features(kind: str, before: list[str], after: list[str], form: str, words:
     if words:
         # a word that is a name among others may be a common word alone
         made += [f"WORD {words[0]}", f"WORD {words[-1]}", f"N {min(len(words), 4)}"] if len(words) > 1 else [f"ONLY {words[0]} {form == 'begin'}", "N 1"]
-    return [f"{kind} {m}" for m in dict.fromkeys(["ALL", *made])]
+    return [f"{kind} {m}" for m in dict.fromkeys(made)]
 
 
 def _capital_names(text: str, spans: list[tuple]) -> list[tuple]:
@@ -238,58 +245,91 @@ def _capital_names(text: str, spans: list[tuple]) -> list[tuple]:
     return out
 
 
-_CANDIDATE = "vid bigint, kind string, start_at int, end_at int, seed int, name_words array<string>, features array<string>"
+_CANDIDATE = "vid bigint, n bigint, kind string, start_at int, end_at int, seed int, begins boolean, name_words array<string>, features array<string>"
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _CANDIDATE.split(", ")]).astype({"seed": "Int32"})
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for vid, raw in zip(batch["vid"], batch["text"], strict=True):
+        for vid, n, raw in zip(batch["vid"], batch["n"], batch["text"], strict=True):
             text, _ = _composed(raw)
             spans = _spans(text)
             for kind, a, b, seed, form in spans:
                 before, after = _around(text, [x for x in spans if (x[1], x[2]) != (a, b)], a, b)
-                rows.append((vid, kind, a, b, seed, [], _features(kind, before, after, form, [])))
-            for kind, a, b, seed, shape, words in _capital_names(text, spans):
+                rows.append((vid, n, kind, a, b, seed, False, [], _features(kind, before, after, form, [])))
+            for kind, a, b, seed, shape, _ in _capital_names(text, spans):
                 before, after = _around(text, spans, a, b)
-                rows.append((vid, kind, a, b, seed, [w.lower() for w in re.findall(r"[\p{L}]+", text[a:b].lower())], _features(kind, before, after, shape, re.findall(r"[\p{L}]+", text[a:b].lower()))))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CANDIDATE.split(", ")]).astype({"seed": "Int32"})
+                words = re.findall(r"[\p{L}]+", text[a:b].lower())
+                rows.append((vid, n, kind, a, b, seed, shape == "begin" and len(words) == 1, words, _features(kind, before, after, shape, words)))
+        yield _frame(rows)
+
+
+def _hashed(candidates: DataFrame) -> DataFrame:
+    """Candidates with ``cid`` and, for ``features``, ``edges``: the hashes of their patterns and what each counts."""
+    # what a candidate is made of says more than its place, of which several features say the same
+    part = lambda f: F.when(f.rlike("^[A-Z_]+ (?:WORD|ONLY|FORM|MASK) "), 0.8).otherwise(0.4).cast("float")
+    edges = F.transform("features", lambda f: F.struct(F.xxhash64(f).alias("f"), part(f).alias("part")))
+    return candidates.withColumns({"cid": F.xxhash64("vid", "kind", "start_at", "end_at"), "edges": edges}).drop("features")
+
+
+def _met(edges: DataFrame, patterns: DataFrame, n_patterns: int) -> DataFrame:
+    """``edges`` (with ``f``) with the columns of ``patterns`` (``f, n, ...``, each pattern once), null where there is none."""
+    if n_patterns <= PATTERNS:
+        return edges.join(F.broadcast(patterns.drop("n")), "f", "left")
+    return lookup(edges, patterns, ["f"], "n", ["cid"])
+
+
+def _logit(p):
+    kept = F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99))
+    return F.log(kept / (1 - kept))
 
 
 def _scored(candidates: DataFrame, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scores of the candidates and confidences of the patterns after the last round.
+    """Scores of the candidates (of ``_hashed``), written out, and the patterns of the last round: ``f, n, kind, usual, confidence``.
 
-    ``given`` are confidences learned before, used for the first round.
+    ``given`` are patterns learned before, used for the first round.
     """
-    nodes = candidates.withColumn("cid", F.xxhash64("vid", "kind", "start_at", "end_at"))
-    edges = materialize(nodes.select("cid", "seed", F.explode("features").alias("feature")).distinct(), "edges")
-    scores = edges.select("cid", F.col("seed").cast("double").alias("score"), F.lit(1.0).alias("trust")).distinct().filter("score is not null")
-    patterns = given
-    kind = F.substring_index("feature", " ", 1)
-    logit = lambda p: F.log(F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99)) / (1 - F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99))))
-    # what a candidate is made of says more than its place, of which several features say the same
-    part = F.when(F.col("feature").rlike("^[A-Z_]+ (?:WORD|ONLY|FORM|MASK) "), 0.8).otherwise(0.4)
+    nodes = candidates.select("cid", "kind", "seed", "edges")
+    spread = lambda rows, *more: rows.select("cid", "kind", "seed", *more, F.explode("edges").alias("e")).select("cid", "kind", "seed", *more, "e.f", "e.part")
+    if given is None:
+        # a pattern that fewer candidates have than count is of no use in any round
+        some = materialize(spread(nodes).groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SUPPORT).withColumn("kept", F.lit(True)), "known")
+    else:
+        some = given.select("f", "n", F.lit(True).alias("kept"))
+    own = ["cid", "kind"]
+    # shuffled once, so that all rounds find a candidate's rows together; what is lost with an executor is worked out again from the tables before
+    nodes = _met(spread(nodes), some, some.count()).groupBy(*own).agg(F.max("seed").alias("seed"), F.collect_list(F.when(F.col("kept"), F.struct("f", "part"))).alias("edges")).persist()
+    scores = nodes.select("cid", "kind", "seed", F.col("seed").cast("double").alias("score"))
+    patterns, n_patterns = given, given.count() if given is not None else 0
     for turn in range(ROUNDS):
         if turn or given is None:
-            known = edges.select("cid", "feature").join(scores, "cid").groupBy("feature").agg(F.sum("trust").alias("n"), F.sum(F.col("trust") * F.col("score")).alias("score"))
-            known = materialize(known, "patterns")
-            # at most one row for each kind
-            usual = {r["feature"].split()[0]: r["score"] / r["n"] for r in known.filter(F.col("feature").isin(*[f"{k} ALL" for k in KINDS])).collect()}
-            base = F.lit(0.5)
-            for name, chance in usual.items():
-                base = F.when(kind == name, F.lit(chance)).otherwise(base)
-            patterns = known.filter(F.col("n") >= SUPPORT).select("feature", "n", base.alias("usual"), ((F.col("score") + 2 * base) / (F.col("n") + 2)).alias("confidence"))
-        scores = materialize(
-            edges.join(patterns, "feature", "left")
-            .groupBy("cid")
-            .agg(F.max("seed").alias("seed"), F.max("usual").alias("usual"), F.sum(part * (logit(F.col("confidence")) - logit(F.col("usual")))).alias("says"))
-            .select("cid", "seed", F.coalesce(F.col("seed").cast("double"), 1 / (1 + F.exp(-F.col("says") - logit(F.col("usual"))))).alias("score"))
-            .filter("score is not null")
-            .withColumn("trust", F.when(F.col("seed").isNotNull(), 1.0).otherwise(DERIVED)),
-            "scores",
-        )
-    # the patterns of the last round are those that gave the scores
-    return nodes.join(scores.select("cid", "score"), "cid", "left").drop("cid"), patterns
+            # a candidate without a seed counts in part; at most one row for each kind comes here
+            trust = F.when(F.col("seed").isNotNull(), 1.0).otherwise(DERIVED)
+            known = scores.filter("score is not null").withColumn("trust", trust)
+            usual = {r["kind"]: (r["n"], r["score"] / r["n"]) for r in known.groupBy("kind").agg(F.sum("trust").alias("n"), F.sum(F.col("trust") * F.col("score")).alias("score")).collect()}
+            base = F.lit(None).cast("double")
+            for name, (n, chance) in usual.items():
+                if n >= SUPPORT:
+                    base = F.when(F.col("kind") == name, F.lit(chance)).otherwise(base)
+            sums = spread(nodes.join(known.select(*own, "score", "trust"), own), "score", "trust").groupBy("f", "kind").agg(F.sum("trust").alias("n"), F.sum(F.col("trust") * F.col("score")).alias("score"))
+            usable = sums.filter(F.col("n") >= SUPPORT).withColumn("usual", base).filter("usual is not null")
+            patterns = materialize(usable.select("f", "n", "kind", "usual", ((F.col("score") + 2 * F.col("usual")) / (F.col("n") + 2)).alias("confidence")), "patterns")
+            n_patterns = patterns.count()
+        chances = {r["kind"]: r["usual"] for r in patterns.groupBy("kind").agg(F.max("usual").alias("usual")).collect()}
+        base = F.lit(None).cast("double")
+        for name, chance in chances.items():
+            base = F.when(F.col("kind") == name, F.lit(chance)).otherwise(base)
+        says = F.sum(F.col("part") * (_logit(F.col("confidence")) - _logit(F.col("usual"))))
+        told = _met(spread(nodes), patterns.select("f", "n", "usual", "confidence"), n_patterns).groupBy(*own).agg(F.coalesce(says, F.lit(0.0)).alias("says"))
+        whole = nodes.select(*own, "seed").join(told, own, "left")
+        scores = whole.select("cid", "kind", "seed", F.coalesce(F.col("seed").cast("double"), 1 / (1 + F.exp(-F.coalesce("says", F.lit(0.0)) - _logit(base)))).alias("score"))
+    scored = materialize(candidates.drop("edges").join(scores.select(*own, "score"), own, "left").drop("cid"), "scored")
+    nodes.unpersist()
+    return scored, patterns
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,23 +342,22 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _lower_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Finds names that aren't capitalised: runs of words of the lexicon, alone only after an introduction.
 
-    ``words`` and ``firsts`` are those of the lexicon's words that the value has.
+    ``words`` and ``firsts`` are those of the lexicon's words that the value has, ``spans`` its candidates with a form of their own.
     """
     for batch in batches:
         rows = []
-        for vid, raw, known, leading in zip(batch["vid"], batch["text"], batch["words"], batch["firsts"], strict=True):
+        for vid, n, raw, known, leading, given in zip(batch["vid"], batch["n"], batch["text"], batch["words"], batch["firsts"], batch["spans"], strict=True):
             text, _ = _composed(raw)
             words, firsts = set(known), set(leading)
-            spans = _spans(text)
-            covered = [(s, e) for _, s, e, *_ in spans]
             tokens = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
+            spans = [(x["kind"], x["start_at"], x["end_at"]) for x in given] if given is not None else []
             i = 0
             while i < len(tokens):
                 a, _, word = tokens[i]
                 j = i
                 while j < len(tokens) and j - i < 5 and tokens[j][2].lower() in words and (j == i or text[tokens[j - 1][1] : tokens[j][0]].isspace()):
                     j += 1
-                if j == i or any(s < tokens[j - 1][1] and a < e for s, e in covered):
+                if j == i or any(s < tokens[j - 1][1] and a < e for _, s, e in spans):
                     i += 1
                     continue
                 b = tokens[j - 1][1]
@@ -327,23 +366,28 @@ def _lower_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if text[a:b].islower() and (intro or (len(run_words) > 1 and word.lower() in firsts)):
                     before, after = _around(text, spans, a, b)
                     seed = 1 if intro and len(run_words) > 1 and word.lower() in firsts else None
-                    rows.append((vid, "NAME", a, b, seed, run_words, _features("NAME", before, after, "lower", run_words)))
+                    rows.append((vid, n, "NAME", a, b, seed, False, run_words, _features("NAME", before, after, "lower", run_words)))
                 i = j
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CANDIDATE.split(", ")]).astype({"seed": "Int32"})
+        yield _frame(rows)
 
 
 def _lexicon(names: DataFrame) -> DataFrame:
-    """``w, is_first, is_word``: words of accepted names, whether enough names begin with it, and whether it counts as part of one."""
+    """``w, n, is_first, is_word``: words of accepted names, how many have it, whether enough names begin with it, and whether it counts as part of one."""
     both = names.select(F.explode(F.expr("transform(name_words, (w, i) -> struct(w, i = 0 as first))")).alias("w")).groupBy("w.w", "w.first").agg(F.count(F.lit(1)).alias("n"))
-    return both.filter(F.col("n") >= LEXICON_LEAST).groupBy("w").agg(F.bool_or("first").alias("is_first"), (F.max(F.length("w")) > 1).alias("is_word"))
+    return both.filter(F.col("n") >= LEXICON_LEAST).groupBy("w").agg(F.sum("n").alias("n"), F.bool_or("first").alias("is_first"), (F.max(F.length("w")) > 1).alias("is_word"))
 
 
-def _with_lexicon(values: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``vid, text, words, firsts``: the values that have words of the lexicon, with these."""
-    known = values.mapInPandas(_words, "vid bigint, w string").join(lexicon, "w").groupBy("vid").agg(
+def _with_lexicon(values: DataFrame, lexicon: DataFrame, spans: DataFrame) -> DataFrame:
+    """``vid, n, text, words, firsts, spans``: the values that have words of the lexicon, with these and their candidates of other kinds."""
+    # only decomposed texts have to be composed first
+    marks = F.col("text").rlike(r"\p{M}")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}']+"), F.lit(0)))
+    said = values.filter(~marks).select("vid", F.explode(words).alias("w")).unionByName(values.filter(marks).select("vid", "text").mapInPandas(_words, "vid bigint, w string"))
+    known = lookup(said, lexicon, ["w"], "n", ["vid"]).filter("is_word or is_first").groupBy("vid").agg(
         F.collect_list(F.when(F.col("is_word"), F.col("w"))).alias("words"), F.collect_list(F.when(F.col("is_first"), F.col("w"))).alias("firsts")
     )
-    return values.join(known, "vid").select("vid", "text", "words", "firsts")
+    other = spans.filter("kind != 'NAME'").groupBy("vid").agg(F.collect_list(F.struct("kind", "start_at", "end_at")).alias("spans"))
+    return values.join(known, "vid").join(other, "vid", "left").select("vid", "n", "text", "words", "firsts", "spans")
 
 
 def texts_of(feedback: DataFrame) -> DataFrame:
@@ -351,34 +395,49 @@ def texts_of(feedback: DataFrame) -> DataFrame:
     return feedback.select("feedback_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("question", "comment")])).alias("v")).select("feedback_id", "v.*")
 
 
+def _values(texts: DataFrame) -> DataFrame:
+    """``vid, n, text``: each text once, with how many records have it; ``vid`` is its 64-bit hash."""
+    ship(texts.sparkSession)
+    return materialize(texts.filter(F.length("text") > 0).groupBy("text").agg(F.count(F.lit(1)).alias("n")).select(F.xxhash64("text").alias("vid"), "n", "text"), "values")
+
+
 def instances(texts: DataFrame) -> DataFrame:
-    """``vid, kind, start_at, end_at, score`` of the accepted instances in distinct texts; places are in the composed text.
+    """``vid, n, kind, start_at, end_at, score`` of the accepted instances in distinct texts; places are in the composed text.
 
-    ``vid`` is the 64-bit hash of the text.
+    ``vid`` is the 64-bit hash of the text, ``n`` how many records have it.
     """
-    values = texts.filter(F.length("text") > 0).groupBy("text").agg(F.count(F.lit(1)).alias("n")).select(F.xxhash64("text").alias("vid"), "text")
-    values = materialize(values, "values")
-    candidates = materialize(values.mapInPandas(_candidates, _CANDIDATE), "candidates")
+    values = _values(texts)
+    candidates = materialize(_hashed(values.mapInPandas(_candidates, _CANDIDATE)), "candidates")
     scored, patterns = _scored(candidates)
-    accepted = materialize(scored.filter(F.coalesce("score", F.lit(0.0)) >= ACCEPT), "accepted")
+    accepted = scored.filter(F.coalesce("score", F.lit(0.0)) >= ACCEPT)
     lexicon = _lexicon(accepted.filter("kind = 'NAME' and size(name_words) > 0 and (seed = 1 or size(name_words) > 1)"))
     lexicon = materialize(lexicon, "lexicon")
     # the capital of a word alone that begins a sentence says nothing ("Giá" is a price): such a word has to be known from names
     alone = (F.col("kind") == "NAME") & (F.size("name_words") == 1) & (F.coalesce("seed", F.lit(0)) != 1)
-    begins = F.exists("features", lambda f: f.rlike("^NAME ONLY .* True$"))
-    known = accepted.filter(alone).withColumn("w", F.get("name_words", F.lit(0))).join(lexicon.filter("is_word").select("w", "is_word"), "w", "left").filter(F.col("is_word") | ~begins)
+    single = accepted.filter(alone).withColumn("w", F.get("name_words", F.lit(0)))
+    known = lookup(single, lexicon.filter("is_word").select("w", "n", "is_word").withColumnRenamed("n", "names"), ["w"], "names", ["vid", "start_at"]).filter(F.coalesce("is_word", F.lit(False)) | ~F.col("begins"))
     accepted = accepted.filter(~alone).unionByName(known.select(*accepted.columns))
-    lower = materialize(_with_lexicon(values, lexicon).mapInPandas(_lower_names, _CANDIDATE), "lower")
-    more, _ = _scored(lower, materialize(patterns, "patterns"))
+    lower = materialize(_hashed(_with_lexicon(values, lexicon, candidates).mapInPandas(_lower_names, _CANDIDATE)), "lower")
+    more, _ = _scored(lower, patterns)
     found = accepted.unionByName(more.filter(F.coalesce("score", F.lit(0.0)) >= ACCEPT))
-    return found.select("vid", "kind", "start_at", "end_at", "score").distinct()
+    return found.select("vid", "n", "kind", "start_at", "end_at", "score").distinct()
+
+
+def held_out_recall(texts: DataFrame, share: float = 0.5) -> DataFrame:
+    """``kind, held_out, found``: of the positive seeds, ``share`` lose theirs, and how many of these the patterns of the others still accept."""
+    candidates = materialize(_hashed(_values(texts).mapInPandas(_candidates, _CANDIDATE)), "candidates")
+    held = (F.pmod(F.xxhash64("cid", F.lit("held out")), F.lit(1000)) < share * 1000) & (F.coalesce("seed", F.lit(0)) == 1)
+    marked = candidates.withColumn("held", held).withColumn("seed", F.when(~held, F.col("seed")))
+    scored, _ = _scored(marked)
+    return scored.filter("held").groupBy("kind").agg(F.count(F.lit(1)).alias("held_out"), F.count_if(F.coalesce("score", F.lit(0.0)) >= ACCEPT).alias("found"))
 
 
 def found_kinds(texts: DataFrame, found: DataFrame) -> DataFrame:
     """``feedback_id, field, kind``: the kinds of which a value has at least one instance."""
-    kinds = found.select("vid", "kind").distinct()
+    kinds = found.groupBy("vid").agg(F.max("n").alias("n"), F.collect_set("kind").alias("kinds"))
     # empty values, of which there may be many, would share a key
-    return texts.filter(F.length("text") > 0).withColumn("vid", F.xxhash64("text")).join(kinds, "vid").select("feedback_id", "field", "kind").distinct()
+    some = texts.filter(F.length("text") > 0).select("feedback_id", "field", F.xxhash64("text").alias("vid"))
+    return lookup(some, kinds, ["vid"], "n", ["feedback_id", "field"]).select("feedback_id", "field", F.explode("kinds").alias("kind")).distinct()
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
@@ -398,10 +457,11 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 def redacted(texts: DataFrame, found: DataFrame) -> DataFrame:
     """``feedback_id, field, text, redacted``: every value with its instances replaced."""
-    spans = found.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("kind", "start_at", "end_at"))).alias("spans"))
+    ship(texts.sparkSession)
+    spans = found.groupBy("vid").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("kind", "start_at", "end_at"))).alias("spans"))
     some = F.coalesce(F.length("text") > 0, F.lit(False))
     rows = texts.select("feedback_id", "field", "text")
-    joined = rows.filter(some).withColumn("vid", F.xxhash64("text")).join(spans, "vid", "left")
+    joined = lookup(rows.filter(some).withColumn("vid", F.xxhash64("text")), spans, ["vid"], "n", ["feedback_id", "field"])
 
     @F.pandas_udf("string")
     def replace(values: pd.Series, places: pd.Series) -> pd.Series:
