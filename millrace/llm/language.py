@@ -23,8 +23,8 @@ LETTERS = {"vi": "[ăđơưạảấầẩẫậắằẳẵặẹẻẽếề
 OTHER_WORDS = {
     "es": "el los las del una por para como pero puede debe esta este usted dias tomar tome tambien muy cuando antes despues sus segun sobre hasta".split(),
     "de": "der das und ist nicht sie eine einen auf fur von zu dem wird werden oder bei nach konnen sollte tag mal tabletten auch sich wenn".split(),
-    "pt": "os uma pela pelo deve nao tambem voce seu sua antes depois mais ate dos das pode tomar muito quando sobre".split(),
-    "it": "il gli della delle dei una puo deve sono prima dopo anche piu giorni compressa ogni quando per non nel alla questo".split(),
+    "pt": "os uma pela pelo deve tambem voce seu sua antes depois mais ate dos das pode tomar muito quando sobre".split(),
+    "it": "gli della delle dei una puo deve sono prima dopo anche piu giorni compressa ogni quando per non nel alla questo".split(),
 }
 #: Scripts whose letters aren't Latin. Fixed values.
 SCRIPTS = {"cyrl": r"\p{IsCyrillic}", "han": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]", "hang": r"\p{IsHangul}", "arab": r"\p{IsArabic}", "thai": r"\p{IsThai}", "grek": r"\p{IsGreek}", "hebr": r"\p{IsHebrew}", "deva": r"\p{IsDevanagari}"}
@@ -46,12 +46,13 @@ def language_scores(text: Column, folded: Column | None = None, others: bool = F
     """How strongly a text speaks for each language; all 0 for null, empty and wordless texts. ``folded`` saves folding again; ``others`` adds those of ``OTHER_WORDS``."""
     lower, words = F.coalesce(F.lower(text), F.lit("")), F.split(F.coalesce(fold(text) if folded is None else folded, F.lit("")), r"[^\p{L}]+")
     scores = {}
-    among = lambda listed: lambda w: w.isin(*listed)
-    for name, listed in (WORDS | (OTHER_WORDS if others else {})).items():
-        score = F.size(F.filter(words, among(listed)))
-        if name in LETTERS:
-            score = score + F.regexp_count(lower, F.lit(LETTERS[name]))
-        scores[name] = score
+    count = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed)))
+    for name, listed in WORDS.items():
+        scores[name] = count(listed) + F.regexp_count(lower, F.lit(LETTERS[name])) if name in LETTERS else count(listed)
+    if others:
+        # words of the usual languages are no others', so where they are a third of all no other language can have twice as many
+        open_ = 3 * F.greatest(*scores.values()) <= F.size(words)
+        scores |= {name: F.when(open_, count(listed)).otherwise(0) for name, listed in OTHER_WORDS.items()}
     return scores
 
 

@@ -4,13 +4,15 @@ Each mix wants ``size_ratio`` of the tokens of all documents, split over its sou
 their weights. Within a source a document's expected number of uses grows with the square root of its
 tokens (``power``), scaled so that the expected tokens meet the source's share and capped by
 ``max_repeats``. The whole part of that number is certain; the rest is drawn: documents are ranked by their
-random odds divided by their inclusion odds, and the first of this order are taken until the share is
-met, as near as whole documents allow.
+random odds divided by their inclusion odds, and the first of this order are taken as long as they fit into the
+share. The document at which this ends may be far too long for what is left, so the order is gone on with among the documents
+that aren't longer than the gap, a bin at a time, and what is left then is filled with the one document whose size is nearest to it, if that
+brings the share nearer.
 
 The random number of a document is a hash of seed, mix and document, so a task that runs again draws the
-same. No source is sorted in one task: the order is cut into 4,096 bins, the tokens of the bins are
-summed, and only the bin in which the share is met is sorted. A bin in its turn is at most a few
-documents of one source unless documents are repeated under one id, which are counted once.
+same. No source is sorted in one task, nor are documents shuffled: the order is cut into 4,096 bins whose tokens are
+summed, the bin in which the share is met is cut into 4,096 bins again, and only the documents of one of these, one in some 16 million of the
+source's, are sorted. What is found is one row for each target, which the documents meet in a join of the size of the targets.
 
 Defined results: documents of null, empty or uncounted text have no tokens and are used 0 times (they are
 not in the result); null weights, sizes and sources, negative and zero weights take no part; a null
@@ -27,17 +29,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from millrace.llm.tokens import count_column
-from millrace.plans.session import materialize
+from millrace.plans.session import materialize, ship
 
 BINS = 4096
-#: Parts into which a source's documents are spread where they meet the targets.
-SALTS = 32
+#: Targets that are broadcast at most, and parts into which a source's documents are spread where they meet more of them.
+TARGETS, SALTS = 50_000, 32
 #: Steps per doubling of a document's tokens in the summary from which the scale is worked out.
 STEPS = 16
 
 
 def token_sizes(documents: DataFrame, path: str) -> DataFrame:
     """``doc_id, source, tokens`` of every document that has tokens, one row per id."""
+    ship(documents.sparkSession)
     sized = documents.select("doc_id", "source", count_column(F.col("text"), path).cast("bigint").alias("tokens"))
     return (
         sized.filter("doc_id is not null and tokens > 0")
@@ -87,41 +90,76 @@ def _wanted(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return _targets(targets).join(F.broadcast(total)).withColumn("want", F.col("share") * F.col("ratio") * F.coalesce("corpus", F.lit(0)))
 
 
-def mix(sizes: DataFrame, targets: DataFrame, seed: int = 17, power: float = 0.5) -> DataFrame:
-    """``mix_name, source, doc_id, tokens, uses``: the documents of each mix with their number of uses.
+def _at_targets(sizes: DataFrame, found: DataFrame) -> DataFrame:
+    """Documents with the rows of the targets that want their source.
 
-    ``sizes`` has one row per document (``token_sizes``). A source may hold any part of the documents, so the join with
-    the targets is salted; it becomes a broadcast only if Spark measures the targets below its own limit.
+    ``found``, a written table with a row for each target, is broadcast up to ``TARGETS`` rows. Beyond that the join is salted, as a source may hold any part of the documents.
     """
-    scaled = _scales(sizes, _wanted(sizes, targets), power)
-    spread = scaled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    docs = spread.join(sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), ["source", "salt"]).drop("salt")
-    expected = F.least(F.coalesce(F.col("scale") * F.pow("tokens", F.lit(power)), F.col("most").cast("double")), F.col("most").cast("double"))
+    if found.count() <= TARGETS:
+        return sizes.join(F.broadcast(found), "source")
+    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["source", "salt"]).drop("salt")
+
+
+def _drawn(sizes: DataFrame, found: DataFrame, seed: int, power: float) -> DataFrame:
+    """Documents at their targets with ``whole``, the certain uses, and ``rank, bin, fine``, their place in the order; null for those that aren't drawn."""
+    most = F.col("most").cast("double")
+    expected = F.least(F.coalesce(F.col("scale") * F.pow("tokens", F.lit(power)), most), most)
     unit = (F.pmod(F.xxhash64(F.lit(seed), "mix_name", "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    drawn = docs.withColumn("expected", expected).withColumns({"whole": F.floor("expected"), "part": F.col("expected") - F.floor("expected")})
+    drawn = _at_targets(sizes, found).withColumn("expected", expected).withColumns({"whole": F.floor("expected"), "part": F.col("expected") - F.floor("expected")})
     drawn = drawn.withColumn("rank", F.when(F.col("part") > 0, _odds(unit) / _odds(F.col("part"))))
-    # odds to (0, 1), so that the order can be binned; a bin without a rank holds documents that aren't drawn
-    drawn = drawn.withColumn("bin", F.when(F.col("rank").isNotNull(), F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * BINS), F.lit(BINS - 1))))
-    cells = drawn.groupBy("mix_name", "source", "want", "bin").agg(F.sum(F.col("whole") * F.col("tokens")).alias("sure"), F.sum(F.when(F.col("bin").isNotNull(), F.col("tokens"))).alias("tokens"))
-    cell = W.partitionBy("mix_name", "source")
-    line = cell.orderBy("bin")
-    bins = (
-        cells.withColumn("rest", F.col("want") - F.sum("sure").over(cell))
-        .filter("bin is not null")
-        .withColumn("before", F.coalesce(F.sum("tokens").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .select("mix_name", "source", "bin", "rest", "before", "tokens")
-        .withColumnRenamed("tokens", "in_bin")
-    )
-    placed = drawn.join(bins, ["mix_name", "source", "bin"], "left")
-    edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_bin") > F.col("rest"))
-    columns = ["mix_name", "source", "doc_id", "tokens", "whole"]
-    far = placed.filter(F.col("bin").isNull() | ~edge).select(*columns, F.when(F.col("before") + F.col("in_bin") <= F.col("rest"), 1).otherwise(0).alias("extra"))
-    # nearest to the share: a document is taken if at least half of it still fits
-    within = W.partitionBy("mix_name", "source").orderBy("rank", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    near = placed.filter(F.col("bin").isNotNull() & edge).withColumn("used", F.col("before") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    near = near.select(*columns, F.when(F.col("used") + F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0).alias("extra"))
-    uses = (F.col("whole") + F.col("extra")).cast("int")
-    return far.unionByName(near).select("mix_name", "source", "doc_id", "tokens", uses.alias("uses")).filter("uses > 0")
+    # odds to (0, 1), so that the order can be binned
+    place = F.col("rank") / (1 + F.col("rank")) * BINS
+    cut = lambda at: F.when(F.col("rank").isNotNull(), F.least(F.floor(at), F.lit(BINS - 1)))
+    return drawn.withColumns({"bin": cut(place), "fine": cut((place - F.floor(place)) * BINS)}).drop("expected", "part")
+
+
+_CELL = ["mix_name", "source"]
+
+
+def _met_in(cells: DataFrame, place: str) -> DataFrame:
+    """Of each target's bins (``place, tokens, rest``) the first that doesn't fit into the rest, and what is left of the rest before it; no row if all fit."""
+    line = W.partitionBy(*_CELL).orderBy(place)
+    before = cells.withColumn("before", F.sum("tokens").over(line) - F.col("tokens"))
+    beyond = before.filter(F.col("before") + F.col("tokens") > F.col("rest"))
+    return beyond.groupBy(*_CELL).agg(F.min(F.struct(place, (F.col("rest") - F.col("before")).alias("left"))).alias("m")).select(*_CELL, f"m.{place}", "m.left")
+
+
+def mix(sizes: DataFrame, targets: DataFrame, seed: int = 17, power: float = 0.5) -> DataFrame:
+    """``mix_name, source, doc_id, tokens, uses``: the documents of each mix with their number of uses.
+
+    ``sizes`` has one row per document (``token_sizes``).
+    """
+    scaled = materialize(_scales(sizes, _wanted(sizes, targets), power), "scaled")
+    bins = _drawn(sizes, scaled, seed, power).groupBy(*_CELL, "want", "bin").agg(F.sum(F.col("whole") * F.col("tokens")).alias("sure"), F.sum("tokens").alias("tokens"))
+    bins = bins.withColumn("rest", F.col("want") - F.sum("sure").over(W.partitionBy(*_CELL))).filter("bin is not null")
+    # where the share is met, one row for each target: its bin, the bin within that, the document
+    edge = _met_in(bins, "bin").withColumnRenamed("bin", "edge_bin")
+    found = materialize(scaled.join(edge, _CELL, "left"), "edge")
+    within = materialize(_drawn(sizes, found, seed, power).filter(F.col("bin") == F.col("edge_bin")).select(*_CELL, "fine", "rank", "doc_id", "tokens", F.col("left").alias("rest")), "within")
+    fine = _met_in(within.groupBy(*_CELL, "fine").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest")), "fine")
+    inmost = within.drop("rest").join(fine.withColumnRenamed("left", "rest"), [*_CELL, "fine"]).select(*_CELL, F.struct("fine", "rank", "doc_id").alias("doc"), "tokens", "rest")
+    last = _met_in(inmost, "doc").withColumnRenamed("doc", "edge_doc")
+    found = materialize(found.drop("left").join(last, _CELL, "left"), "edge")
+    # before the edge all are taken; without an edge all there are
+    at, end = F.struct("fine", "rank", "doc_id"), F.col("edge_doc")
+    ahead = (F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & (at < end))
+    taken = F.coalesce(ahead, F.col("bin").isNotNull())
+    after = _drawn(sizes, found, seed, power).filter(F.col("bin").isNotNull() & ~taken)
+    short = after.filter(F.col("tokens") <= F.col("left")).groupBy(*_CELL, "bin").agg(F.sum("tokens").alias("tokens"), F.first("left").alias("rest"))
+    more = _met_in(short, "bin").select(*_CELL, F.col("bin").alias("more_bin"), F.col("left").alias("more_left"))
+    whole = short.groupBy(*_CELL).agg(F.max("rest").alias("gap"), F.sum("tokens").alias("stocked"))
+    found = found.join(whole, _CELL, "left").join(more, _CELL, "left")
+    # all that aren't too long fit where no bin is the first that doesn't
+    found = materialize(found.withColumn("more_left", F.coalesce("more_left", F.col("gap") - F.col("stocked"), "left")).drop("gap", "stocked"), "edge")
+    filled = F.coalesce(F.col("bin").isNotNull() & ~taken & (F.col("tokens") <= F.col("left")) & (F.col("more_bin").isNull() | (F.col("bin") < F.col("more_bin"))), F.lit(False))
+    off = F.abs(F.col("tokens") - F.col("more_left"))
+    rest = _drawn(sizes, found, seed, power).filter(F.col("bin").isNotNull() & ~taken & ~filled & (off < F.col("more_left")))
+    filler = rest.groupBy(*_CELL).agg(F.min(F.struct(off.alias("off"), "rank", "doc_id")).alias("f")).select(*_CELL, F.col("f.doc_id").alias("filler"))
+    found = materialize(found.join(filler, _CELL, "left"), "edge")
+    extra = F.when(taken | filled | F.coalesce(F.col("doc_id") == F.col("filler"), F.lit(False)), 1).otherwise(0)
+    uses = (F.col("whole") + extra).cast("int")
+    return _drawn(sizes, found, seed, power).select("mix_name", "source", "doc_id", "tokens", uses.alias("uses")).filter("uses > 0")
 
 
 def shares(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
