@@ -59,6 +59,11 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "chat_messages"), table(spark, d, "chat_sessions"))
 
 
+def p4_by_participant(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations among the messages that name no session."""
+    return conversations.by_participant(table(spark, d, "chat_messages"))
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of oversized parents and messages."""
     both = pieces.split_items(table(spark, d, "parents"), "parents.content", "parent_id", "content")
@@ -115,7 +120,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
-    named = (p1_found, p1_all_defects, p2_found, p2_redacted, p3_found, p3_rates, p4_found, p4_conversations, p5_found, p5_pieces, p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+    named = (p1_found, p1_all_defects, p2_found, p2_redacted, p3_found, p3_rates, p4_found, p4_conversations, p4_by_participant, p5_found, p5_pieces, p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
     return {f.__name__: f for f in named}
 
 
