@@ -67,3 +67,22 @@ def stale_lookups(rows: DataFrame, key: str, ts: str, order: str, seconds: int =
 def any_positive(value: str = "n") -> Column:
     """Whether a series shows anything."""
     return F.coalesce(F.bool_or(F.col(value) > 0), F.lit(False))
+
+
+def totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """``name, n``: distinct ids of each table."""
+    counted = [df.agg(F.lit(name).alias("name"), F.countDistinct("id").alias("n")) for name, df in tables.items()]
+    whole = counted[0]
+    for one in counted[1:]:
+        whole = whole.unionByName(one)
+    return whole
+
+
+def per_source(rows: DataFrame) -> DataFrame:
+    """``source, n``; rows without a source are ``Unknown``."""
+    return rows.groupBy(F.coalesce("source", F.lit("Unknown")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def collections(documents: DataFrame) -> DataFrame:
+    """``collection, sources, rows`` of each collection."""
+    return documents.groupBy("collection").agg(F.countDistinct("source").alias("sources"), F.count(F.lit(1)).alias("rows"))

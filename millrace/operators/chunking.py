@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators import models
+from millrace.plans.session import ship
 
 
 @dataclass(frozen=True)
@@ -125,6 +127,7 @@ def _semantic(tokens: int):
 
 def semantic_parents(documents: DataFrame, key: str, text_col: str = "text", tokens: int = 700) -> DataFrame:
     """``key, parent_idx, content, headers`` by Markdown header, long sections cut recursively. The only chunker in Python."""
+    ship(documents.sparkSession)
     return documents.select(F.col(key).cast("string").alias("key"), F.col(text_col).alias("text")).mapInPandas(
         _semantic(tokens), "key string, parent_idx int, content string, headers map<string,string>"
     )
@@ -140,10 +143,14 @@ def build_parents(documents: DataFrame, key: str, text_col: str = "text", sizes:
     return unit("paragraph", "paragraph").unionByName(unit("sentence", "sentence")).unionByName(semantic.select("key", F.lit("semantic_tokens").alias("strategy"), "parent_idx", "content"))
 
 
-def build_children(parents: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
-    """``key, strategy, parent_idx, parent_id, chunk_index, text``; blank children are left out, their index stays free."""
+def build_children(parents: DataFrame, sizes: Sizes = Sizes(), make: Callable[[], models.Tokenizer] | None = None) -> DataFrame:
+    """``key, strategy, parent_idx, parent_id, chunk_index, text``; blank children are left out, their index stays free.
+
+    ``make`` gives the tokenizer of the semantic strategy's children; without one words stand for tokens.
+    """
     content = F.col("content")
-    tokens = X.windows(X.words(content), sizes.child_tokens[0], sizes.child_tokens[1], " ")
+    size, overlap = sizes.child_tokens
+    tokens = models.token_windows(content, make, size, overlap) if make else X.windows(X.words(content), size, overlap, " ")
     made = F.when(F.col("strategy") == "paragraph", child_texts(content, "paragraph", sizes)).when(F.col("strategy") == "sentence", child_texts(content, "sentence", sizes)).otherwise(tokens)
     out = parents.select("key", "strategy", "parent_idx", X.parent_id(content, F.col("parent_idx")).alias("parent_id"), F.posexplode(made).alias("chunk_index", "text"))
     return out.withColumn("text", X.strip_space("text")).filter("text != ''")

@@ -118,3 +118,56 @@ def usage_of(response: Column) -> Column:
         first(*[f"{g}.{k}" for g in groups for k in ("input_tokens", "prompt_tokens")]).alias("prompt_tokens"),
         first(*[f"{g}.{k}" for g in groups for k in ("output_tokens", "completion_tokens")]).alias("completion_tokens"),
     )
+
+
+def reformulated(question: Column, history: Column, response: Column) -> Column:
+    """A follow-up question made to stand alone by a model's response; the question itself without history or where the response has at most 5 characters."""
+    told = X.strip_space(response)
+    return F.when((F.length(X.strip_space(F.coalesce(history, F.lit("")))) > 0) & (F.length(told) > 5), told).otherwise(question)
+
+
+def assembled(contexts: DataFrame, prices: DataFrame, by: list[str]) -> DataFrame:
+    """Contexts in the order of ``rank`` and, last, the price row of the same key: ``by, place, kind, content``.
+
+    ``prices`` has ``by, content``; a key's contexts are the few that were displayed.
+    """
+    both = contexts.select(*by, F.lit(0).alias("_kind"), "rank", "content").unionByName(prices.select(*by, F.lit(1).alias("_kind"), F.lit(0).alias("rank"), "content"))
+    placed = both.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy("_kind", "rank", "content")))
+    return placed.select(*by, "place", F.when(F.col("_kind") == 1, "price").otherwise("rag").alias("kind"), "content")
+
+
+def first_parents(children: DataFrame, parents: DataFrame, by: list[str], dedup: bool = False) -> DataFrame:
+    """``by, rank, parent_id, content`` of a ranked list of children (``by, position, parent_id, parent_content``).
+
+    The first child of a parent gives the parent's content, else its own copy of it; later children of the same parent, and children without one,
+    give their own copy under their position, or nothing if they have none. With ``dedup`` a parent comes once.
+    """
+    place = W.partitionBy(*by).orderBy("position")
+    nth = F.row_number().over(W.partitionBy(*by, "parent_id").orderBy("position"))
+    own = parents.groupBy("parent_id").agg(F.min("content").alias("_content"))
+    first = F.col("parent_id").isNotNull() & (F.col("_nth") == 1)
+    listed = children.withColumn("_nth", nth).withColumn("_first", first).join(own, "parent_id", "left")
+    copy = F.coalesce("parent_content", F.lit(""))
+    kept = listed.filter(F.col("_first") | ((copy != "") & (F.lit(not dedup) | F.col("parent_id").isNull())))
+    rank = F.when(F.col("_first"), F.row_number().over(place)).otherwise(F.col("position"))
+    return kept.select(*by, "position", rank.alias("rank"), "parent_id", F.when(F.col("_first"), F.coalesce("_content", copy)).otherwise(copy).alias("content"))
+
+
+def first_urls(urls: Column, n: int | None = None) -> Column:
+    """The distinct urls of an array in their order, at most ``n``; null and empty ones are left out."""
+    found = F.array_sort(F.array_distinct(F.filter(F.coalesce(urls, F.array().cast("array<string>")), lambda u: F.coalesce(u, F.lit("")) != "")))
+    return F.slice(found, F.lit(1), F.lit(n)) if n is not None else found
+
+
+def answered(asked: DataFrame, contexts: DataFrame, prices: DataFrame, answer: Column) -> DataFrame:
+    """A whole question round without the model: ``asked`` (``id, question, history, response``) with what the model would get and what is shown.
+
+    Adds ``standalone``, the question that is searched with, ``block``, the contexts as the prompt has them, ``kind``, the prompt's template, ``sources``, what is
+    displayed, and ``answer``, given by a column over these.
+    """
+    shown = F.array_sort(F.collect_list(F.struct("rank", "source", F.left("summary", F.lit(200)).alias("summary"), F.left("content", F.lit(1000)).alias("content"), "collection_name", "page")))
+    sources = contexts.groupBy("id").agg(shown.alias("sources"))
+    blocks = context_blocks(contexts, ["id"])
+    priced = prices.groupBy("id").agg(F.min("content").alias("price"))
+    both = asked.withColumn("standalone", reformulated(F.col("question"), F.col("history"), F.col("response"))).join(sources, "id", "left").join(blocks, "id", "left").join(priced, "id", "left")
+    return both.withColumn("kind", prompt_kind(F.col("sources").isNotNull(), F.col("price").isNotNull())).withColumn("answer", answer)

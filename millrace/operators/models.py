@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import regex
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.plans.session import ship
+
+
+_TOKENS = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
 
 
 class Embedder(Protocol):
@@ -22,18 +27,31 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """Signed token hashing with unit length; the same on every machine."""
+    """Signed token hashing, so whole numbers; the same on every machine, and in SQL: the first eight hexadecimal digits of a token's MD5."""
+
+    #: Tokens whose places a worker keeps; when full it begins anew.
+    KEPT = 200_000
 
     def __init__(self, size: int = 64):
-        self.size = size
+        self.size, self._known = size, {}
+
+    def _place(self, token: str) -> tuple[int, int]:
+        h = int(hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+        if len(self._known) >= self.KEPT:
+            self._known.clear()
+        self._known[token] = found = (h % self.size, 1 if h >> 31 else -1)
+        return found
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size), dtype=np.float32)
+        rows, places, signs = [], [], []
         for i, t in enumerate(texts):
-            for token in re.findall(r"\w+", (t or "").lower()):
-                h = zlib.crc32(token.encode())
-                out[i, h % self.size] += 1 if h >> 31 else -1
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+            for token in _TOKENS.findall((t or "").lower()):
+                at, sign = self._known.get(token) or self._place(token)
+                rows.append(i)
+                places.append(at)
+                signs.append(sign)
+        flat = np.bincount(np.array(rows, dtype=np.int64) * self.size + np.array(places, dtype=np.int64), signs, len(texts) * self.size) if rows else np.zeros(len(texts) * self.size)
+        return flat.reshape(len(texts), self.size).astype(np.float32)
 
 
 def embed(text: Column, model: Embedder, batch: int = 64, attempts: int = 5) -> Column:
@@ -53,6 +71,7 @@ def embed(text: Column, model: Embedder, batch: int = 64, attempts: int = 5) ->
                             raise
             yield pd.Series(vectors)
 
+    ship(SparkSession.active())
     return run(text)
 
 
@@ -75,3 +94,69 @@ def summary_of(content: Column, response: Column) -> Column:
         F.coalesce(X.labelled_line(response, "SUMMARY"), X.shortened(content, 200)).alias("summary"),
         F.coalesce(X.labelled_line(response, "TARGET_QUESTION"), F.lit("Nội dung đoạn văn là gì?")).alias("target_question"),
     )
+
+
+class Tokenizer(Protocol):
+    """Splits a text into token ids and back; made in the Python worker."""
+
+    def encode(self, text: str) -> list[int]: ...
+
+    def decode(self, ids: list[int]) -> str: ...
+
+
+class WordTokenizer:
+    """Words with the space before them as tokens, numbered as they come; for where no vocabulary is at hand."""
+
+    def __init__(self):
+        self._ids: dict[str, int] = {}
+        self._words: list[str] = []
+
+    def encode(self, text: str) -> list[int]:
+        out = []
+        for word in re.findall(r"\s*\S+|\s+$", text):
+            if word not in self._ids:
+                self._ids[word] = len(self._words)
+                self._words.append(word)
+            out.append(self._ids[word])
+        return out
+
+    def decode(self, ids: list[int]) -> str:
+        return "".join(self._words[i] for i in ids)
+
+
+class VocabularyTokenizer:
+    """A public byte-level vocabulary file, read by the public library; the pattern is that of the vocabulary."""
+
+    def __init__(self, path: str, pattern: str = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""):
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+        self._encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        return self._encoding.encode_ordinary(text)
+
+    def decode(self, ids: list[int]) -> str:
+        return self._encoding.decode(ids)
+
+
+def token_windows(text: Column, make: Callable[[], Tokenizer], size: int = 150, overlap: int = 30) -> Column:
+    """Windows of ``size`` tokens, each after the first beginning ``overlap`` tokens before the end of the one before; the last ends with the text. Null and empty texts have none."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and less than the size")
+
+    @F.pandas_udf("array<string>")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = make()
+        for part in series:
+            out = []
+            for t in part:
+                ids = own.encode(t) if isinstance(t, str) else []
+                out.append([own.decode(ids[i : i + size]) for i in range(0, max(1, len(ids) - overlap), size - overlap)] if ids else [])
+            yield pd.Series(out)
+
+    ship(SparkSession.active())
+    return run(text)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from millrace.functions import text as X
 from millrace.operators import models
+from millrace.plans.session import materialize, scratch_folder, ship
 
 
 def term_weights(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -28,13 +32,13 @@ def vocabulary(texts: DataFrame, text_col: str, limit: int = 100_000) -> DataFra
 def merge_vocabulary(old: DataFrame, new: DataFrame) -> DataFrame:
     """``token, idx``: old numbers stay, unknown tokens get the next ones in the order of tokens.
 
-    Numbers are given per range partition with offsets, so no single task sorts all new tokens.
+    Numbers are given within beginnings of three characters with offsets, so no single task sorts all new tokens.
     """
     fresh = new.select("token").filter("token is not null").distinct().join(old, "token", "left_anti")
-    ordered = fresh.withColumn("part", F.substring("token", 1, 1))
+    ordered = fresh.withColumn("part", F.substring("token", 1, 3))
     within = W.partitionBy("part").orderBy("token")
     counts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    # one row for each first character
+    # one row for each beginning of three characters
     offsets = counts.select("part", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))).alias("before"))
     top = old.agg(F.coalesce(F.max("idx"), F.lit(-1)).alias("top"))
     numbered = ordered.withColumn("k", F.row_number().over(within)).join(offsets, "part").join(F.broadcast(top))
@@ -47,9 +51,17 @@ def top(scored: DataFrame, by: list[str], n: int, tie: list[str], score: str = "
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
+#: Terms of queries that are broadcast at most.
+TERMS = 200_000
+
+
 def sparse_search(queries: DataFrame, postings: DataFrame, keys: list[str], n: int = 20, by: list[str] | None = None) -> DataFrame:
-    """``query_id, keys, score, rank``: dot products of term weights; ``queries`` has ``query_id, token, w``."""
-    pairs = postings.withColumnRenamed("w", "dw").join(queries.withColumnRenamed("w", "qw"), "token")
+    """``query_id, keys, score, rank``: dot products of term weights; ``queries`` has ``query_id, token, w``.
+
+    A token that most passages have would be one task of a shuffle; queries of up to ``TERMS`` terms come to the postings instead, which stay where they are.
+    """
+    terms = materialize(queries.withColumnRenamed("w", "qw"), "terms")
+    pairs = postings.withColumnRenamed("w", "dw").join(F.broadcast(terms) if terms.count() <= TERMS else terms, "token")
     scored = pairs.groupBy("query_id", *keys).agg(F.round(F.sum(F.round(F.col("qw") * F.col("dw"), 9)), 6).alias("score"))
     return top(scored, ["query_id", *(by or [])], n, keys)
 
@@ -79,15 +91,18 @@ def dense_search(queries: DataFrame, corpus: DataFrame, id_col: str, vector_col:
     Both sides are packed into blocks; a pair of blocks is one matrix product that keeps only the best
     ``n`` of each query, so what is shuffled is ``n`` rows for each query and corpus block. Ids are strings.
     """
-    q = _packed(queries, query_col or id_col, vector_col, "q")
-    c = _packed(corpus, id_col, vector_col, "c", group_col)
+    return _near(_packed(queries, query_col or id_col, vector_col, "q"), _packed(corpus, id_col, vector_col, "c", group_col), n)
+
+
+def _near(q: DataFrame, c: DataFrame, n: int) -> DataFrame:
+    """The search of ``dense_search`` over vectors that are packed already."""
+    ship(q.sparkSession)
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, r in batch.iterrows():
-                qi, ci = np.asarray(r["q_ids"], dtype=object), np.asarray(r["c_ids"], dtype=object)
-                qm = np.frombuffer(r["q_matrix"]).reshape(len(qi), -1)
-                cm = np.frombuffer(r["c_matrix"]).reshape(len(ci), -1)
+            for group, q_ids, q_matrix, c_ids, c_matrix in zip(batch["c_group"], batch["q_ids"], batch["q_matrix"], batch["c_ids"], batch["c_matrix"], strict=True):
+                qi, ci = np.asarray(q_ids, dtype=object), np.asarray(c_ids, dtype=object)
+                qm, cm = np.frombuffer(q_matrix).reshape(len(qi), -1), np.frombuffer(c_matrix).reshape(len(ci), -1)
                 unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
                 s = np.round(unit(qm) @ unit(cm).T, 6)
                 s[qi[:, None] == ci[None, :]] = -2
@@ -95,7 +110,7 @@ def dense_search(queries: DataFrame, corpus: DataFrame, id_col: str, vector_col:
                 edge = min(n, s.shape[1]) - 1
                 least = -np.partition(-s, edge, axis=1)[:, edge]
                 a, b = np.nonzero((s >= least[:, None]) & (s > -2))
-                yield pd.DataFrame({"query_id": qi[a], "group": r["c_group"], "id": ci[b], "score": s[a, b]})
+                yield pd.DataFrame({"query_id": qi[a], "group": group, "id": ci[b], "score": s[a, b]})
 
     # a stated set of queries against all rows, in blocks
     pairs = c.join(q, how="cross").mapInPandas(multiply, "query_id string, group string, id string, score double")
@@ -114,31 +129,82 @@ def rerank(candidates: DataFrame, query_col: str, text_col: str, keys: list[str]
     return top(scored, ["query_id"], n, keys)
 
 
+@dataclass(frozen=True)
+class Index:
+    """The written tables of a passage store: ``passages``, their ``postings`` in the order of tokens, their ``vectors`` packed in blocks of a collection."""
+
+    path: str
+
+    def table(self, spark: SparkSession, name: str) -> DataFrame:
+        """One of the tables."""
+        return spark.read.parquet(f"{self.path}/{name}")
+
+
+_KEYS = ["collection", "passage_id"]
+
+
+def build_index(passages: DataFrame, path: str, embedder: models.Embedder | None = None) -> Index:
+    """Tokenise and embed ``passages`` (``collection, passage_id, text``, each once) and write what a search reads. Ids of passages are strings."""
+    return append_to_index(Index(path), passages, embedder)
+
+
+def append_to_index(index: Index, passages: DataFrame, embedder: models.Embedder | None = None) -> Index:
+    """Add the passages that an index lacks; what it has stays as it is, so appending again changes nothing."""
+    spark = passages.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{index.path}/passages")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        passages = passages.join(index.table(spark, "passages").select(*_KEYS), _KEYS, "left_anti")
+    new = materialize(passages.select(*_KEYS, "text"), "new")
+    write = lambda rows, name: rows.write.mode("append").option("compression", "zstd").parquet(f"{index.path}/{name}")
+    # within a file tokens are in order, so a search skips the row groups without its tokens
+    write(term_weights(new, _KEYS, "text").sortWithinPartitions("token"), "postings")
+    vectors = new.select(*_KEYS, models.embed(F.col("text"), embedder or models.HashEmbedder()).alias("v"))
+    ship(spark)
+    write(_packed(vectors, "passage_id", "v", "c", "collection"), "vectors")
+    # last, since this table says what the index has
+    write(new, "passages")
+    return index
+
+
+def index_of(rows: DataFrame, passages: Callable[[], DataFrame]) -> Index:
+    """The index of the files that ``rows`` reads, built on first use in an application and again when a file has changed."""
+    spark = rows.sparkSession
+    fs = lambda p: p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    stamps = [(f, (st := fs(spark._jvm.org.apache.hadoop.fs.Path(f))).getLen(), st.getModificationTime()) for f in sorted(rows.inputFiles())]
+    key = hashlib.sha256(repr((stamps, rows.columns)).encode()).hexdigest()[:24]
+    known = spark.sparkContext.__dict__.setdefault("_millrace_indexes", {})
+    if key not in known:
+        known[key] = build_index(passages(), f"{scratch_folder(spark)}/index-{key}-{uuid.uuid4().hex}")
+    return known[key]
+
+
 def retrieve(questions: DataFrame, passages: DataFrame, variations: int = 3, prefetch: int = 20, fused: int = 20, kept: int = 5) -> DataFrame:
+    """``retrieve_from`` an index of ``passages`` that is only built for these questions."""
+    index = build_index(passages, f"{scratch_folder(passages.sparkSession)}/index-{uuid.uuid4().hex}")
+    return retrieve_from(index, questions, variations, prefetch, fused, kept)
+
+
+def retrieve_from(index: Index, questions: DataFrame, variations: int = 3, prefetch: int = 20, fused: int = 20, kept: int = 5) -> DataFrame:
     """Federated hybrid retrieval in one plan.
 
-    ``questions``: ``query_id, question, response`` (a model's variations or null). ``passages``: ``collection,
-    passage_id, text``. Each variation gives a dense list and all texts together one sparse list for each
-    collection; the lists are fused for each collection, the fused passages of all collections re-ranked. Ids of
-    passages are strings.
+    ``questions``: ``query_id, question, response`` (a model's variations or null). Each variation gives a dense list and all texts together one sparse list for each
+    collection; the lists are fused for each collection, the fused passages of all collections re-ranked.
     """
+    spark = questions.sparkSession
+    passages, postings, vectors = (index.table(spark, name) for name in ("passages", "postings", "vectors"))
     asked = questions.select("query_id", "question", models.expansions(F.col("question"), F.col("response"), variations).alias("texts"))
-    keys = ["collection", "passage_id"]
-    postings = term_weights(passages, keys, "text")
     # the question stands among its variations, so it counts twice in the term weights
     terms = term_weights(asked.select("query_id", F.explode(F.concat(F.array("question"), F.col("texts"))).alias("text")), ["query_id"], "text")
-    sparse = sparse_search(terms, postings, keys, prefetch, ["collection"])
-    embedder = models.HashEmbedder()
+    sparse = sparse_search(terms, postings, _KEYS, prefetch, ["collection"])
     q = asked.select("query_id", F.posexplode("texts").alias("variation", "text")).select(
-        F.concat_ws("\u0001", "query_id", "variation").alias("qv"), models.embed(F.col("text"), embedder).alias("v")
+        F.concat_ws("\u0001", "query_id", "variation").alias("qv"), models.embed(F.col("text"), models.HashEmbedder()).alias("v")
     )
-    p = passages.select(*keys, models.embed(F.col("text"), embedder).alias("v"))
-    near = dense_search(q, p, "passage_id", "v", prefetch, "qv", "collection")
+    near = _near(_packed(q, "qv", "v", "q"), vectors, prefetch)
     dense = near.select(F.substring_index("query_id", "\u0001", 1).cast(questions.schema["query_id"].dataType).alias("query_id"), F.col("group").alias("collection"), F.col("id").alias("passage_id"), "rank")
-    lists = sparse.select("query_id", *keys, "rank").unionByName(dense)
-    best = fuse(lists, ["query_id", "collection"], ["passage_id"], fused).select("query_id", *keys)
-    full = best.join(passages, keys).join(questions.select("query_id", "question"), "query_id")
-    return rerank(full, "question", "text", keys, kept)
+    lists = sparse.select("query_id", *_KEYS, "rank").unionByName(dense)
+    best = fuse(lists, ["query_id", "collection"], ["passage_id"], fused).select("query_id", *_KEYS)
+    full = best.join(passages, _KEYS).join(questions.select("query_id", "question"), "query_id")
+    return rerank(full, "question", "text", _KEYS, kept)
 
 
 def with_parents(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
@@ -167,3 +233,21 @@ def with_displayed_parents(shown: DataFrame, parents: DataFrame, keys: list[str]
     found = keyed.filter(some).join(of, "_k", "left").groupBy(*keys, "source", "text").agg(F.min(F.when(begins, F.col("_content"))).alias("_parent"))
     rest = keyed.filter(~some).select(*keys, "source", "text", F.lit(None).cast("string").alias("_parent"))
     return found.unionByName(rest).withColumn("content", F.coalesce("_parent", "text")).drop("_parent")
+
+
+def near_names(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """``query, name``: the names near each query (``text.is_near_name``); ``queries`` has ``query``, ``names`` has ``name``, each once.
+
+    Where a word contains another it also contains its first three letters, and a stem of four begins with three. So a query meets the names
+    that have the first letters of one of its words anywhere, and those of which it has the first letters of a word; blank ones meet all.
+    """
+    words = lambda c: X.words(X.plain_words(F.col(c)))
+    begins = lambda ws: F.transform(ws, lambda w: F.left(w, F.lit(3)))
+    parts = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(w, i, n))))
+    inside = lambda ws: F.flatten(F.transform(ws, parts))
+    key = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(kind), v))
+    blank = lambda kind, ws: F.when(F.size(ws) == 0, F.array(F.lit(kind))).otherwise(F.array().cast("array<string>"))
+    q, n = words("query"), words("name")
+    asked = queries.select("query", F.explode(F.array_distinct(F.concat(key("a", begins(q)), key("b", inside(q)), blank("c", q), F.array(F.lit("d"))))).alias("k"))
+    known = names.select("name", F.explode(F.array_distinct(F.concat(key("a", inside(n)), key("b", begins(n)), F.array(F.lit("c")), blank("d", n)))).alias("k"))
+    return asked.join(known, "k").select("query", "name").distinct().filter(X.is_near_name(F.col("query"), F.col("name")))

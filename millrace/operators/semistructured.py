@@ -61,3 +61,32 @@ def grouped_offers(rows: DataFrame, by: str, price: str, order: list[str], kept:
     return rows.groupBy(by).agg(
         F.array_sort(F.collect_list(offer)).alias("offers"), F.min(offer).alias("cheapest"), F.min(price).alias("low"), F.max(price).alias("high"), F.count(F.lit(1)).alias("n_offers")
     )
+
+
+def answer_offers(messages: DataFrame) -> DataFrame:
+    """``id, name, entry_no, price, unit`` of the offers in ``price_data``; what isn't JSON and entries without a positive price are left out."""
+    rows = messages.filter("price_data is not null").select("id", "price_data").distinct().withColumn("v", F.try_parse_json("price_data"))
+    spread = rows.select("id", F.try_variant_get("v", "$.drug_name", "string").alias("name"), F.posexplode(F.try_variant_get("v", "$.prices", "array<variant>")).alias("entry_no", "p"))
+    return spread.select("id", "name", "entry_no", F.try_variant_get("p", "$.price_raw", "bigint").alias("price"), F.try_variant_get("p", "$.unit", "string").alias("unit")).filter("price > 0")
+
+
+def summarised_offers(offers: DataFrame, by: str, price: str, seller: str) -> DataFrame:
+    """``by, n_offers, low, high, cheapest_supplier``: a name may have any number of offers, so they are summarised and not listed."""
+    cheapest = F.min(F.struct(F.col(price).alias("p"), F.col(seller).alias("s"))).alias("c")
+    return offers.groupBy(by).agg(F.count(F.lit(1)).alias("n_offers"), F.min(price).alias("low"), F.max(price).alias("high"), cheapest).select(by, "n_offers", "low", "high", F.col("c.s").alias("cheapest_supplier"))
+
+
+def regrouped(offers: DataFrame, by: list[str]) -> DataFrame:
+    """``by, name, options, low``: flat offers (``by, name, price_raw, price``) grouped again for display, cheapest first.
+
+    An unnamed offer is ``—``; a price that is only written is read from its digits, without one it is 0.
+    """
+    written = F.regexp_extract(F.regexp_replace(F.coalesce("price", F.lit("")), r"[\s.]", ""), r"^\d+", 0)
+    raw = F.coalesce("price_raw", F.try_to_number(F.nullif(written, F.lit("")), F.lit("9" * 18)).cast("bigint"), F.lit(0))
+    named = offers.select(*by, F.coalesce(F.nullif("name", F.lit("")), F.lit("—")).alias("name"), raw.alias("_raw"))
+    return named.groupBy(*by, "name").agg(F.array_sort(F.collect_list("_raw")).alias("options"), F.min("_raw").alias("low"))
+
+
+def vnd(price: Column) -> Column:
+    """A price as it is displayed: points between thousands and the currency."""
+    return F.concat(F.replace(F.format_number(price, 0), F.lit(","), F.lit(".")), F.lit(" VND"))

@@ -77,3 +77,56 @@ def user_name(email: Column) -> Column:
 def may_register(email: Column, password: Column) -> Column:
     """Whether a login name and password are long enough."""
     return F.coalesce((F.length(user_name(email)) >= 3) & (F.length(password) >= 6), F.lit(False))
+
+
+def newest_users(users: DataFrame) -> DataFrame:
+    """``id, created_at`` of every user, newest first, those without a time last."""
+    return users.select("id", "created_at").distinct().orderBy(F.desc_nulls_last("created_at"), "id")
+
+
+def newest_feedback(feedback: DataFrame, rating: str, n: int = 100) -> DataFrame:
+    """``feedback_id, timestamp`` of the newest ``n`` records of a rating."""
+    rated = feedback.filter(F.col("rating") == rating).select("feedback_id", "timestamp").distinct()
+    return rated.orderBy(F.desc_nulls_last("timestamp"), F.desc("feedback_id")).limit(n)
+
+
+def spoken_counts(messages: DataFrame) -> DataFrame:
+    """``role, n``: messages of the two speakers that say something."""
+    said = messages.filter(F.col("role").isin("user", "assistant") & (F.coalesce("content", F.lit("")) != ""))
+    return said.groupBy("role").agg(F.countDistinct("id").alias("n"))
+
+
+def sessions_per_user(sessions: DataFrame) -> DataFrame:
+    """``user_id, n``; sessions without a user are a group."""
+    return sessions.groupBy("user_id").agg(F.countDistinct("id").alias("n"))
+
+
+def without_collection(rows: DataFrame, collection: str | None = None) -> DataFrame:
+    """Rows of other collections; without a name the whole store is emptied, its columns stay."""
+    return rows.filter(~F.col("collection").eqNullSafe(F.lit(collection))) if collection is not None else rows.limit(0)
+
+
+def turns_of(asked: DataFrame) -> DataFrame:
+    """The two messages of each answered question: ``id, session_id, user_id, role, content, created_at, sources, price_data``.
+
+    ``asked`` has ``id, session_id, user_id, question, answer, created_at, sources, price_data``; the question has neither sources nor prices.
+    """
+    kinds = asked.schema
+    none = lambda c: F.lit(None).cast(kinds[c].dataType)
+    turn = lambda role, content, *more: F.struct(F.concat_ws("-", "id", F.lit(role)).alias("id"), F.lit(role).alias("role"), F.col(content).alias("content"), *[m.alias(n) for n, m in zip(("sources", "price_data"), more, strict=True)])
+    both = F.array(turn("user", "question", none("sources"), none("price_data")), turn("assistant", "answer", F.col("sources"), F.col("price_data")))
+    return asked.select("session_id", "user_id", "created_at", F.explode(both).alias("t")).select("t.id", "session_id", "user_id", "t.role", "t.content", "created_at", "t.sources", "t.price_data")
+
+
+def persisted(sessions: DataFrame, messages: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions and messages after answered questions: sessions are added or touched, both turns are appended.
+
+    A question without a session opens one of its own, named after its id and titled by its text.
+    """
+    placed = asked.withColumn("session_id", F.coalesce(F.nullif("session_id", F.lit("")), F.concat(F.lit("new-"), F.col("id"))))
+    first = F.min_by("question", F.struct("created_at", "id"))
+    touched = placed.groupBy(F.col("session_id").alias("id")).agg(
+        F.min("user_id").alias("user_id"), session_title(first).alias("title"), F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at")
+    )
+    new = turns_of(placed)
+    return upsert_sessions(sessions, touched), messages.select(*new.columns).unionByName(new)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import analytics, chunking, context, models, routing, search, semistructured, store
+from millrace.plans.settings import Settings
+from millrace.sources import files
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,8 +115,7 @@ def _names(spark, d):
 )
 def _near(spark, d):
     names = table(spark, d, "part").select("p_name").distinct()
-    # the few distinct names of a catalogue against each other is the statement of the problem
-    return names.select(F.lower("p_name").alias("query")).distinct().join(names.select(F.col("p_name").alias("name")), X.is_near_name(F.col("query"), F.col("name")))
+    return search.near_names(names.select(F.lower("p_name").alias("query")).distinct(), names.select(F.col("p_name").alias("name")))
 
 
 @_query(
@@ -140,7 +142,12 @@ def _stats(spark, d):
     return s.select("doc_id", F.col("n_words").cast("bigint"), F.col("n_sentences").cast("bigint"), F.round("words_per_sentence", 6).alias("words_per_sentence"))
 
 
-@_query("C01_strategies")
+_PARAGRAPHS = r"list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n[\s\x0b]*\n+'), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '')"
+
+
+@_query("C01_strategies", _STATS.replace("len(list_filter(string_split(flat, ' ')", f"(SELECT len({_PARAGRAPHS}) FROM documents d WHERE d.doc_id = s.doc_id) AS n_paragraphs, len(list_filter(string_split(flat, ' ')", 1)
+    + """SELECT doc_id, n_paragraphs, n_sentences, n_words, CASE WHEN n_paragraphs >= 10 AND n_words / greatest(1, n_paragraphs) BETWEEN 40 AND 200 THEN 'paragraph'
+      WHEN n_sentences >= 20 AND n_words / greatest(1, n_sentences) BETWEEN 10 AND 60 THEN 'sentence' ELSE 'semantic_tokens' END AS strategy FROM c""")
 def _strategies(spark, d):
     return chunking.strategy(chunking.statistics(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "n_paragraphs", "n_sentences", "n_words", "strategy")
 
@@ -172,7 +179,12 @@ _chunks("C08_sentence_children", "sentence", False)
 _chunks("C09_word_children", "word", False)
 
 
-@_query("C02_C07_paragraphs")
+@_query(
+    "C02_C07_paragraphs",
+    f"""WITH u AS (SELECT doc_id, {_PARAGRAPHS} AS u FROM documents)
+    SELECT doc_id, 'parent' AS level, CAST(s / 4 AS INTEGER) AS idx, array_to_string(u[s + 1 : s + 4], chr(10) || chr(10)) AS text FROM (SELECT doc_id, u, unnest(range(0, len(u), 4)) AS s FROM u)
+    UNION ALL SELECT doc_id, 'child', CAST(s AS INTEGER), u[s + 1] FROM (SELECT doc_id, u, unnest(range(0, len(u))) AS s FROM u)""",
+)
 def _paragraph_chunks(spark, d):
     docs = table(spark, d, "documents")
     parents = docs.select("doc_id", F.lit("parent").alias("level"), F.posexplode(chunking.parent_texts(F.col("text"), "paragraph")).alias("idx", "text"))
@@ -203,7 +215,7 @@ def _token_lists(spark, d):
     return table(spark, d, "feedback").filter("question is not null").select("feedback_id", X.tokens(F.col("question")).alias("tokens")).distinct()
 
 
-@_query("A10_vocabulary", f"SELECT token, count(*) AS n FROM (SELECT unnest({_tokens('text')}) AS token FROM documents) GROUP BY 1 ORDER BY n DESC, token LIMIT 500")
+@_query("A10_vocabulary", f"SELECT token, count(*) AS n FROM (SELECT unnest({_tokens('text')}) AS token FROM documents) GROUP BY 1 ORDER BY n DESC, token LIMIT 100000")
 def _vocabulary(spark, d):
     return search.vocabulary(table(spark, d, "documents"), "text")
 
@@ -226,15 +238,13 @@ def _postings(spark, d):
     "U05_vocabulary_merge",
     rf"""WITH old AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT unnest({_tokens('title')}) AS token FROM chat_sessions)),
     fresh AS (SELECT token FROM (SELECT DISTINCT unnest({_tokens('question')}) AS token FROM feedback) WHERE token NOT IN (SELECT token FROM old))
-    SELECT count(*) AS n_tokens, count(DISTINCT idx) AS n_numbers, min(idx) AS low, max(idx) AS high FROM
-    (SELECT * FROM old UNION ALL SELECT token, CAST((SELECT max(idx) FROM old) + row_number() OVER (ORDER BY token) AS INTEGER) FROM fresh)""",
+    SELECT * FROM old UNION ALL SELECT token, CAST((SELECT max(idx) FROM old) + row_number() OVER (ORDER BY token) AS INTEGER) FROM fresh""",
 )
 def _merged_vocabulary(spark, d):
     none = spark.createDataFrame([], "token string, idx int")
     terms = lambda name, col: table(spark, d, name).select(F.explode(X.tokens(F.col(col))).alias("token"))
     old = search.merge_vocabulary(none, terms("chat_sessions", "title"))
-    both = search.merge_vocabulary(old, terms("feedback", "question"))
-    return both.agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("idx").alias("n_numbers"), F.min("idx").alias("low"), F.max("idx").alias("high"))
+    return search.merge_vocabulary(old, terms("feedback", "question"))
 
 
 def _query_terms(spark, d):
@@ -290,20 +300,42 @@ def _asked(spark, d):
     return table(spark, d, "feedback").filter("feedback_id % 20 = 0 and question is not null").groupBy(F.col("feedback_id").alias("query_id")).agg(F.min("question").alias("question")).withColumn("response", F.lit(None).cast("string"))
 
 
-@_query("E10_federated_retrieval")
+_VECTOR = """(SELECT k, list(coalesce(s, 0)::DOUBLE ORDER BY b) AS v FROM (SELECT DISTINCT k FROM {0}) CROSS JOIN (SELECT unnest(range(64)) AS b)
+  LEFT JOIN (SELECT k, h % 64 AS b, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS s FROM (SELECT k, ('0x' || left(md5(token), 8))::BIGINT AS h FROM {0} WHERE token IS NOT NULL) GROUP BY 1, 2) USING (k, b) GROUP BY k)"""
+
+
+@_query(
+    "E10_federated_retrieval",
+    f"""WITH q AS (SELECT feedback_id AS k, min(question) AS text FROM feedback WHERE feedback_id % 20 = 0 AND question IS NOT NULL GROUP BY 1),
+    p AS (SELECT {{'c': collection, 'i': parent_id}} AS k, max(content) AS text FROM parents WHERE content IS NOT NULL GROUP BY 1),
+    qa AS (SELECT k, unnest(CASE WHEN len(t) > 0 THEN t ELSE [NULL] END) AS token FROM (SELECT k, {_tokens('text')} AS t FROM q)),
+    pa AS (SELECT k, unnest(CASE WHEN len(t) > 0 THEN t ELSE [NULL] END) AS token FROM (SELECT k, {_tokens('text')} AS t FROM p)),
+    qw AS (SELECT k, token, round(1 + ln(2 * count(*)), 6) AS w FROM qa WHERE token IS NOT NULL GROUP BY 1, 2), pw AS (SELECT k, token, round(1 + ln(count(*)), 6) AS w FROM pa WHERE token IS NOT NULL GROUP BY 1, 2),
+    s AS (SELECT qw.k AS q, pw.k AS p, round(sum(round(qw.w * pw.w, 9)), 6) AS score FROM qw JOIN pw USING (token) GROUP BY 1, 2),
+    qv AS MATERIALIZED {_VECTOR.format('qa')}, pv AS MATERIALIZED {_VECTOR.format('pa')},
+    v AS (SELECT qv.k AS q, pv.k AS p, round(list_dot_product(qv.v, pv.v) / greatest(sqrt(list_dot_product(qv.v, qv.v)), 1e-12) / greatest(sqrt(list_dot_product(pv.v, pv.v)), 1e-12), 6) AS score FROM qv, pv),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q, p.c ORDER BY score DESC, p.i) AS rank FROM s), d AS (SELECT *, row_number() OVER (PARTITION BY q, p.c ORDER BY score DESC, p.i) AS rank FROM v),
+    f AS (SELECT q, p, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT q, p, rank FROM r WHERE rank <= 20 UNION ALL SELECT q, p, rank FROM d WHERE rank <= 20) GROUP BY 1, 2),
+    b AS (SELECT q, p FROM f QUALIFY row_number() OVER (PARTITION BY q, p.c ORDER BY score DESC, p.i) <= 20),
+    z AS (SELECT b.q, b.p, coalesce(round(len(list_intersect(list_distinct({_tokens('q.text')}), list_distinct({_tokens('p.text')}))) / nullif(len(list_distinct({_tokens('q.text')})), 0), 6), 0) AS score
+      FROM b JOIN q ON q.k = b.q JOIN p ON p.k = b.p)
+    SELECT * FROM (SELECT q AS query_id, p.c AS collection, p.i AS passage_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, p.c, p.i) AS rank FROM z) WHERE rank <= 5""",
+)
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Hybrid retrieval of every twentieth question over the passages of all collections."""
-    passages = store.latest(table(spark, d, "parents").filter("content is not null").select("collection", F.col("parent_id").alias("passage_id"), F.col("content").alias("text")), ["collection", "passage_id"], ["text"])
-    return search.retrieve(_asked(spark, d), passages).select("query_id", "collection", "passage_id", "score", "rank")
+    """Hybrid retrieval of every twentieth question over the index of the passages of all collections."""
+    rows = table(spark, d, "parents").filter("content is not null").select("collection", F.col("parent_id").alias("passage_id"), F.col("content").alias("text"))
+    index = search.index_of(rows, lambda: store.latest(rows, ["collection", "passage_id"], ["text"]))
+    return search.retrieve_from(index, _asked(spark, d)).select("query_id", "collection", "passage_id", "score", "rank")
 
 
-@_query("E12_J01_parent_context", """WITH c AS (SELECT DISTINCT m.id, s.rank, s.source, s.content FROM (SELECT id, unnest(sources) AS s FROM chat_messages)  m),
-  p AS (SELECT source, content AS full_text, parent_id FROM parents GROUP BY ALL),
-  h AS (SELECT left(sha256(source || left(full_text, 60)), 16) AS k, min(full_text) AS parent_content FROM p WHERE source IS NOT NULL AND full_text IS NOT NULL GROUP BY 1)
-  SELECT id, rank, length(coalesce(parent_content, c.content)) AS n FROM c LEFT JOIN h ON left(sha256(c.source || left(c.content, 60)), 16) = h.k""")
+@_query("E12_J01_parent_context", rf"""WITH c AS (SELECT DISTINCT m.id, s.rank, s.source, s.content AS text FROM (SELECT id, unnest(sources) AS s FROM chat_messages) m),
+  t AS (SELECT *, regexp_replace(text, '{search._DEBRIS}', '') AS plain FROM c),
+  p AS (SELECT DISTINCT source, content FROM parents WHERE source IS NOT NULL AND content IS NOT NULL)
+  SELECT t.id, t.rank, coalesce(min(p.content), t.text) AS content FROM t LEFT JOIN p ON p.source = t.source AND left(p.content, 60) = left(t.text, 60)
+    AND (starts_with(p.content, t.text) OR (plain <> '' AND starts_with(p.content, plain))) GROUP BY t.id, t.rank, t.source, t.text""")
 def _parent_context(spark, d):
     shown = table(spark, d, "chat_messages").select("id", F.explode("sources").alias("s")).select("id", "s.rank", "s.source", F.col("s.content").alias("text")).distinct()
-    return search.with_displayed_parents(shown, table(spark, d, "parents"), ["id", "rank"]).select("id", "rank", F.length("content").alias("n"))
+    return search.with_displayed_parents(shown, table(spark, d, "parents"), ["id", "rank"]).select("id", "rank", "content")
 
 
 @_query("E09_K07_rerank", _SPARSE + rf""", c AS (SELECT r.query_id, r.parent_id, list_distinct({_tokens('f.question')}) AS q, list_distinct({_tokens('p2.content')}) AS t
@@ -317,13 +349,16 @@ def _rerank(spark, d):
     return search.rerank(found.join(asked, "query_id").join(texts, "parent_id"), "question", "content", ["parent_id"]).select("query_id", "parent_id", "score", "rank")
 
 
-@_query("E02_embeddings")
+@_query("E02_embeddings", f"WITH p AS (SELECT DISTINCT parent_id, content FROM parents WHERE content IS NOT NULL), a AS (SELECT parent_id AS k, unnest(CASE WHEN len(t) > 0 THEN t ELSE [NULL] END) AS token FROM (SELECT parent_id, {_tokens('content')} AS t FROM p)) SELECT k AS parent_id, v AS dense FROM {_VECTOR.format('a')}")
 def _embeddings(spark, d):
     return _passages(spark, d).filter("content is not null").select("parent_id", models.embed(F.col("content"), models.HashEmbedder()).alias("dense"))
 
 
-@_query("E04_expansions", r"""SELECT DISTINCT feedback_id, [question] || list_slice(list_filter([regexp_replace(question, '^[\d.)\-*]+\s*', '')], lambda x: x <> ''), 1, 3) AS texts
-    FROM feedback WHERE question IS NOT NULL AND NOT contains(question, chr(10)) AND trim(question) = question AND question <> ''""")
+_LINES = f"list_slice(list_filter(list_transform(string_split(coalesce(question, ''), chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), 1, 5)"
+
+
+@_query("E04_expansions", rf"""WITH l AS (SELECT feedback_id, question, list_filter(list_transform({_LINES}, lambda x: {_STRIP.format("regexp_replace(x, '^[0-9.)*-]+[' || chr(9) || '-' || chr(13) || ' ]*', '')")}), lambda x: x <> '') AS l FROM feedback)
+    SELECT DISTINCT feedback_id, [question] || list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 3) AS texts FROM l""")
 def _expansions(spark, d):
     return table(spark, d, "feedback").select("feedback_id", models.expansions(F.col("question"), F.col("question")).alias("texts")).distinct()
 
@@ -339,12 +374,30 @@ def _legal(spark, d):
     return table(spark, d, "feedback").select("feedback_id", routing.matches(F.col("question"), routing.LEGAL).alias("legal")).distinct()
 
 
-@_query("X17_asked_names")
+def _asked_sql(question: str) -> str:
+    left = rf"regexp_replace(lower({_STRIP.format(question)}), '[?!.,;:]+', ' ', 'g')"
+    for phrase in sorted(routing.PHRASES, key=len, reverse=True):
+        left = f"replace({left}, '{phrase}', ' ')"
+    return rf"regexp_replace(regexp_replace({left}, '[\s\p{{Z}}\x1c-\x1f\x85]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+_PRICE_SQL = routing.PRICE.replace("\\s", r"[\s\p{Z}]").replace("'", "''")
+
+
+@_query(
+    "X17_asked_names",
+    rf"""WITH f AS (SELECT DISTINCT feedback_id, question, coalesce(regexp_matches(question, '{_LEGAL_SQL}', 'i'), false) AS legal, coalesce(regexp_matches({_STRIP.format('question')}, '{_PRICE_SQL}', 'i'), false) AS price, {_asked_sql('question')} AS n FROM feedback)
+    SELECT feedback_id, CASE WHEN legal THEN ['legal'] ELSE ['drug_info'] END AS collections_to_search, price, nullif(CASE WHEN price THEN CASE WHEN length(n) < 2 THEN {_STRIP.format('question')} ELSE n END END, '') AS price_name FROM f""",
+)
 def _asked_names(spark, d):
     return table(spark, d, "feedback").select("feedback_id", routing.by_keywords(F.col("question")).alias("r")).select("feedback_id", "r.*").distinct()
 
 
-@_query("X15_R01_model_routing")
+@_query(
+    "X15_R01_model_routing",
+    rf"""WITH m AS (SELECT DISTINCT id, content, length({_STRIP.format("coalesce(content, '')")}) > 0 AS asked FROM chat_messages WHERE role = 'user')
+    SELECT id, CASE WHEN asked THEN ['legal'] ELSE ['drug_info'] END AS collections_to_search, asked AND length(content) % 2 = 0 AS price, NULL::VARCHAR AS price_name FROM m""",
+)
 def _model_routing(spark, d):
     rows = table(spark, d, "chat_messages").filter("role = 'user'").select("id", "content").distinct()
     response = F.concat(F.lit('ok {"collections_to_search": ["legal", "x"], "price": "'), F.when(F.length("content") % 2 == 0, "false").otherwise(""), F.lit('", "price_name": null} end'))
@@ -373,13 +426,10 @@ def _props(spark, d):
     SELECT id, name, entry_no, CAST(json_extract(p, '$.price_raw') AS BIGINT) AS price, json_extract_string(p, '$.unit') AS unit FROM e WHERE CAST(json_extract(p, '$.price_raw') AS BIGINT) > 0""",
 )
 def _offers(spark, d):
-    data = F.try_parse_json("price_data")
-    rows = table(spark, d, "chat_messages").filter("price_data is not null").select("id", "price_data").distinct().withColumn("v", data)
-    spread = rows.select("id", F.try_variant_get("v", "$.drug_name", "string").alias("name"), F.posexplode(F.try_variant_get("v", "$.prices", "array<variant>")).alias("entry_no", "p"))
-    return spread.select("id", "name", "entry_no", F.try_variant_get("p", "$.price_raw", "bigint").alias("price"), F.try_variant_get("p", "$.unit", "string").alias("unit")).filter("price > 0")
+    return semistructured.answer_offers(table(spark, d, "chat_messages"))
 
 
-@_query("S14_page_offers")
+@_query("S14_page_offers", "SELECT DISTINCT id, 0 AS product_no, id AS name, 0 AS entry_no, CAST(length(price_data) AS BIGINT) AS price, 'box' AS unit FROM chat_messages WHERE price_data IS NOT NULL")
 def _page_offers(spark, d):
     rows = table(spark, d, "chat_messages").filter("price_data is not null").select("id", "price_data").distinct()
     page = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"products":[{"name":"'), F.col("id"), F.lit('","prices":[{"price":'), (F.length("price_data")).cast("string"), F.lit(',"unit":"box"}]}]}}}</script></html>'))
@@ -393,9 +443,7 @@ def _page_offers(spark, d):
 )
 def _grouped(spark, d):
     joined = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice").join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    offer = F.struct(F.col("l_extendedprice").alias("p"), F.col("l_suppkey").alias("s"))
-    # a name may have any number of offers, so they are summarised and not listed
-    return joined.groupBy("p_name").agg(F.count(F.lit(1)).alias("n_offers"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.min(offer).alias("c")).select("p_name", "n_offers", "low", "high", F.col("c.s").alias("cheapest_supplier"))
+    return semistructured.summarised_offers(joined, "p_name", "l_extendedprice", "l_suppkey")
 
 
 @_query(
@@ -411,7 +459,12 @@ def _message_offers(spark, d):
 
 # -- contexts ------------------------------------------------------------------------------------
 
-_M = "(SELECT DISTINCT id, session_id, seq, role, content, created_at FROM chat_messages WHERE session_id IS NOT NULL AND seq IS NOT NULL)"
+_SPEAKS = "trim(regexp_replace(lower(strip_accents(role)), '[^a-z]+', ' ', 'g'))"
+_TURN = f"CASE WHEN {_SPEAKS} IN {context.ASKS} THEN 0 WHEN {_SPEAKS} IN {context.ANSWERS} THEN 2 ELSE 1 END"
+_LAST = (1 << 63) - 1
+_M = f"""(SELECT DISTINCT id, session_id, seq, role, content, created_at, coalesce(seq, {_LAST}) AS place_seq, CASE WHEN seq IS NULL THEN coalesce(epoch_us(created_at), {_LAST}) END AS place_at,
+  CASE WHEN seq IS NULL THEN {_TURN} END AS turn FROM chat_messages WHERE session_id IS NOT NULL)"""
+_BACK = ", ".join(f"{c} DESC NULLS LAST" for c in ("place_seq", "place_at", "turn", "id"))
 
 
 def _messages(spark, d):
@@ -425,7 +478,7 @@ _ORDER = ["place_seq", "at", "turn", "id"]
 
 @_query(
     "W03_last_turns",
-    f"""SELECT session_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, id DESC) AS place FROM {_M})
+    f"""SELECT session_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {_BACK}) AS place FROM {_M})
     WHERE place <= 8 AND coalesce(content, '') <> '' AND role IN ('user', 'assistant')""",
 )
 def _last(spark, d):
@@ -435,7 +488,7 @@ def _last(spark, d):
 @_query(
     "W02_histories",
     f"""SELECT session_id, string_agg(CASE WHEN role = 'user' THEN 'Người dùng' ELSE 'Trợ lý' END || ': ' || left(content, 400), chr(10) ORDER BY place DESC) AS history
-    FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, id DESC) AS place FROM {_M})
+    FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {_BACK}) AS place FROM {_M})
     WHERE place <= 6 AND coalesce(content, '') <> '' AND role IN ('user', 'assistant') GROUP BY 1""",
 )
 def _histories(spark, d):
@@ -444,7 +497,7 @@ def _histories(spark, d):
 
 @_query(
     "J11_preceding_questions",
-    f"""SELECT id, session_id, question FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question
+    f"""SELECT id, session_id, question FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY place_seq, place_at NULLS FIRST, turn NULLS FIRST, id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question
     FROM {_M}) WHERE role = 'assistant'""",
 )
 def _preceding(spark, d):
@@ -469,11 +522,12 @@ def _blocks(spark, d):
 
 @_query(
     "A17_merged_sources",
-    f"""SELECT id, source, collection_name, list(content ORDER BY rank) AS contents, min_by(summary, rank) FILTER (WHERE coalesce(summary, '') <> '') AS summary, count(*) AS n
-    FROM {_CTX} WHERE content IS NOT NULL GROUP BY 1, 2, 3""",
+    f"""SELECT id, source, collection_name, contents, list_filter(p, lambda x, i: list_position(p, x) = i) AS pages, summary, n FROM
+    (SELECT id, source, collection_name, list(content ORDER BY rank) AS contents, coalesce(list(page ORDER BY rank) FILTER (WHERE page IS NOT NULL), []) AS p,
+      min_by(summary, rank) FILTER (WHERE coalesce(summary, '') <> '') AS summary, count(*) AS n FROM {_CTX} GROUP BY 1, 2, 3)""",
 )
 def _merged(spark, d):
-    return context.merged_sources(_contexts(spark, d).filter("content is not null"), ["id"]).select("id", "source", "collection_name", "contents", "summary", F.size("contents").cast("bigint").alias("n"))
+    return context.merged_sources(_contexts(spark, d), ["id"]).select("id", "source", "collection_name", "contents", "pages", "summary", F.size("contents").cast("bigint").alias("n"))
 
 
 @_query(
@@ -493,20 +547,20 @@ def _sessions(spark, d):
     return store.latest(table(spark, d, "chat_sessions").select("id", "user_id", "updated_at"), ["id", "user_id"], ["updated_at"])
 
 
-@_query("K02_ordered_messages", f"SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY created_at NULLS FIRST, seq, id) AS place FROM {_M}")
+@_query("K02_ordered_messages", f"SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY created_at NULLS FIRST, seq NULLS LAST, turn NULLS FIRST, id) AS place FROM {_M}")
 def _ordered(spark, d):
     order = [F.asc_nulls_first("created_at"), F.asc_nulls_last("seq"), F.asc("turn"), F.asc("id")]
     return context.places(_messages(spark, d), "session_id", order, F.date_trunc("hour", "created_at")).select("session_id", "id", "place")
 
 
-@_query("K03_newest_users", "SELECT DISTINCT id, created_at FROM users ORDER BY created_at DESC NULLS LAST, id LIMIT 50")
+@_query("K03_newest_users", "SELECT DISTINCT id, created_at FROM users")
 def _users(spark, d):
-    return table(spark, d, "users").select("id", "created_at").distinct().orderBy(F.desc_nulls_last("created_at"), "id")
+    return store.newest_users(table(spark, d, "users"))
 
 
 @_query("K04_newest_feedback", "SELECT DISTINCT feedback_id, timestamp FROM feedback WHERE rating = 'down' ORDER BY timestamp DESC NULLS LAST, feedback_id DESC LIMIT 100")
 def _newest(spark, d):
-    return table(spark, d, "feedback").filter("rating = 'down'").select("feedback_id", "timestamp").distinct().orderBy(F.desc_nulls_last("timestamp"), F.desc("feedback_id")).limit(100)
+    return store.newest_feedback(table(spark, d, "feedback"), "down")
 
 
 @_query("P04_stored_feedback", "SELECT DISTINCT feedback_id, left(question, 500) AS question, left(coalesce(comment, ''), 500) AS comment, coalesce(session_id, '') AS session_id FROM feedback WHERE rating IN ('up', 'down')")
@@ -516,12 +570,12 @@ def _stored(spark, d):
 
 @_query("P05_P07_spoken", "SELECT role, count(DISTINCT id) AS n FROM chat_messages WHERE role IN ('user', 'assistant') AND coalesce(content, '') <> '' GROUP BY 1")
 def _spoken(spark, d):
-    return table(spark, d, "chat_messages").filter("role in ('user', 'assistant') and coalesce(content, '') != ''").groupBy("role").agg(F.countDistinct("id").alias("n"))
+    return store.spoken_counts(table(spark, d, "chat_messages"))
 
 
 @_query("P06_user_sessions", "SELECT user_id, count(DISTINCT id) AS n FROM chat_sessions GROUP BY 1")
 def _user_sessions(spark, d):
-    return table(spark, d, "chat_sessions").groupBy("user_id").agg(F.countDistinct("id").alias("n"))
+    return store.sessions_per_user(table(spark, d, "chat_sessions"))
 
 
 @_query("P15_user_names", f"SELECT DISTINCT id, lower({_STRIP.format('email')}) AS email, coalesce(length({_STRIP.format('email')}) >= 3 AND length(password_hash) >= 6, false) AS ok FROM users")
@@ -534,6 +588,12 @@ def _unknown(spark, d):
     return table(spark, d, "chat_sessions").filter("user_id is not null").join(table(spark, d, "users").select(F.col("id").alias("user_id")), "user_id", "left_anti").select("id").distinct()
 
 
+@_query("J08_unknown_sessions", "SELECT DISTINCT id FROM chat_messages m WHERE session_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chat_sessions s WHERE s.id = m.session_id)")
+def _unknown_sessions(spark, d):
+    rows = table(spark, d, "chat_messages").filter("session_id is not null").select("id", "session_id")
+    return rows.join(table(spark, d, "chat_sessions").select(F.col("id").alias("session_id")), "session_id", "left_anti").select("id").distinct()
+
+
 @_query("J09_cascade", "WITH gone AS (SELECT DISTINCT id FROM users WHERE last_login_at IS NULL) SELECT DISTINCT id FROM chat_messages WHERE user_id IS NULL OR user_id NOT IN (SELECT id FROM gone WHERE id IS NOT NULL)")
 def _cascade(spark, d):
     return store.without(table(spark, d, "chat_messages").select("id", "user_id"), table(spark, d, "users").filter("last_login_at is null and id is not null"), "user_id").select("id").distinct()
@@ -578,7 +638,7 @@ def _merged_parents(spark, d):
 
 @_query("S16_collections", "SELECT collection, count(DISTINCT source) AS sources, count(*) AS rows FROM documents GROUP BY 1")
 def _collections(spark, d):
-    return table(spark, d, "documents").groupBy("collection").agg(F.countDistinct("source").alias("sources"), F.count(F.lit(1)).alias("rows"))
+    return analytics.collections(table(spark, d, "documents"))
 
 
 @_query("S15_source_scroll", "SELECT doc_id, page FROM documents WHERE source = 'quy-che-kho.docx'")
@@ -605,8 +665,7 @@ _daily("X25_J07_events_per_day", "events", "ts")
 
 @_query("A01_totals", "SELECT 'users' AS name, count(DISTINCT id) AS n FROM users UNION ALL SELECT 'sessions', count(DISTINCT id) FROM chat_sessions UNION ALL SELECT 'messages', count(DISTINCT id) FROM chat_messages")
 def _totals(spark, d):
-    one = lambda t, n: table(spark, d, t).agg(F.lit(n).alias("name"), F.countDistinct("id").alias("n"))
-    return one("users", "users").unionByName(one("chat_sessions", "sessions")).unionByName(one("chat_messages", "messages"))
+    return analytics.totals({"users": table(spark, d, "users"), "sessions": table(spark, d, "chat_sessions"), "messages": table(spark, d, "chat_messages")})
 
 
 @_query(
@@ -630,7 +689,7 @@ def _usage(spark, d):
     return analytics.usage(_used(spark, d), "ts", "prompt", "completion")
 
 
-@_query("A08_K11_recent_usage", f"SELECT day, prompt_tokens + completion_tokens AS n FROM ({_USAGE} GROUP BY 1) ORDER BY day DESC LIMIT 7")
+@_query("A08_K11_recent_usage", f"SELECT s.day, CAST(coalesce(n, 0) AS BIGINT) AS n FROM {_SPINE} s LEFT JOIN (SELECT day, prompt_tokens + completion_tokens AS n FROM ({_USAGE} GROUP BY 1) ORDER BY day DESC LIMIT 30) u ON u.day = s.day")
 def _recent(spark, d):
     """The last 30 recorded days on the 30 calendar days; those without a record are 0."""
     recorded = analytics.recorded_days(_usage(spark, d), 30).select("day", (F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))).alias("n"))
@@ -639,7 +698,7 @@ def _recent(spark, d):
 
 @_query("A09_parents_per_source", "SELECT coalesce(source, 'Unknown') AS source, count(*) AS n FROM parents GROUP BY 1")
 def _per_source(spark, d):
-    return table(spark, d, "parents").groupBy(F.coalesce("source", F.lit("Unknown")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return analytics.per_source(table(spark, d, "parents"))
 
 
 @_query("A21_any_positive", f"SELECT bool_or(coalesce(n, 0) > 0) AS shown FROM {_SPINE} s LEFT JOIN (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) c USING (day)")
@@ -660,6 +719,178 @@ def _stale(spark, d):
     return analytics.stale_lookups(table(spark, d, "events"), "event_type", "ts", "event_id").select("event_id", "fresh")
 
 
+# -- storing, composing and displaying -----------------------------------------------------------
+
+
+@_query("A20_collection_counts", "SELECT collection, count(DISTINCT parent_id) AS n FROM parents WHERE content IS NOT NULL GROUP BY 1")
+def _collection_counts(spark, d):
+    rows = table(spark, d, "parents").filter("content is not null").select("collection", F.col("parent_id").alias("passage_id"), F.col("content").alias("text"))
+    index = search.index_of(rows, lambda: store.latest(rows, ["collection", "passage_id"], ["text"]))
+    return index.table(spark, "passages").groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("X26_coerced", "SELECT DISTINCT parent_id, coalesce(source, 'None') AS source, coalesce(summary, 'None') AS summary, CASE WHEN length(content) > 30000 THEN left(content, 30000) || '...' ELSE coalesce(content, 'None') END AS parent_content FROM parents")
+def _coerced(spark, d):
+    return files.coerced(table(spark, d, "parents").select("parent_id", "source", "summary", F.col("content").alias("parent_content"))).distinct()
+
+
+@_query("U09_without_collection", "SELECT DISTINCT doc_id FROM documents WHERE collection IS DISTINCT FROM 'legal'")
+def _without_collection(spark, d):
+    return store.without_collection(table(spark, d, "documents"), "legal").select("doc_id").distinct()
+
+
+@_query(
+    "W06_first_parents",
+    f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY rank) AS nth FROM {_CTX}), p AS (SELECT source, min(content) AS full_text FROM parents GROUP BY 1),
+    j AS (SELECT c.*, p.full_text, c.source IS NOT NULL AND nth = 1 AS first FROM c LEFT JOIN p ON p.source = c.source), k AS (SELECT * FROM j WHERE first OR coalesce(content, '') <> '')
+    SELECT id, rank AS position, CASE WHEN first THEN row_number() OVER (PARTITION BY id ORDER BY rank) ELSE rank END AS rank, source AS parent_id, CASE WHEN first THEN coalesce(full_text, content, '') ELSE coalesce(content, '') END AS content FROM k""",
+)
+def _first_parents(spark, d):
+    children = _contexts(spark, d).select("id", F.col("rank").alias("position"), F.col("source").alias("parent_id"), F.col("content").alias("parent_content"))
+    return context.first_parents(children, table(spark, d, "parents").select(F.col("source").alias("parent_id"), "content"), ["id"])
+
+
+@_query("J01_children_with_parents", _windows_sql("word", *chunking.Sizes().words[1:]).replace("FROM documents", "FROM (SELECT DISTINCT parent_id AS doc_id, content AS text, collection FROM parents)").replace(
+    "SELECT doc_id, CAST(", "SELECT * FROM (SELECT doc_id AS parent_id, CAST(").rstrip() + """) JOIN (SELECT parent_id, coalesce(full_text, '') AS full_text FROM (SELECT DISTINCT parent_id, CASE WHEN collection = 'legal' THEN NULL ELSE content END AS full_text FROM parents))
+    USING (parent_id)""")
+def _children_with_parents(spark, d):
+    """Children found by their parent's id; parents of one collection were deleted, so their children have their own copy."""
+    parents = table(spark, d, "parents").select("parent_id", "collection", "content").distinct()
+    children = parents.select("parent_id", F.posexplode(chunking.child_texts(F.col("content"), "word")).alias("idx", "text"))
+    kept = parents.filter("collection is null or collection != 'legal'").select("parent_id", "content")
+    found = search.with_parents(children, kept, ["parent_id"])
+    return found.select("parent_id", "idx", "text", F.coalesce("parent_content", F.lit("")).alias("full_text"))
+
+
+@_query("X29_standalone_questions", rf"""SELECT DISTINCT feedback_id, CASE WHEN length({_STRIP.format("coalesce(comment, '')")}) > 0 AND length({_STRIP.format('answer')}) > 5 THEN {_STRIP.format('answer')} ELSE question END AS question FROM feedback""")
+def _standalone(spark, d):
+    return table(spark, d, "feedback").select("feedback_id", context.reformulated(F.col("question"), F.col("comment"), F.col("answer")).alias("question")).distinct()
+
+
+_PRICES = "(SELECT DISTINCT id, price_data AS content FROM chat_messages WHERE price_data IS NOT NULL)"
+
+
+def _priced(spark, d):
+    return table(spark, d, "chat_messages").filter("price_data is not null").select("id", F.col("price_data").alias("content")).distinct()
+
+
+@_query(
+    "U04_assembled",
+    f"""SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k, rank, content NULLS FIRST) AS INTEGER) AS place, CASE WHEN k = 1 THEN 'price' ELSE 'rag' END AS kind, content
+    FROM (SELECT id, 0 AS k, rank, content FROM {_CTX} UNION ALL SELECT id, 1, 0, content FROM {_PRICES})""",
+)
+def _assembled(spark, d):
+    return context.assembled(_contexts(spark, d).select("id", "rank", "content"), _priced(spark, d), ["id"])
+
+
+@_query(
+    "R09_rounds",
+    f"""WITH a AS (SELECT DISTINCT id, content AS question FROM chat_messages WHERE role = 'assistant'), b AS ({_SQL['X20_context_blocks']}), p AS (SELECT id, min(content) AS price FROM {_PRICES} GROUP BY 1),
+    n AS (SELECT id, count(*) AS n FROM {_CTX} GROUP BY 1)
+    SELECT id, question AS standalone, block, coalesce(n, 0) AS n_sources, CASE WHEN n IS NOT NULL AND price IS NOT NULL THEN 'combined' WHEN price IS NOT NULL THEN 'price' WHEN n IS NOT NULL THEN 'rag' ELSE 'none' END AS kind
+    FROM a LEFT JOIN b USING (id) LEFT JOIN p USING (id) LEFT JOIN n USING (id)""",
+)
+def _rounds(spark, d):
+    none = F.lit(None).cast("string")
+    asked = table(spark, d, "chat_messages").filter("role = 'assistant'").select("id", F.col("content").alias("question"), none.alias("history"), none.alias("response")).distinct()
+    rounds = context.answered(asked, _contexts(spark, d), _priced(spark, d), F.col("question"))
+    return rounds.select("id", "standalone", "block", F.coalesce(F.size("sources"), F.lit(0)).cast("bigint").alias("n_sources"), "kind")
+
+
+_OLD = "(SELECT id, max({'updated_at': updated_at, 'user_id': user_id, 'title': title, 'created_at': created_at}) AS r FROM chat_sessions GROUP BY 1)"
+_ASKED = f"""(SELECT f.*, coalesce(nullif(session_id, ''), 'new-' || f.id) AS sid, o.r.user_id AS user_id FROM (SELECT 'f' || feedback_id AS id, min(session_id) AS session_id, min(question) AS question, min(answer) AS answer, min(timestamp) AS asked_at FROM feedback GROUP BY feedback_id) f
+  LEFT JOIN {_OLD} o ON o.id = f.session_id)"""
+
+
+def _persisted(spark, d):
+    """The feedback's questions and answers stored as messages of their sessions."""
+    old = store.latest(table(spark, d, "chat_sessions").select("id", "user_id", "title", "created_at", "updated_at"), ["id"], ["updated_at"])
+    messages = table(spark, d, "chat_messages").select("id", "session_id", "user_id", "role", "content", "created_at", "sources", "price_data")
+    rows = table(spark, d, "feedback").groupBy(F.concat(F.lit("f"), F.col("feedback_id")).alias("id")).agg(
+        F.min("session_id").alias("session_id"), F.min("question").alias("question"), F.min("answer").alias("answer"), F.min("timestamp").alias("created_at")
+    )
+    asked = rows.join(old.select(F.col("id").alias("session_id"), "user_id"), "session_id", "left").withColumns({c: F.lit(None).cast(messages.schema[c].dataType) for c in ("sources", "price_data")})
+    return store.persisted(old, messages, asked)
+
+
+@_query(
+    "U07_appended_messages",
+    f"""SELECT id, session_id, role, content, created_at FROM chat_messages UNION ALL SELECT id || '-user', sid, 'user', question, asked_at FROM {_ASKED} UNION ALL SELECT id || '-assistant', sid, 'assistant', answer, asked_at FROM {_ASKED}""",
+)
+def _appended(spark, d):
+    return _persisted(spark, d)[1].select("id", "session_id", "role", "content", "created_at")
+
+
+@_query(
+    "U07_touched_sessions",
+    rf"""WITH n AS (SELECT sid AS id, min(user_id) AS user_id, coalesce(nullif(left({_STRIP.format("first(question ORDER BY asked_at NULLS FIRST, id)")}, 80), ''), 'New chat') AS title, min(asked_at) AS created_at, max(asked_at) AS updated_at FROM {_ASKED} GROUP BY 1), o AS {_OLD}
+    SELECT coalesce(o.id, n.id) AS id, coalesce(o.r.title, n.title) AS title, CASE WHEN (o.id IS NULL OR n.user_id IS NOT DISTINCT FROM o.r.user_id) AND n.updated_at IS NOT NULL THEN n.updated_at ELSE o.r.updated_at END AS updated_at
+    FROM o FULL JOIN n ON o.id = n.id""",
+)
+def _touched(spark, d):
+    return _persisted(spark, d)[0].select("id", "title", "updated_at")
+
+
+@_query("K10_U03_first_sources", "SELECT DISTINCT id, list_sort(list_distinct(l)) AS every, list_slice(list_sort(list_distinct(l)), 1, 3) AS three FROM (SELECT id, list_filter([x.source for x in coalesce(sources, [])], lambda u: coalesce(u, '') <> '') AS l FROM chat_messages)")
+def _first_sources(spark, d):
+    urls = F.col("sources.source")
+    return table(spark, d, "chat_messages").select("id", context.first_urls(urls).alias("every"), context.first_urls(urls, 3).alias("three")).distinct()
+
+
+@_query("X09_displayed_prices", _SQL["R05_offers"].replace("SELECT id, name, entry_no,", "SELECT id, entry_no, replace(format('{:,}', CAST(json_extract(p, '$.price_raw') AS BIGINT)), ',', '.') || ' VND' AS shown FROM e WHERE CAST(json_extract(p, '$.price_raw') AS BIGINT) > 0 --"))
+def _displayed_prices(spark, d):
+    return _offers(spark, d).select("id", "entry_no", semistructured.vnd(F.col("price")).alias("shown"))
+
+
+@_query("A14_regrouped", _SQL["R05_offers"].replace("SELECT id, name, entry_no,", """SELECT id, coalesce(CASE WHEN entry_no % 3 < 2 THEN name END, '—') AS name, list_sort(list(CAST(json_extract(p, '$.price_raw') AS BIGINT))) AS options,
+    min(CAST(json_extract(p, '$.price_raw') AS BIGINT)) AS low FROM e WHERE CAST(json_extract(p, '$.price_raw') AS BIGINT) > 0 GROUP BY 1, 2 --"""))
+def _regrouped(spark, d):
+    """Flat offers as they are displayed, every second price only as text and every third offer without a name."""
+    flat = _offers(spark, d).select("id", F.when(F.col("entry_no") % 3 < 2, F.col("name")).alias("name"), F.when(F.col("entry_no") % 2 == 0, F.col("price")).alias("price_raw"), semistructured.vnd(F.col("price")).alias("price"))
+    return semistructured.regrouped(flat, ["id"])
+
+
+@_query(
+    "C12_enriched_parents",
+    rf"""SELECT DISTINCT parent_id, coalesce(nullif({_STRIP.format("regexp_extract(summary, '^(.*)', 1)")}, ''), CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END) AS summary,
+    coalesce(nullif({_STRIP.format("regexp_extract(target_question, '^(.*)', 1)")}, ''), 'Nội dung đoạn văn là gì?') AS target_question FROM parents""",
+)
+def _enriched(spark, d):
+    """The labelled lines of a model's response, here made of what is stored, else the default."""
+    response = F.concat_ws("\n", F.concat(F.lit("SUMMARY: "), F.col("summary")), F.concat(F.lit("TARGET_QUESTION: "), F.col("target_question")))
+    return table(spark, d, "parents").select("parent_id", models.summary_of(F.col("content"), response).alias("e")).select("parent_id", "e.*").distinct()
+
+
+@_query(
+    "X24_usage",
+    "SELECT event_id, CASE event_id % 4 WHEN 3 THEN 0 ELSE event_id END AS prompt_tokens, CASE event_id % 4 WHEN 3 THEN 0 ELSE user_id END AS completion_tokens FROM events",
+)
+def _usage_of(spark, d):
+    """Token counts under the names that responses use for them, and of a response without any."""
+    names = [("usage_metadata", "input_tokens", "output_tokens"), ("token_usage", "prompt_tokens", "completion_tokens"), ("usage", "input_tokens", "completion_tokens")]
+    response = F.lit('{"usage": null}')
+    for n, (group, a, b) in enumerate(names):
+        response = F.when(F.col("event_id") % 4 == n, F.concat(F.lit(f'{{"{group}":{{"{a}":'), F.col("event_id"), F.lit(f',"{b}":'), F.col("user_id"), F.lit("}}"))).otherwise(response)
+    return table(spark, d, "events").select("event_id", context.usage_of(response).alias("u")).select("event_id", "u.*")
+
+
+@_query("C10_token_children")
+def _token_children(spark, d):
+    """Children of 150 tokens of a public vocabulary with 30 in common; words where the vocabulary file isn't there."""
+    path = spark.conf.get("spark.millrace.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    make = (lambda: models.VocabularyTokenizer(path)) if os.path.exists(path) else models.WordTokenizer
+    return table(spark, d, "documents").select("doc_id", F.posexplode(models.token_windows(F.col("text"), make)).alias("idx", "text"))
+
+
+@_query(
+    "R11_settings",
+    """SELECT * FROM (VALUES ('child_tokens', '150'), ('parent_tokens', '700'), ('parent_paragraphs', '4'), ('child_paragraphs', '1'), ('parent_sentences', '8'), ('child_sentences', '3'), ('parent_words', '400'), ('child_words', '120'),
+    ('embed_batch', '64'), ('variations', '3'), ('prefetch', '20'), ('kept', '5'), ('legal_collection', 'legal'), ('drug_collection', 'drug')) t(name, value)""",
+)
+def _settings(spark, d):
+    return Settings.of(spark).table(spark)
+
+
 def queries() -> dict[str, Query]:
     """Query name to callable."""
     return dict(_QUERIES)

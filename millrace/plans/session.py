@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
-def _scratch_folder(spark: SparkSession) -> str:
+def scratch_folder(spark: SparkSession) -> str:
     """The application's own folder of intermediate tables; it is deleted when the application ends."""
     path = f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}"
     if getattr(spark.sparkContext, "_millrace_scratch", None) != path:
@@ -52,7 +52,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     recomputing the plan. The table is deleted with the ``scratch`` in which it was written, or when the application ends.
     """
     spark = df.sparkSession
-    path = f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     for written in getattr(spark.sparkContext, "_millrace_scopes", []):
         written.append(path)

@@ -35,3 +35,13 @@ def child_ids(children: DataFrame) -> DataFrame:
 def check_vector_size(vectors: DataFrame, column: str, size: int) -> DataFrame:
     """The same rows; a vector of another size fails the job instead of changing the table."""
     return vectors.withColumn(column, F.when(F.size(column) == size, F.col(column)).otherwise(F.raise_error(F.concat(F.lit("vector size "), F.size(column).cast("string"), F.lit(f", wanted {size}")))))
+
+
+def coerced(rows: DataFrame, keep: tuple[str, ...] = ("string", "int", "bigint", "double", "float", "boolean"), copy: str = "parent_content", limit: int = 30_000) -> DataFrame:
+    """Rows as a vector store takes them: columns of other types as text, a null as ``None``, the parent's copy cut after ``limit`` characters."""
+    kinds = dict(rows.dtypes)
+    text = lambda c: F.col(c) if kinds[c] in keep else F.to_json(c) if kinds[c].startswith(("array", "struct", "map")) else F.col(c).cast("string")
+    out = rows.select(*[F.coalesce(text(c), F.lit("None")).alias(c) if kinds[c] not in keep or kinds[c] == "string" else F.col(c) for c in rows.columns])
+    if copy in kinds:
+        out = out.withColumn(copy, F.when(F.length(copy) > limit, F.concat(F.left(copy, F.lit(limit)), F.lit("..."))).otherwise(F.col(copy)))
+    return out

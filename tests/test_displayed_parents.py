@@ -24,5 +24,5 @@ def test_query(spark, tmp_path):
     rows = [("m", [(k, "a", None, t, None, None) for k, (t, _) in enumerate(SHOWN)])]
     spark.createDataFrame(rows, f"id string, {entry}").write.parquet(str(tmp_path / "chat_messages.parquet"))
     spark.createDataFrame([("p1", "a", ONE), ("p2", "a", TWO)], "parent_id string, source string, content string").write.parquet(str(tmp_path / "parents.parquet"))
-    found = {r["rank"]: r["n"] for r in registry.queries()["E12_J01_parent_context"](spark, str(tmp_path)).collect()}
-    assert found == {k: len(want) if want is not None else None for k, (_, want) in enumerate(SHOWN)}
+    found = {r["rank"]: r["content"] for r in registry.queries()["E12_J01_parent_context"](spark, str(tmp_path)).collect()}
+    assert found == {k: want for k, (_, want) in enumerate(SHOWN)}

@@ -20,7 +20,7 @@ def test_lookup(spark, monkeypatch):
 
 
 def test_scratch_is_removed(spark):
-    folder = session._scratch_folder(spark)
+    folder = session.scratch_folder(spark)
     with session.scratch(spark):
         kept = session.materialize(spark.range(5), "some")
         assert kept.count() == 5
