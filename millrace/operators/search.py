@@ -51,19 +51,79 @@ def top(scored: DataFrame, by: list[str], n: int, tie: list[str], score: str = "
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-#: Terms of queries that are broadcast at most.
-TERMS = 200_000
+#: Terms of queries that come to the passages at most, and passages that are searched at once.
+TERMS, TOGETHER = 200_000, 4096
+
+
+def listed_terms(postings: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, tokens, ws``: the terms of each passage in one row."""
+    return postings.groupBy(*keys).agg(F.collect_list("token").alias("tokens"), F.collect_list("w").alias("ws"))
 
 
 def sparse_search(queries: DataFrame, postings: DataFrame, keys: list[str], n: int = 20, by: list[str] | None = None) -> DataFrame:
-    """``query_id, keys, score, rank``: dot products of term weights; ``queries`` has ``query_id, token, w``.
+    """``query_id, keys, score, rank``: dot products of term weights; ``queries`` has ``query_id, token, w``."""
+    return search_terms(queries, listed_terms(postings, keys), keys, n, by)
+
 
-    A token that most passages have would be one task of a shuffle; queries of up to ``TERMS`` terms come to the postings instead, which stay where they are.
+def search_terms(queries: DataFrame, passages: DataFrame, keys: list[str], n: int = 20, by: list[str] | None = None) -> DataFrame:
+    """``sparse_search`` of passages that are rows of ``listed_terms``.
+
+    Nearly every query shares some common token with nearly every passage, so joining by tokens would make a row for each of these pairs. Instead the
+    queries, up to ``TERMS`` terms, come to the passages: blocks of passages are searched where they are, and only the best ``n`` of each query and
+    block are shuffled. More queries than that are joined.
     """
-    terms = materialize(queries.withColumnRenamed("w", "qw"), "terms")
-    pairs = postings.withColumnRenamed("w", "dw").join(F.broadcast(terms) if terms.count() <= TERMS else terms, "token")
-    scored = pairs.groupBy("query_id", *keys).agg(F.round(F.sum(F.round(F.col("qw") * F.col("dw"), 9)), 6).alias("score"))
-    return top(scored, ["query_id", *(by or [])], n, keys)
+    spark = queries.sparkSession
+    ship(spark)
+    terms = materialize(queries.select("query_id", "token", F.col("w").alias("qw")), "terms")
+    by = by or []
+    if terms.count() > TERMS:
+        postings = passages.select(*keys, F.explode(F.arrays_zip("tokens", "ws")).alias("t")).select(*keys, F.col("t.tokens").alias("token"), F.col("t.ws").alias("dw"))
+        scored = postings.join(terms, "token").groupBy("query_id", *keys).agg(F.round(F.sum(F.round(F.col("qw") * F.col("dw"), 9)), 6).alias("score"))
+        return top(scored, ["query_id", *by], n, keys)
+    asked = terms.toPandas()
+    known = {t: i for i, t in enumerate(dict.fromkeys(asked["token"]))}
+    groups = [(q, rows["token"].map(known).to_numpy(), rows["qw"].to_numpy()) for q, rows in asked.groupby("query_id")]
+    shared = spark.sparkContext.broadcast((known, groups))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, " + ", ".join(f"{k} {dict(passages.dtypes)[k]}" for k in keys) + ", score double"
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, asked = shared.value
+        for batch in batches:
+            for _, own in batch.groupby(by, dropna=False) if by else [(None, batch)]:
+                for i in range(0, len(own), TOGETHER):
+                    yield _best(own.iloc[i : i + TOGETHER], vocabulary, asked)
+
+    def _best(own: pd.DataFrame, vocabulary: dict[str, int], asked: list) -> pd.DataFrame:
+        """The best of each query among some passages; ties at the edge are kept, so the order by keys is exact."""
+        sizes = own["tokens"].map(len).to_numpy()
+        token = np.fromiter((vocabulary.get(t, -1) for ts in own["tokens"] for t in ts), dtype=np.int64, count=sizes.sum())
+        doc, weight = np.repeat(np.arange(len(own)), sizes), np.concatenate(own["ws"].to_numpy()) if len(own) else np.zeros(0)
+        order = np.flatnonzero(token >= 0)
+        order = order[np.argsort(token[order], kind="stable")]
+        token, doc, weight = token[order], doc[order], weight[order]
+        first, last = np.searchsorted(token, np.arange(len(vocabulary))), np.searchsorted(token, np.arange(len(vocabulary)), "right")
+        at, of, scores = [], [], []
+        for q, (_, terms, qw) in enumerate(asked):
+            held = last[terms] - first[terms]
+            if not held.sum():
+                continue
+            flat = np.repeat(first[terms] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+            s = np.bincount(doc[flat], np.round(np.repeat(qw, held) * weight[flat], 9), len(own))
+            hit = np.flatnonzero(np.bincount(doc[flat], minlength=len(own)))
+            values = np.round(s[hit], 6)
+            if len(hit) > n:
+                keep = values >= -np.partition(-values, n - 1)[n - 1]
+                hit, values = hit[keep], values[keep]
+            at.append(np.full(len(hit), q))
+            of.append(hit)
+            scores.append(values)
+        if not at:
+            return pd.DataFrame({"query_id": [], **{k: [] for k in keys}, "score": []})
+        of = np.concatenate(of)
+        ids = pd.Series([q for q, *_ in asked], dtype=object)
+        return pd.DataFrame({"query_id": ids.iloc[np.concatenate(at)].to_numpy(), **{k: own[k].to_numpy()[of] for k in keys}, "score": np.concatenate(scores)})
+
+    return top(passages.select(*keys, "tokens", "ws").mapInPandas(search, schema), ["query_id", *by], n, keys)
 
 
 _BLOCK = 1024
@@ -131,7 +191,7 @@ def rerank(candidates: DataFrame, query_col: str, text_col: str, keys: list[str]
 
 @dataclass(frozen=True)
 class Index:
-    """The written tables of a passage store: ``passages``, their ``postings`` in the order of tokens, their ``vectors`` packed in blocks of a collection."""
+    """The written tables of a passage store: ``passages``, their ``terms`` (of ``listed_terms``), their ``vectors`` packed in blocks of a collection."""
 
     path: str
 
@@ -156,8 +216,7 @@ def append_to_index(index: Index, passages: DataFrame, embedder: models.Embedder
         passages = passages.join(index.table(spark, "passages").select(*_KEYS), _KEYS, "left_anti")
     new = materialize(passages.select(*_KEYS, "text"), "new")
     write = lambda rows, name: rows.write.mode("append").option("compression", "zstd").parquet(f"{index.path}/{name}")
-    # within a file tokens are in order, so a search skips the row groups without its tokens
-    write(term_weights(new, _KEYS, "text").sortWithinPartitions("token"), "postings")
+    write(listed_terms(term_weights(new, _KEYS, "text"), _KEYS), "terms")
     vectors = new.select(*_KEYS, models.embed(F.col("text"), embedder or models.HashEmbedder()).alias("v"))
     ship(spark)
     write(_packed(vectors, "passage_id", "v", "c", "collection"), "vectors")
@@ -191,11 +250,11 @@ def retrieve_from(index: Index, questions: DataFrame, variations: int = 3, prefe
     collection; the lists are fused for each collection, the fused passages of all collections re-ranked.
     """
     spark = questions.sparkSession
-    passages, postings, vectors = (index.table(spark, name) for name in ("passages", "postings", "vectors"))
+    passages, listed, vectors = (index.table(spark, name) for name in ("passages", "terms", "vectors"))
     asked = questions.select("query_id", "question", models.expansions(F.col("question"), F.col("response"), variations).alias("texts"))
     # the question stands among its variations, so it counts twice in the term weights
     terms = term_weights(asked.select("query_id", F.explode(F.concat(F.array("question"), F.col("texts"))).alias("text")), ["query_id"], "text")
-    sparse = sparse_search(terms, postings, _KEYS, prefetch, ["collection"])
+    sparse = search_terms(terms, listed, _KEYS, prefetch, ["collection"])
     q = asked.select("query_id", F.posexplode("texts").alias("variation", "text")).select(
         F.concat_ws("\u0001", "query_id", "variation").alias("qv"), models.embed(F.col("text"), models.HashEmbedder()).alias("v")
     )
