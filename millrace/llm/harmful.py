@@ -109,8 +109,8 @@ def passages(text: str | None) -> list[str]:
     return out
 
 
-def undo(passage: str) -> tuple[str, str]:
-    """A passage with its spelling tricks undone: with accents and without; repeated letters are one, hidden letters ``*``."""
+def _bare(passage: str) -> str:
+    """A passage in lower case with look-alikes, letters set apart and hidden letters undone; other signs are as they were."""
     text = passage.lower() if passage.isascii() else unicodedata.normalize("NFC", _INVISIBLE.sub("", unicodedata.normalize("NFKC", passage))).lower()
     if _MAY_MIX.search(text):
         text = _MIXED.sub(lambda m: m[0] if _CODE.fullmatch(m[0]) else m[0].translate(_LOOKS), text)
@@ -118,11 +118,18 @@ def undo(passage: str) -> tuple[str, str]:
         text = _APART.sub(lambda m: _NOT_LETTER.sub("", m[0]), text)
     if _MAY_HIDE.search(text):
         text = _INNER.sub(lambda m: "*" if m[0] in "*#^~" else "", text)
-    text = _NOT_WORD.sub(" ", text)
-    text = _RUNS.sub(r"\1", text).strip()
-    if text.isascii():
-        return text, text
-    return text, _ACCENTS.sub("", unicodedata.normalize("NFD", text.replace("đ", "d")))
+    return text
+
+
+def _plain(text: str) -> str:
+    """A text without accents."""
+    return text if text.isascii() else _ACCENTS.sub("", unicodedata.normalize("NFD", text.replace("đ", "d")))
+
+
+def undo(passage: str) -> tuple[str, str]:
+    """A passage with its spelling tricks undone, as words: with accents and without; repeated letters are one, hidden letters ``*``."""
+    text = _RUNS.sub(r"\1", _NOT_WORD.sub(" ", _bare(passage))).strip()
+    return text, _plain(text)
 
 
 @dataclass
@@ -152,12 +159,19 @@ def features(texts: list[str]) -> Features:
 
 
 def _features(texts: list[str]) -> Features:
-    # a letter set apart may be the same as the next one
-    views = [tuple(_RUNS.sub(r"\1", v.replace(" ", "")) for v in undo(t)) for t in texts]
     # both views as one string, the one with accents only where it differs: a begin, the letters without spaces, an end
-    flat = [("" if a == p else f"\x02{a}\x03") + f"\x04{p}\x05" for a, p in views]
-    sizes = np.array([len(f) for f in flat], dtype=np.int64)
+    flat = []
+    for t in texts:
+        a = _NOT_WORD.sub("", _bare(t))
+        p = _plain(a)
+        flat.append(("" if a == p else f"\x02{a}\x03") + f"\x04{p}\x05")
     codes = np.frombuffer("".join(flat).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    # what is repeated is one, also across words, since a letter set apart may be the same as the next one
+    once = np.append(True, codes[1:] != codes[:-1]) if len(codes) else np.zeros(0, dtype=bool)
+    before = np.concatenate([[0], np.cumsum(once)])
+    ends = np.cumsum([len(f) for f in flat])
+    sizes = before[ends] - before[ends - [len(f) for f in flat]] if flat else np.zeros(0, dtype=np.int64)
+    codes = codes[once]
     owner = np.repeat(np.arange(len(texts)), sizes)
     marks = np.cumsum(codes == 4)
     # 0 in the view with accents and 1 in the one without
