@@ -77,8 +77,12 @@ def embed(text: Column, model: Embedder, batch: int = 64, attempts: int = 5) ->
 
 def lexical_score(query: Column, text: Column) -> Column:
     """The default re-ranker: share of the query's distinct tokens that the text has; 0 for an empty query."""
-    q, t = F.array_distinct(X.tokens(query)), F.array_distinct(X.tokens(text))
-    return F.round(F.coalesce(F.size(F.array_intersect(q, t)) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0)), 6)
+    return token_score(F.array_distinct(X.tokens(query)), X.tokens(text))
+
+
+def token_score(query: Column, text: Column) -> Column:
+    """``lexical_score`` of tokens that are worked out already, those of the query distinct."""
+    return F.round(F.coalesce(F.size(F.array_intersect(query, text)) / F.nullif(F.size(query), F.lit(0)), F.lit(0.0)), 6)
 
 
 def expansions(query: Column, response: Column, n: int = 3) -> Column:

@@ -250,7 +250,7 @@ def retrieve_from(index: Index, questions: DataFrame, variations: int = 3, prefe
     collection; the lists are fused for each collection, the fused passages of all collections re-ranked.
     """
     spark = questions.sparkSession
-    passages, listed, vectors = (index.table(spark, name) for name in ("passages", "terms", "vectors"))
+    listed, vectors = index.table(spark, "terms"), index.table(spark, "vectors")
     asked = questions.select("query_id", "question", models.expansions(F.col("question"), F.col("response"), variations).alias("texts"))
     # the question stands among its variations, so it counts twice in the term weights
     terms = term_weights(asked.select("query_id", F.explode(F.concat(F.array("question"), F.col("texts"))).alias("text")), ["query_id"], "text")
@@ -262,8 +262,11 @@ def retrieve_from(index: Index, questions: DataFrame, variations: int = 3, prefe
     dense = near.select(F.substring_index("query_id", "\u0001", 1).cast(questions.schema["query_id"].dataType).alias("query_id"), F.col("group").alias("collection"), F.col("id").alias("passage_id"), "rank")
     lists = sparse.select("query_id", *_KEYS, "rank").unionByName(dense)
     best = fuse(lists, ["query_id", "collection"], ["passage_id"], fused).select("query_id", *_KEYS)
-    full = best.join(passages, _KEYS).join(questions.select("query_id", "question"), "query_id")
-    return rerank(full, "question", "text", _KEYS, kept)
+    # the index has the tokens of the passages, those of a question are worked out once
+    words = F.array_distinct(X.tokens(F.col("question")))
+    full = best.join(listed.select(*_KEYS, "tokens"), _KEYS, "left").join(questions.select("query_id", "question", words.alias("words")), "query_id")
+    scored = full.withColumn("score", models.token_score(F.col("words"), F.coalesce("tokens", F.array().cast("array<string>"))))
+    return top(scored, ["query_id"], kept, _KEYS)
 
 
 def with_parents(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
