@@ -142,7 +142,9 @@ def _stats(spark, d):
     return s.select("doc_id", F.col("n_words").cast("bigint"), F.col("n_sentences").cast("bigint"), F.round("words_per_sentence", 6).alias("words_per_sentence"))
 
 
-_PARAGRAPHS = r"list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n[\s\x0b]*\n+'), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '')"
+#: Marked table blocks are set off by blank lines; blank lines within one, of which the tables have none, aren't shielded here.
+_BLOCKS = r"regexp_replace(coalesce(text, ''), '(<!--TABLE_START-->(?s:.*?)<!--TABLE_END-->)', chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g')"
+_PARAGRAPHS = "list_filter(list_transform(string_split_regex(" + _BLOCKS + r", '\n[\s\x0b]*\n+'), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '')"
 
 
 @_query("C01_strategies", _STATS.replace("len(list_filter(string_split(flat, ' ')", f"(SELECT len({_PARAGRAPHS}) FROM documents d WHERE d.doc_id = s.doc_id) AS n_paragraphs, len(list_filter(string_split(flat, ' ')", 1)
