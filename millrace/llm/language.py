@@ -29,6 +29,9 @@ OTHER_WORDS = {
 #: Scripts whose letters aren't Latin. Fixed values.
 SCRIPTS = {"cyrl": r"\p{IsCyrillic}", "han": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]", "hang": r"\p{IsHangul}", "arab": r"\p{IsArabic}", "thai": r"\p{IsThai}", "grek": r"\p{IsGreek}", "hebr": r"\p{IsHebrew}", "deva": r"\p{IsDevanagari}"}
 
+#: The blocks of all these scripts and of some others.
+_BEYOND_LATIN = r"[\x{370}-\x{1DFF}\x{1F00}-\x{1FFF}\x{2E80}-\x{D7FF}\x{F900}-\x{FAFF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFE}\x{FF00}-\x{FFEF}\x{20000}-\x{3FFFF}]"
+
 
 def script_of(text: Column) -> Column:
     """The script that at least half of a text's letters have: a name of ``SCRIPTS``, ``latn``, or null for a text without letters."""
@@ -37,8 +40,8 @@ def script_of(text: Column) -> Column:
     found = F.lit("latn")
     for name, pattern in SCRIPTS.items():
         found = F.when(2 * F.regexp_count(text, F.lit(pattern)) >= letters, F.lit(name)).otherwise(found)
-    # most texts have no letter of another script at all, which one search tells
-    foreign = text.rlike("|".join(SCRIPTS.values()))
+    # most texts have no letter of the blocks in which all these scripts lie, which one search of a few ranges tells
+    foreign = text.rlike(_BEYOND_LATIN)
     return F.when(foreign, found).when(text.rlike(r"\p{L}"), F.lit("latn"))
 
 
