@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -60,6 +61,20 @@ def listed_terms(postings: DataFrame, keys: list[str]) -> DataFrame:
     return postings.groupBy(*keys).agg(F.collect_list("token").alias("tokens"), F.collect_list("w").alias("ws"))
 
 
+def term_lists(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """``listed_terms`` of texts that have each key once, counted where they are; texts without tokens have no row."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counted = [Counter(t) for t in batch["t"]]
+            yield batch[keys].assign(tokens=[list(c) for c in counted], ws=[np.round(1 + np.log(np.fromiter(c.values(), dtype=np.float64)), 6) for c in counted])
+
+    ship(texts.sparkSession)
+    rows = texts.select(*keys, X.tokens(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
+    schema = ", ".join(f"{k} {dict(texts.dtypes)[k]}" for k in keys) + ", tokens array<string>, ws array<double>"
+    return rows.mapInPandas(count, schema)
+
+
 def sparse_search(queries: DataFrame, postings: DataFrame, keys: list[str], n: int = 20, by: list[str] | None = None) -> DataFrame:
     """``query_id, keys, score, rank``: dot products of term weights; ``queries`` has ``query_id, token, w``."""
     return search_terms(queries, listed_terms(postings, keys), keys, n, by)
@@ -216,7 +231,7 @@ def append_to_index(index: Index, passages: DataFrame, embedder: models.Embedder
         passages = passages.join(index.table(spark, "passages").select(*_KEYS), _KEYS, "left_anti")
     new = materialize(passages.select(*_KEYS, "text"), "new")
     write = lambda rows, name: rows.write.mode("append").option("compression", "zstd").parquet(f"{index.path}/{name}")
-    write(listed_terms(term_weights(new, _KEYS, "text"), _KEYS), "terms")
+    write(term_lists(new, _KEYS, "text"), "terms")
     vectors = new.select(*_KEYS, models.embed(F.col("text"), embedder or models.HashEmbedder()).alias("v"))
     ship(spark)
     write(_packed(vectors, "passage_id", "v", "c", "collection"), "vectors")

@@ -109,3 +109,11 @@ def test_settings(spark):
         assert Settings.of(spark).prefetch == 7
     finally:
         spark.conf.unset("spark.millrace.prefetch")
+
+
+def test_term_lists(spark):
+    """Counting within a row gives the weights of the aggregation."""
+    texts = spark.createDataFrame([("a", "x y x z x"), ("b", "Đau đầu đau"), ("c", ""), ("d", None), ("e", "w " * 500)], "k string, t string")
+    told = {(r.k, r.token): r.w for r in search.term_weights(texts, ["k"], "t").collect()}
+    found = {(r.k, t): w for r in search.term_lists(texts, ["k"], "t").collect() for t, w in zip(r.tokens, r.ws, strict=True)}
+    assert found == told
