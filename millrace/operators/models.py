@@ -164,3 +164,17 @@ def token_windows(text: Column, make: Callable[[], Tokenizer], size: int = 150,
 
     ship(SparkSession.active())
     return run(text)
+
+
+#: Embedders by the beginning of a model's name; the longest that fits is taken.
+_EMBEDDERS: dict[str, Callable[[str], Embedder]] = {"": lambda name: HashEmbedder(), "hash-": lambda name: HashEmbedder(int(name.rpartition("-")[2]))}
+
+
+def register_embedder(prefix: str, make: Callable[[str], Embedder]) -> None:
+    """Models whose name begins with ``prefix`` are made by ``make`` from their name."""
+    _EMBEDDERS[prefix] = make
+
+
+def embedder(name: str) -> Embedder:
+    """The embedder of a model's name; ``hash-<size>`` and names that nothing was registered for give the deterministic default."""
+    return _EMBEDDERS[max((p for p in _EMBEDDERS if name.startswith(p)), key=len)](name)

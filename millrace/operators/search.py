@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from millrace.functions import text as X
 from millrace.operators import models
-from millrace.plans.session import materialize, scratch_folder, ship
+from millrace.plans.session import lookup, materialize, scratch_folder, ship, stamps
 
 
 def term_weights(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -46,6 +46,14 @@ def merge_vocabulary(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("token", "idx").unionByName(numbered.select("token", (F.col("top") + F.coalesce("before", F.lit(0)) + F.col("k")).cast("int").alias("idx")))
 
 
+def indexed(postings: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, idx, w``: terms by their numbers; terms that the vocabulary lacks are dropped.
+
+    A token that many passages have would be one task, so the commonest of the vocabulary (``n``, how many have it) stay out of the shuffle.
+    """
+    return lookup(postings, vocabulary.select("token", "idx", "n"), ["token"], "n", keys).filter("idx is not null").select(*keys, "idx", "w")
+
+
 def top(scored: DataFrame, by: list[str], n: int, tie: list[str], score: str = "score") -> DataFrame:
     """The best ``n`` of each group with ``rank`` from 1; Spark limits each group before and after the shuffle."""
     order = W.partitionBy(*by).orderBy(F.desc(score), *tie)
@@ -243,9 +251,7 @@ def append_to_index(index: Index, passages: DataFrame, embedder: models.Embedder
 def index_of(rows: DataFrame, passages: Callable[[], DataFrame]) -> Index:
     """The index of the files that ``rows`` reads, built on first use in an application and again when a file has changed."""
     spark = rows.sparkSession
-    fs = lambda p: p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
-    stamps = [(f, (st := fs(spark._jvm.org.apache.hadoop.fs.Path(f))).getLen(), st.getModificationTime()) for f in sorted(rows.inputFiles())]
-    key = hashlib.sha256(repr((stamps, rows.columns)).encode()).hexdigest()[:24]
+    key = hashlib.sha256(repr((stamps(spark, *rows.inputFiles()), rows.columns)).encode()).hexdigest()[:24]
     known = spark.sparkContext.__dict__.setdefault("_millrace_indexes", {})
     if key not in known:
         known[key] = build_index(passages(), f"{scratch_folder(spark)}/index-{key}-{uuid.uuid4().hex}")

@@ -130,3 +130,9 @@ def persisted(sessions: DataFrame, messages: DataFrame, asked: DataFrame) -> tup
     )
     new = turns_of(placed)
     return upsert_sessions(sessions, touched), messages.select(*new.columns).unionByName(new)
+
+
+def first_titles(messages: DataFrame, order: list[str]) -> DataFrame:
+    """``session_id, title`` as a list of sessions shows them: the first user message of each that says something, cut."""
+    asked = messages.filter((F.col("role") == "user") & (F.coalesce("content", F.lit("")) != ""))
+    return asked.groupBy("session_id").agg(list_title(F.min_by("content", F.struct(*order))).alias("title"))

@@ -13,7 +13,7 @@ from millrace.functions import text as X
 from millrace.operators import analytics, chunking, context, models, routing, search, semistructured, store
 from millrace.plans.settings import Settings
 from millrace.sources import files
-from millrace.sources.tables import table
+from millrace.sources.tables import cached_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -70,11 +70,6 @@ def _titles(spark, d):
     return table(spark, d, "chat_messages").filter("role = 'user'").select("id", store.session_title(F.col("content")).alias("title")).distinct()
 
 
-@_query("P03_list_titles", "SELECT DISTINCT id, CASE WHEN length(content) > 80 THEN left(content, 77) || '...' ELSE content END AS title FROM chat_messages WHERE role = 'user'")
-def _list_titles(spark, d):
-    return table(spark, d, "chat_messages").filter("role = 'user'").select("id", store.list_title(F.col("content")).alias("title")).distinct()
-
-
 @_query(
     "P17_without_citations",
     r"""SELECT DISTINCT feedback_id, replace(regexp_replace(replace(replace(replace(regexp_replace(answer, '\s*\[Source\s*\d+\]', '', 'gi'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
@@ -249,6 +244,20 @@ def _merged_vocabulary(spark, d):
     return search.merge_vocabulary(old, terms("feedback", "question"))
 
 
+@_query("J04_indexed_postings", "WITH w AS (" + _WEIGHTS.format(key="parent_id", text="content", tokens=_tokens("content"), table="parents") + f"), v AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT unnest({_tokens('question')}) AS token FROM feedback)) SELECT parent_id, idx, w FROM w JOIN v USING (token)")
+def _indexed(spark, d):
+    """The passages' terms by the numbers of the questions' vocabulary."""
+    none = spark.createDataFrame([], "token string, idx int")
+    asked = table(spark, d, "feedback").select(F.explode(X.tokens(F.col("question"))).alias("token"))
+    counted = search.merge_vocabulary(none, asked).join(search.vocabulary(_passages(spark, d), "content"), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return search.indexed(_postings(spark, d), counted, ["parent_id"])
+
+
+@_query("S08_cached_parents", "SELECT collection, count(*) AS n FROM parents GROUP BY 1")
+def _cached_parents(spark, d):
+    return cached_table(spark, d, "parents").groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _query_terms(spark, d):
     asked = table(spark, d, "feedback").filter("feedback_id % 20 = 0").select("feedback_id", "question").distinct()
     return search.term_weights(asked, ["feedback_id"], "question").withColumnRenamed("feedback_id", "query_id")
@@ -506,6 +515,15 @@ def _preceding(spark, d):
     return context.preceding_question(_messages(spark, d), "session_id", _ORDER, context.stretch()).filter("role = 'assistant'").select("id", "session_id", "question")
 
 
+@_query(
+    "P03_list_titles",
+    f"""SELECT session_id, CASE WHEN length(c) > 80 THEN left(c, 77) || '...' ELSE c END AS title FROM (SELECT session_id, first(content ORDER BY place_seq, place_at NULLS FIRST, turn NULLS FIRST, id NULLS FIRST) AS c
+    FROM {_M} WHERE role = 'user' AND coalesce(content, '') <> '' GROUP BY 1)""",
+)
+def _list_titles(spark, d):
+    return store.first_titles(_messages(spark, d), _ORDER)
+
+
 _CTX = "(SELECT DISTINCT id, s.rank AS rank, s.source AS source, s.summary AS summary, s.content AS content, s.collection_name AS collection_name, s.page AS page FROM (SELECT id, unnest(sources) AS s FROM chat_messages))"
 
 

@@ -73,6 +73,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def stamps(spark: SparkSession, *paths: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of change of each file below some paths."""
+    found = []
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            status = files.next()
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return sorted(found)
+
+
 #: Keys that ``lookup`` takes out of the shuffle.
 HOT = 1000
 

@@ -67,3 +67,14 @@ def read_documents(spark: SparkSession, folder: str, parsers: dict[str, Callable
 def file_name(name: str | None) -> str:
     """The name under which an upload is stored: its last part, or ``document``."""
     return (name or "").replace("\\", "/").rsplit("/", 1)[-1].strip() or "document"
+
+
+def store_upload(spark: SparkSession, folder: str, name: str | None, content: bytes) -> str:
+    """Write an upload's bytes under its own name into a folder of any file system that Spark knows; returns the path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, file_name(name))
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path.toString()

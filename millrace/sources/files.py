@@ -45,3 +45,15 @@ def coerced(rows: DataFrame, keep: tuple[str, ...] = ("string", "int", "bigint",
     if copy in kinds:
         out = out.withColumn(copy, F.when(F.length(copy) > limit, F.concat(F.left(copy, F.lit(limit)), F.lit("..."))).otherwise(F.col(copy)))
     return out
+
+
+def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
+    """Write ``token, idx``; a merged vocabulary goes to a new path, since it reads the old one."""
+    vocabulary.select("token", F.col("idx").cast("int").alias("idx")).write.mode("overwrite").parquet(path)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """``token, idx`` of a written vocabulary; without one there are no tokens."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.parquet(path) if there else spark.createDataFrame([], "token string, idx int")

@@ -46,3 +46,42 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).filter(F.col("collection") == "c").first().child_id == with_ids.first().child_id
     with pytest.raises(Exception, match="vector size 2"):
         files.check_vector_size(rows, "dense", 3).collect()
+
+
+def test_upload(spark, tmp_path):
+    from millrace.sources.documents import store_upload
+
+    path = store_upload(spark, str(tmp_path), "..\\x/leaflet.docx", b"\x00\xffabc")
+    assert path.endswith("/leaflet.docx") and (tmp_path / "leaflet.docx").read_bytes() == b"\x00\xffabc"
+    assert store_upload(spark, str(tmp_path), " ", b"").endswith("/document")
+
+
+def test_vocabulary_table(spark, tmp_path):
+    from millrace.operators.search import merge_vocabulary
+    from millrace.sources.files import read_vocabulary, write_vocabulary
+
+    first, second = str(tmp_path / "a"), str(tmp_path / "b")
+    new = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "token string")
+    write_vocabulary(merge_vocabulary(read_vocabulary(spark, first), new), first)
+    write_vocabulary(merge_vocabulary(read_vocabulary(spark, first), spark.createDataFrame([("aa",), ("a",)], "token string")), second)
+    assert dict(read_vocabulary(spark, second).collect()) == {"a": 0, "b": 1, "aa": 2}
+
+
+def test_cached_table(spark, tmp_path):
+    from millrace.sources import tables
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    first = tables.cached_table(spark, str(tmp_path), "t", now=0)
+    assert tables.cached_table(spark, str(tmp_path), "t", now=100) is first and first.is_cached
+    assert tables.cached_table(spark, str(tmp_path), "t", now=500) is not first
+    spark.range(2).write.mode("append").parquet(path)
+    assert tables.cached_table(spark, str(tmp_path), "t", now=501).count() == 5
+
+
+def test_embedder_by_name():
+    from millrace.operators import models
+
+    assert models.embedder("hash-16")(["a b"]).shape == (1, 16) and models.embedder("anything")(["a"]).shape == (1, 64)
+    models.register_embedder("mine-", lambda name: name.upper())
+    assert models.embedder("mine-x") == "MINE-X"
