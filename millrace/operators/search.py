@@ -74,8 +74,10 @@ def term_lists(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if batch.empty:
+                continue
             counted = [Counter(t) for t in batch["t"]]
-            yield batch[keys].assign(tokens=[list(c) for c in counted], ws=[np.round(1 + np.log(np.fromiter(c.values(), dtype=np.float64)), 6) for c in counted])
+            yield pd.DataFrame({**{k: batch[k].tolist() for k in keys}, "tokens": [list(c) for c in counted], "ws": [np.round(1 + np.log(np.fromiter(c.values(), dtype=np.float64)), 6) for c in counted]})
 
     ship(texts.sparkSession)
     rows = texts.select(*keys, X.tokens(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
@@ -114,9 +116,10 @@ def search_terms(queries: DataFrame, passages: DataFrame, keys: list[str], n: in
         for batch in batches:
             for _, own in batch.groupby(by, dropna=False) if by else [(None, batch)]:
                 for i in range(0, len(own), TOGETHER):
-                    yield _best(own.iloc[i : i + TOGETHER], vocabulary, asked)
+                    if (found := _best(own.iloc[i : i + TOGETHER], vocabulary, asked)) is not None:
+                        yield found
 
-    def _best(own: pd.DataFrame, vocabulary: dict[str, int], asked: list) -> pd.DataFrame:
+    def _best(own: pd.DataFrame, vocabulary: dict[str, int], asked: list) -> pd.DataFrame | None:
         """The best of each query among some passages; ties at the edge are kept, so the order by keys is exact."""
         sizes = own["tokens"].map(len).to_numpy()
         token = np.fromiter((vocabulary.get(t, -1) for ts in own["tokens"] for t in ts), dtype=np.int64, count=sizes.sum())
@@ -141,10 +144,10 @@ def search_terms(queries: DataFrame, passages: DataFrame, keys: list[str], n: in
             of.append(hit)
             scores.append(values)
         if not at:
-            return pd.DataFrame({"query_id": [], **{k: [] for k in keys}, "score": []})
+            return None
         of = np.concatenate(of)
         ids = pd.Series([q for q, *_ in asked], dtype=object)
-        return pd.DataFrame({"query_id": ids.iloc[np.concatenate(at)].to_numpy(), **{k: own[k].to_numpy()[of] for k in keys}, "score": np.concatenate(scores)})
+        return pd.DataFrame({"query_id": ids.iloc[np.concatenate(at)].to_numpy(), **{k: own[k].to_numpy(dtype=object)[of] for k in keys}, "score": np.concatenate(scores)})
 
     return top(passages.select(*keys, "tokens", "ws").mapInPandas(search, schema), ["query_id", *by], n, keys)
 
