@@ -45,3 +45,15 @@ def test_texts_of_one_key(spark):
     terms = search.term_weights(spark.createDataFrame([(1, "a")], "query_id int, t string"), ["query_id"], "t")
     told = search.sparse_search(terms, search.term_weights(texts.distinct(), ["k"], "t"), ["k"])
     assert sorted(map(tuple, search.search_texts(terms, texts, ["k"], "t").collect())) == sorted(map(tuple, told.collect())) == [(1, "x", 1.693147, 1), (1, "y", 1.0, 2)]
+
+
+def test_fusion_counts_terms_in_place(spark, monkeypatch):
+    """Of A12_fusion only the terms of queries are brought together by a shuffle."""
+    from helpers import DATA
+
+    from millrace.plans import registry
+
+    shuffled, weigh = [], search.term_weights
+    monkeypatch.setattr(search, "term_weights", lambda texts, keys, text_col: shuffled.append(keys) or weigh(texts, keys, text_col))
+    registry.queries()["A12_fusion"](spark, DATA)
+    assert shuffled == [["feedback_id"]]
