@@ -216,18 +216,39 @@ _ASKING = r"\?\s*$|^(?:what|how|can|could|is|are|does|do|should|which|when|where
 def inferred(rows: DataFrame) -> DataFrame:
     """``rows`` (of ``_numbered``) with ``speaker`` also where the role names none: it alternates with the row before, else with the one after; where neither is named its content tells.
 
-    Neighbours are those of the same chunk.
+    Of the chunks before and after one small row each is looked at.
     """
-    cell = W.partitionBy("session_id", "chunk").orderBy("key")
+    cell, line = W.partitionBy("session_id", "chunk").orderBy("key"), W.partitionBy("session_id").orderBy("chunk")
+    earlier = line.rowsBetween(W.unboundedPreceding, -1)
     other = lambda c: F.when(c == "user", "assistant").when(c == "assistant", "user")
     said = F.when(F.col("speaker") != "system", F.col("speaker"))
     before, since = F.last(said, ignorenulls=True).over(cell.rowsBetween(W.unboundedPreceding, -1)), F.count(said).over(cell.rowsBetween(W.unboundedPreceding, -1))
-    marked = rows.withColumns({"_before": before, "_run": since, "_next": F.lead(said).over(cell)})
+    marked = rows.withColumns({"_before": before, "_run": since, "_next": F.lead(said).over(cell), "_at": F.row_number().over(cell)})
+    named = said.isNotNull()
+    chunks = marked.groupBy("session_id", "chunk").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min_by(said, "key").alias("_head"),
+        F.max_by(said, F.when(named, F.col("key"))).alias("_last"),
+        F.max(F.when(named, F.col("_at"))).alias("_named_at"),
+    )
+    placed = chunks.withColumn("_rows", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    edges = placed.select(
+        "session_id",
+        "chunk",
+        "_n",
+        F.last("_last", ignorenulls=True).over(earlier).alias("_said"),
+        F.lead("_head").over(line).alias("_after"),
+        # rows of earlier chunks since the last that is named
+        (F.col("_rows") - F.coalesce(F.max(F.col("_rows") + F.col("_named_at")).over(earlier), F.lit(0))).alias("_carried"),
+    )
     # of several unnamed rows in a row every second is the same speaker's
     nth = F.row_number().over(W.partitionBy("session_id", "chunk", "_run").orderBy("key"))
-    turned = F.when(F.col("_nth") % 2 == 1, other(F.col("_before"))).otherwise(F.col("_before"))
+    known = marked.withColumn("_nth", nth).join(edges, ["session_id", "chunk"])
+    last, place = F.coalesce("_before", "_said"), F.col("_nth") + F.when(F.col("_run") == 0, F.col("_carried")).otherwise(0)
+    turned = F.when(place % 2 == 1, other(last)).otherwise(last)
+    follows = F.when(F.col("_at") == F.col("_n"), F.col("_after")).otherwise(F.col("_next"))
     content = F.when(fold(F.coalesce("content", F.lit(""))).rlike(_ASKING), "user").otherwise("assistant")
-    return marked.withColumn("_nth", nth).withColumn("speaker", F.coalesce("speaker", turned, other(F.col("_next")), content)).drop("_before", "_run", "_next", "_nth")
+    return known.withColumn("speaker", F.coalesce("speaker", turned, other(follows), content)).select(*rows.columns)
 
 
 def by_participant(messages: DataFrame) -> DataFrame:
@@ -240,7 +261,12 @@ def by_participant(messages: DataFrame) -> DataFrame:
     rows = _messages(loose.withColumns({"session_id": F.col("user_id"), "seq": F.lit(None).cast("bigint")}), ["content"]).filter(F.coalesce("speaker", F.lit("")) != "system")
     rows = _parts(inferred(_numbered(rows.filter("shown"))))
     cell = W.partitionBy("session_id", "chunk").orderBy("key")
-    replies = (F.col("speaker") == "assistant") & (F.lag("speaker").over(cell) == "user") & (F.lag("part").over(cell) == F.col("part"))
+    line = W.partitionBy("session_id").orderBy("chunk")
+    tails = rows.groupBy("session_id", "chunk").agg(F.max_by(F.struct("speaker", "part"), "key").alias("tail"))
+    # the first row of a chunk follows the last one of the chunk before
+    rows = rows.join(tails.select("session_id", "chunk", F.lag("tail").over(line).alias("_tail")), ["session_id", "chunk"])
+    then = F.coalesce(F.lag(F.struct("speaker", "part")).over(cell), F.col("_tail"))
+    replies = (F.col("speaker") == "assistant") & (then["speaker"] == "user") & (then["part"] == F.col("part"))
     kept = rows.withColumn("replies", replies).groupBy("session_id", "part").agg(F.bool_or("replies").alias("replied"), F.min("turn").alias("first")).filter("replied")
     return rows.join(kept, ["session_id", "part"]).select(
         F.concat_ws("#", "session_id", F.col("part").cast("string")).alias("session_id"), (F.col("turn") - F.col("first") + 1).cast("bigint").alias("turn"), F.col("speaker").alias("role"), "content", "created_at"
