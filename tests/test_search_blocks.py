@@ -57,3 +57,11 @@ def test_fusion_counts_terms_in_place(spark, monkeypatch):
     monkeypatch.setattr(search, "term_weights", lambda texts, keys, text_col: shuffled.append(keys) or weigh(texts, keys, text_col))
     registry.queries()["A12_fusion"](spark, DATA)
     assert shuffled == [["feedback_id"]]
+
+
+def test_vectors_follow_queries(spark, monkeypatch):
+    """Vectors that all tie: a share of the corpus returns the best by id only."""
+    monkeypatch.setattr(search, "top", lambda scored, *_: scored)
+    rows = spark.range(500).select("id", F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("v")).repartition(12)
+    found = search.dense_search(rows.filter("id < 10"), rows, "id", "v", 3)
+    assert 0 < found.count() <= 3 * 10 * search._SHARES
