@@ -8,7 +8,7 @@ from helpers import connect, same
 from millrace.plans import registry
 
 
-@pytest.mark.parametrize("name", ["A12_fusion", "E09_K07_rerank"])
+@pytest.mark.parametrize("name", ["A12_fusion", "E09_K07_rerank", "J05_sparse_search"])
 def test_every_question(spark, tmp_path, name):
     """Repeated questions, ids with several questions, none, and questions without any token too."""
     ids = [*range(1, 42), 7, 7, 50, 51, 52, None, None]
